@@ -24,3 +24,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from kinfold.llm.chat_format import digest, format_chats
+
+    tricky = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    ranks = P.path("byte_bpe_50k.tiktoken")
+    return digest(format_chats(turns, ranks, P.PATTERN), ranks, P.PATTERN)
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
