@@ -188,10 +188,13 @@ def occurrences(docs: DataFrame, width: int, gram: int, symbols: Callable) -> Da
     return docs.mapInArrow(run, f"a long, c long, d {kind}, g int, at array<int>, n short, off short")
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """The occurrences whose anchor occurs at least twice."""
-    often = found.groupBy("a").agg(F.sum(F.size("at")).alias("k")).where("k > 1").select("a")
-    return found.join(often, "a")
+def candidates(found: DataFrame, across: bool = False) -> DataFrame:
+    """The occurrences whose anchor occurs at least twice; `across`: in at least two ids."""
+    if across:
+        often = found.groupBy("a").agg(F.min("d").alias("x"), F.max("d").alias("y"), F.count("d").alias("k"), F.count("*").alias("n_")).where("x <> y OR (k > 0 AND k < n_)")
+    else:
+        often = found.groupBy("a").agg(F.sum(F.size("at")).alias("k")).where("k > 1")
+    return found.join(often.select("a"), "a")
 
 
 def with_runs(docs: DataFrame, runs: DataFrame, how: str = "left") -> DataFrame:
