@@ -60,4 +60,45 @@ def op2_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm.lz_dedup import factor_documents
 
     out = factor_documents(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("factors").cast("long").alias("n_factors"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op2_lz_dedup"] = """
+WITH docs AS (
+    SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs)
+), firsts AS (SELECT s, min(doc_id) AS d FROM windows GROUP BY s
+), words AS (
+    SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM docs
+), marked AS (
+    SELECT doc_id, i, word, max(CASE WHEN d < doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+    FROM words LEFT JOIN windows USING (doc_id, i) LEFT JOIN firsts USING (s)
+), kept AS (
+    SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS k FROM marked GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op1_decontaminate"] = """
+WITH items AS (
+    SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN]+'), lambda x: x <> '') AS w FROM benchmark
+), pieces AS (
+    SELECT DISTINCT item_id, ' ' || array_to_string(w[i : i + least(len(w), 5) - 1], ' ') || ' ' AS s
+    FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM items WHERE len(w) > 0)
+), docs AS (
+    SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN]+'), lambda x: x <> ''), ' ') || ' ' AS t FROM documents
+), sizes AS (SELECT item_id, count(*) AS n_shingles FROM pieces GROUP BY item_id)
+SELECT doc_id, item_id, n_shingles, count(*) AS n_matched, count(*) / n_shingles AS containment
+FROM docs JOIN pieces ON contains(t, s) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= n_shingles * 0.8
+"""
