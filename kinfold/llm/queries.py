@@ -102,3 +102,10 @@ SELECT doc_id, item_id, n_shingles, count(*) AS n_matched, count(*) / n_shingles
 FROM docs JOIN pieces ON contains(t, s) JOIN sizes USING (item_id)
 GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= n_shingles * 0.8
 """
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
