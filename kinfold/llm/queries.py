@@ -109,3 +109,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.llm.quality_rules import judge, learn
+
+    docs = table(spark, sf_dir, "documents")
+    rules = learn(docs, table(spark, sf_dir, "labels"))
+    return judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
