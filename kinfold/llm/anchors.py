@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Odd multiplier of the polynomial hashes, and the constants of the splitmix64 finaliser. Fixed values.
@@ -156,13 +156,18 @@ def pieces(texts: pa.Array, width: int, symbols: Callable) -> Iterator[tuple[np.
 
 
 def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(d, g, t): id, a tag that keeps texts of one id apart, and the text. Equal rows are equal."""
+    """(d, g, t): id, a tag that keeps texts of one id apart, and the text. Equal rows are equal.
+
+    Where ids are unique, as one look at the id column tells, the tag is a constant, which costs no room in shuffles.
+    """
     t = F.col(text).cast("string")
-    return docs.select(F.col(id).alias("d"), F.hash(t).alias("g"), F.coalesce(t, F.lit("")).cast("binary").alias("t"))
+    repeated = docs.groupBy(id).agg(F.count("*").alias("n_")).where("n_ > 1").limit(1).count()
+    tag = F.hash(t) if repeated else F.lit(0)
+    return docs.select(F.col(id).alias("d"), tag.alias("g"), F.coalesce(t, F.lit("")).cast("binary").alias("t"))
 
 
 def occurrences(docs: DataFrame, width: int, gram: int, symbols: Callable) -> DataFrame:
-    """(a, c, d, g, at, n, off): runs of `keyed` documents; at: where they begin, all of a stretch in one row."""
+    """(a, c, d, g, p, more, n, off): runs of `keyed` documents; p: where the run begins, more: where else in the same stretch, or null."""
     kind = docs.schema["d"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,23 +183,38 @@ def occurrences(docs: DataFrame, width: int, gram: int, symbols: Callable) -> Da
                 new = np.concatenate([[True], (ka[1:] != ka[:-1]) | (kc[1:] != kc[:-1]) | (kd[1:] != kd[:-1])])
                 first = np.flatnonzero(new)
                 rows = order[first]
-                at = pa.ListArray.from_arrays(pa.array(np.append(first, len(s)).astype(np.int32)), pa.array(place[s[order]]))
+                begins = place[s[order]]
+                size = np.diff(np.append(first, len(s)))
+                rest = np.ones(len(s), bool)
+                rest[first] = False
+                more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size - 1)]).astype(np.int32)), pa.array(begins[rest]))
+                more = pc.if_else(pa.array(size > 1), more, pa.scalar(None, more.type))
                 who = pa.array(owner[rows])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[rows].view(np.int64)), pa.array(c[rows].view(np.int64)), b.column(0).take(who), b.column(1).take(who), at, pa.array(n[rows].astype(np.int16)), pa.array(off[rows].astype(np.int16))],
-                    names=["a", "c", "d", "g", "at", "n", "off"],
+                    [pa.array(a[rows].view(np.int64)), pa.array(c[rows].view(np.int64)), b.column(0).take(who), b.column(1).take(who), pa.array(begins[first]), more, pa.array(n[rows].astype(np.int16)), pa.array(off[rows].astype(np.int16))],
+                    names=["a", "c", "d", "g", "p", "more", "n", "off"],
                 )
 
-    return docs.mapInArrow(run, f"a long, c long, d {kind}, g int, at array<int>, n short, off short")
+    return docs.mapInArrow(run, f"a long, c long, d {kind}, g int, p int, more array<int>, n short, off short")
 
 
 def candidates(found: DataFrame, across: bool = False) -> DataFrame:
     """The occurrences whose anchor occurs at least twice; `across`: in at least two ids."""
     if across:
-        often = found.groupBy("a").agg(F.min("d").alias("x"), F.max("d").alias("y"), F.count("d").alias("k"), F.count("*").alias("n_")).where("x <> y OR (k > 0 AND k < n_)")
+        often = found.groupBy("a").agg(F.min("d").alias("x"), F.max("d").alias("y"), F.max(F.col("d").isNull()).alias("z")).where("x <> y OR (z AND x IS NOT NULL)")
     else:
-        often = found.groupBy("a").agg(F.sum(F.size("at")).alias("k")).where("k > 1")
-    return found.join(often.select("a"), "a")
+        often = found.groupBy("a").agg(F.sum(times()).alias("k")).where("k > 1")
+    return found.join(often.select("a").hint("shuffle_hash"), "a")
+
+
+def times() -> Column:
+    """How often a row of `occurrences` stands for its run."""
+    return F.coalesce(F.size("more"), F.lit(0)) + 1
+
+
+def begins() -> Column:
+    """All places of a row of `occurrences`."""
+    return F.concat(F.array("p"), F.coalesce("more", F.array().cast("array<int>")))
 
 
 def with_runs(docs: DataFrame, runs: DataFrame, how: str = "left") -> DataFrame:

@@ -102,20 +102,19 @@ def factor_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     name = kind.simpleString()
     keyed = anchors.keyed(docs, id, text)
     runs = materialise(anchors.candidates(anchors.occurrences(keyed, width, gram, anchors.word_symbols), across=True))
-    place = F.struct("d", "g", F.element_at("at", 1).alias("p"))
+    # the first document of each class stands for it (a null id only if there is no other)
     blocks = materialise(
-        runs.groupBy("a", "c").agg(F.coalesce(F.min(F.when(F.col("d").isNotNull(), place)), F.min(place)).alias("x"), F.first("n").cast("int").alias("n"))
-        .select("a", "c", "x.d", "x.g", "x.p", "n")
-    )
+        runs.groupBy("a", "c").agg(F.min("d").alias("d"), *[F.coalesce(F.min_by(x, "d"), F.first(x)).alias(x) for x in ("g", "p")], F.first("n").cast("int").alias("n"))
+    )
     contexts = blocks.groupBy("a").agg(F.count("*").alias("k"))
     alone = blocks.join(contexts.where("k = 1").select("a"), "a").select("a", "c", F.lit(0).alias("i"), F.col("n").alias("m"), F.col("d").alias("rd"), F.col("p").alias("rp"))
     several = blocks.join(contexts.where("k > 1").select("a"), "a").select("d", "g", "a", "c", "p", "n")
     each = materialise(anchors.with_runs(keyed, several, "inner").select("d", "t", "runs").mapInArrow(_windows(width), f"a long, c long, i int, h long, rd {name}, rp int"))
-    first = each.where(F.col("rd").isNotNull()).groupBy("a", "h").agg(F.min(F.struct("rd", "rp")).alias("x"))
-    aligned = each.select("a", "c", "i", "h").join(first, ["a", "h"]).select("a", "c", "i", F.lit(1).alias("m"), "x.rd", "x.rp")
+    first = each.where(F.col("rd").isNotNull()).groupBy("a", "h").agg(F.min("rd").alias("rd"), F.min_by("rp", "rd").alias("rp"))
+    aligned = each.select("a", "c", "i", "h").join(first, ["a", "h"]).select("a", "c", "i", F.lit(1).alias("m"), "rd", "rp")
     index = alone.where(F.col("rd").isNotNull()).unionByName(aligned).groupBy("a", "c").agg(F.collect_list(F.struct("i", "m", "rd", "rp")).alias("blocks"))
     earlier = F.filter("blocks", lambda x: F.coalesce(x.rd < F.col("d"), F.col("d").isNull()))
-    found = runs.select("a", "c", "d", "g", "at").join(index, ["a", "c"]).select("d", "g", "at", earlier.alias("blocks")).where(F.size("blocks") > 0)
+    found = runs.select("a", "c", "d", "g", anchors.begins().alias("at")).join(index, ["a", "c"]).select("d", "g", "at", earlier.alias("blocks")).where(F.size("blocks") > 0)
     return anchors.with_runs(keyed, found).select("d", "g", "t", "runs").mapInArrow(
         _parse(width, id, to_arrow_type(kind)),
         f"`{id}` {name}, n_words long, n_removed long, factors array<struct<begin:long,length:long,ref:{name},ref_begin:long>>, kept binary",

@@ -225,15 +225,16 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", w
         raise ValueError(f"gram must lie between {LEAD} and width")
     keyed = anchors.keyed(docs, id, text)
     runs = materialise(anchors.candidates(anchors.occurrences(keyed, width, gram, anchors.byte_symbols)))
-    classes = runs.groupBy("a", "c").agg(F.sum(F.size("at")).alias("k"), F.min(F.struct("d", "g", F.element_at("at", 1).alias("p"))).alias("x"), F.first("n").alias("n"), F.first("off").alias("off"))
+    # any occurrence may stand for its class; these aggregates all take the first row
+    classes = runs.groupBy("a", "c").agg(F.sum(anchors.times()).alias("k"), *[F.first(x).alias(x) for x in ("d", "g", "p", "n", "off")])
     hottest = runs.groupBy("a").agg(F.count("*").alias("n_")).where(F.col("n_") > hot).select("a", F.lit(True).alias("hot"))
-    chosen = classes.join(hottest, "a", "left").select("x.d", "x.g", "x.p", "a", "c", "n", "off", "k", F.coalesce("hot", F.lit(False)).alias("hot"))
+    chosen = classes.join(hottest, "a", "left").select("d", "g", "p", "a", "c", "n", "off", "k", F.coalesce("hot", F.lit(False)).alias("hot"))
     suffixes = anchors.with_runs(keyed, chosen, "inner").select("t", "runs").mapInArrow(
         _suffixes(width), "lead binary, salt long, rest binary, back binary, a long, c long, first int, n int, k long"
     )
     sorted_ = suffixes.repartitionByRange("lead", "salt").sortWithinPartitions("lead", "salt")
     repeated = materialise(sorted_.mapInArrow(_bucket(width, gram, room), "a long, c long, first int, bits binary"))
-    spans = runs.select("a", "c", "d", "g", "at").join(repeated, ["a", "c"]).select("d", "g", "at", "first", "bits")
+    spans = runs.select("a", "c", "d", "g", anchors.begins().alias("at")).join(repeated, ["a", "c"]).select("d", "g", "at", "first", "bits")
     kind = docs.schema[id].dataType.simpleString()
     return anchors.with_runs(keyed, spans).select("d", "g", "t", "runs").mapInArrow(
         _removal(width, whole_chars, id),
