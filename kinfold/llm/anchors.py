@@ -155,15 +155,15 @@ def pieces(texts: pa.Array, width: int, symbols: Callable) -> Iterator[tuple[np.
         yield out()
 
 
-def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(d, g, t): id, a tag that keeps texts of one id apart, and the text. Equal rows are equal.
+def keyed(docs: DataFrame, id: str, text: str, *others: Column) -> DataFrame:
+    """(d, g, t, and `others`): id, a tag that keeps texts of one id apart, and the text. Equal rows are equal.
 
     Where ids are unique, as one look at the id column tells, the tag is a constant, which costs no room in shuffles.
     """
     t = F.col(text).cast("string")
     repeated = docs.groupBy(id).agg(F.count("*").alias("n_")).where("n_ > 1").limit(1).count()
     tag = F.hash(t) if repeated else F.lit(0)
-    return docs.select(F.col(id).alias("d"), tag.alias("g"), F.coalesce(t, F.lit("")).cast("binary").alias("t"))
+    return docs.select(F.col(id).alias("d"), tag.alias("g"), F.coalesce(t, F.lit("")).cast("binary").alias("t"), *others)
 
 
 def occurrences(docs: DataFrame, width: int, gram: int, symbols: Callable) -> DataFrame:
@@ -218,7 +218,7 @@ def begins() -> Column:
 
 
 def with_runs(docs: DataFrame, runs: DataFrame, how: str = "left") -> DataFrame:
-    """`keyed` docs with `runs`, an array of structs made of the other columns of `runs` for each document."""
+    """`keyed` docs, all columns, with `runs`, an array of structs made of the other columns of `runs` for each document."""
     own = [x for x in runs.columns if x not in ("d", "g")]
     each = runs.groupBy(F.col("d").alias("d_"), F.col("g").alias("g_")).agg(F.collect_list(F.struct(*own)).alias("runs"))
-    return docs.join(each, docs.d.eqNullSafe(each.d_) & (docs.g == each.g_), how).select("d", "g", "t", "runs")
+    return docs.join(each, docs.d.eqNullSafe(each.d_) & (docs.g == each.g_), how).select(*docs.columns, "runs")

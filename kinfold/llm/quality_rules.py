@@ -186,5 +186,11 @@ def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
 
 def judge(docs: DataFrame, rules: list[list[Test]], *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, the counts, base_failed and kept for each row."""
-    counted = docs.select(F.col(id).alias("k"), statistics(F.col(text)).alias("x")).select("k", "x.*")
-    return counted.select(F.col("k").alias(id), *COUNTS, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
+    counted = docs.select(F.col(id).alias("k_"), F.explode(F.array(statistics(F.col(text)))).alias("x_")).select("k_", "x_.*")
+    return counted.select(F.col("k_").alias(id), *COUNTS, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
+
+
+def keep_good(docs: DataFrame, rules: list[list[Test]], *, text: str = "text") -> DataFrame:
+    """The rows of `docs` that pass the base rules and the learned list, all columns as they are."""
+    counted = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.explode(F.array(statistics(F.col(text)))).alias("x_")).select("row_", "x_.*")
+    return counted.where(~base_failed() & verdict(rules)).select("row_.*")

@@ -214,13 +214,16 @@ def _removal(width: int, whole_chars: bool, id: str):
                     kept.append(text[last:])
                     rows.append((len(text), sum(y - x for x, y in spans), len(spans), [{"begin": x, "end": y} for x, y in spans], b"".join(kept)))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[id, "tag", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[id, "others", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 200, gram: int = 32, hot: int = 20_000, room: int = 30_000, whole_chars: bool = False) -> DataFrame:
-    """id, tag (hash of the text), n_bytes, n_removed, n_spans, spans (begin, end), kept (binary). `whole_chars`: cut no UTF-8 character."""
+    """id, n_bytes, n_removed, n_spans, spans (begin, end), kept (binary), and others: a struct of all other columns.
+
+    `whole_chars`: a span gives back the parts of UTF-8 characters that it would cut.
+    """
     if not LEAD <= gram <= width:
         raise ValueError(f"gram must lie between {LEAD} and width")
     keyed = anchors.keyed(docs, id, text)
@@ -236,7 +239,9 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", w
     repeated = materialise(sorted_.mapInArrow(_bucket(width, gram, room), "a long, c long, first int, bits binary"))
     spans = runs.select("a", "c", "d", "g", anchors.begins().alias("at")).join(repeated, ["a", "c"]).select("d", "g", "at", "first", "bits")
     kind = docs.schema[id].dataType.simpleString()
-    return anchors.with_runs(keyed, spans).select("d", "g", "t", "runs").mapInArrow(
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (id, text)], F.lit(True).alias("_"))
+    texts = anchors.keyed(docs, id, text, others.alias("o"))
+    return anchors.with_runs(texts, spans).select("d", "o", "t", "runs").mapInArrow(
         _removal(width, whole_chars, id),
-        f"`{id}` {kind}, tag int, n_bytes long, n_removed long, n_spans long, spans array<struct<begin:long,end:long>>, kept binary",
+        f"`{id}` {kind}, others {texts.schema['o'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, spans array<struct<begin:long,end:long>>, kept binary",
     )
