@@ -32,11 +32,10 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), SEPARATOR), "")
 
 
-def _hashes(words: Column, length: int) -> Column:
-    """Hash of each run of `length` words."""
-    n = F.size(words)
-    at = F.when(n >= length, F.sequence(F.lit(0), n - length)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(length)]))
+def _runs(words: Column, length: int) -> Column:
+    """Each run of `length` words as a struct; built and taken apart in generated code, unlike a lambda."""
+    n = F.greatest(F.size(words) - (length - 1), F.lit(0))
+    return F.arrays_zip(*[F.slice(words, j + 1, n).alias(f"w{j}") for j in range(length)])
 
 
 def signatures(items: DataFrame, id: str, text: str, shingle: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -70,13 +69,20 @@ def find_leaks(
     fits = about.bytes + 64 * about.n <= broadcast_bytes
     small = F.broadcast if fits else (lambda df: df)
     words = docs.select(F.col(id).alias("d"), words_of(F.col(text)).alias("w"))
-    hashes = [_hashes(F.col("w"), n) for n in about.lengths or [shingle]]
-    hashes = F.concat(*hashes) if len(hashes) > 1 else hashes[0]
+
+    def hashed(df: DataFrame, *columns: str) -> DataFrame:
+        """A row for each run of words of each length that items have (one length, unless some items are very short)."""
+        out = None
+        for n in about.lengths or [shingle]:
+            each = df.select(*columns, F.explode(_runs(F.col("w"), n)).alias("r")).select(*columns, F.xxhash64(*[F.col(f"r.w{j}") for j in range(n)]).alias("h"))
+            out = each if out is None else out.unionByName(each)
+        return out
+
     if fits:
-        probed = words.select("d", "w", F.explode(hashes).alias("h")).join(small(sig), "h")
+        probed = hashed(words, "d", "w").join(small(sig), "h")
     else:  # the words stay behind and come back for candidates only
         tagged = words.select("d", F.xxhash64("w").alias("g"), "w")
-        hits = tagged.select("d", "g", F.explode(hashes).alias("h")).join(sig, "h").select("d", "g", "item").distinct()
+        hits = hashed(tagged, "d", "g").join(sig, "h").select("d", "g", "item").distinct()
         hits = hits.select(F.col("d").alias("d_"), F.col("g").alias("g_"), "item")
         probed = tagged.join(hits, tagged.d.eqNullSafe(F.col("d_")) & (F.col("g") == F.col("g_"))).select("d", "w", "item")
     text_ = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
