@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of equal rows one stays. Documents without an id stay if their whole group has none.
     """
-    groups = near_duplicates(docs, width=5)
+    groups = near_duplicates(docs)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_"))
     kept = docs.join(materialise(first.distinct()), F.col("doc_id").eqNullSafe(F.col("keep_")), "left_semi")
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
