@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -35,6 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application, so that no node needs it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kinfold_shipped", None) != sc.applicationId:
+        here = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="kinfold-ship-")
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "kinfold_package"), "zip", os.path.dirname(here), os.path.basename(here)))
+        sc._kinfold_shipped = sc.applicationId
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by `materialise` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kinfold_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back.
 
@@ -42,6 +60,7 @@ def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
     knows the table's true size, so later broadcasts rest on a measured bound.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
@@ -49,8 +68,11 @@ def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
         (df.coalesce(partitions) if partitions else df).write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kinfold_path = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
