@@ -22,32 +22,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import anchors
 from kinfold.llm.suffix_dedup import covered
-from kinfold.session import materialise
+from kinfold.session import materialise, release
+
+
+def _slices(b: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for at in range(0, b.num_rows, rows):
+        yield b.slice(at, rows)
+
+
+def _fields(runs: pa.ListArray, names: tuple[str, ...]) -> tuple[np.ndarray, list[pa.Array]]:
+    """For each struct of a list column its row, and the named fields."""
+    flat, size = runs.flatten(), np.array(runs.value_lengths().fill_null(0))
+    return np.repeat(np.arange(len(runs)), size), [flat.field(n) for n in names]
 
 
 def _windows(width: int):
     """Rows (a, c, i, h, rd, rp) of each window of the given blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "c", "i", "h", "rd", "rp"]
-        for b in batches:
-            for row in range(b.num_rows):
-                roll = anchors.Rolling(anchors.word_symbols(np.frombuffer(b.column(1)[row].as_buffer(), np.uint8))[0])
-                runs = b.column(2)[row].values  # an array of structs
-                p, n = (runs.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("p", "n"))
-                which = np.repeat(np.arange(len(n)), n)
-                i = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                s = p[which] + i
-                take = pa.array(which)
-                yield pa.RecordBatch.from_arrays(
-                    [runs.field("a").take(take), runs.field("c").take(take), pa.array(i.astype(np.int32)), pa.array(roll.of(s, s + width).view(np.int64)), b.column(0).take(pa.array(np.full(len(s), row))), pa.array(s.astype(np.int32))],
-                    names=names,
-                )
+        for b in (x for big in batches for x in _slices(big)):
+            # a space keeps the words of neighbouring texts apart
+            texts = [t.as_py() for t in b.column(1)]
+            codes, starts, _ = anchors.word_symbols(np.frombuffer(b" ".join(texts), np.uint8))
+            roll = anchors.Rolling(codes)
+            offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+            base = np.searchsorted(starts, offsets)  # number of words before each text
+            row, (a, c, p, n) = _fields(b.column(2), ("a", "c", "p", "n"))
+            p, n = p.to_numpy().astype(np.int64), n.to_numpy().astype(np.int64)
+            which = np.repeat(np.arange(len(n)), n)
+            i = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            s = p[which] + i
+            at = base[row[which]] + s
+            yield pa.RecordBatch.from_arrays(
+                [a.take(pa.array(which)), c.take(pa.array(which)), pa.array(i.astype(np.int32)), pa.array(roll.of(at, at + width).view(np.int64)), b.column(0).take(pa.array(row[which])), pa.array(s.astype(np.int32))],
+                names=["a", "c", "i", "h", "rd", "rp"],
+            )
 
     return run
 
@@ -57,39 +72,40 @@ def _parse(width: int, id: str, kind: pa.DataType):
     factor = pa.struct([("begin", pa.int64()), ("length", pa.int64()), ("ref", kind), ("ref_begin", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, 128):
-                b = big.slice(at, 128)
-                rows = []
-                for t, runs in zip(b.column(2), b.column(3), strict=True):
-                    words = t.as_py().split()  # at ASCII white space, as the contract's words
-                    factors: list[dict] = []
-                    if runs.is_valid and len(runs):
-                        hit = {}
-                        for x in runs.as_py():
-                            for y in x["blocks"]:
-                                for p in x["at"]:
-                                    for j in range(y["m"]):
-                                        hit[p + y["i"] + j] = (y["rd"], y["rp"] + j)
-                        starts = sorted(hit)
-                        for s in starts:
-                            ref, pos = hit[s]
-                            last = factors[-1] if factors else None
-                            if last and last["ref"] == ref and last["begin"] + last["length"] - width + 1 == s and last["ref_begin"] + last["length"] - width + 1 == pos:
-                                last["length"] += 1
-                            else:
-                                factors.append({"begin": s, "length": width, "ref": ref, "ref_begin": pos})
-                        begin, end = covered(len(words), np.array(starts), width)
-                        kept, last = [], 0
-                        for x, y in zip(begin.tolist(), end.tolist(), strict=True):
-                            kept += words[last:x]
-                            last = y
-                        kept += words[last:]
-                    else:
-                        kept = words
-                    rows.append((len(words), len(words) - len(kept), factors, b" ".join(kept)))
-                kinds = (pa.int64(), pa.int64(), pa.list_(factor), pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[id, "n_words", "n_removed", "factors", "kept"])
+        for b in (x for big in batches for x in _slices(big)):
+            row, (p, m, rd, rp) = _fields(b.column(3), ("p", "m", "rd", "rp"))
+            p, m, rp = (x.to_numpy().astype(np.int64) for x in (p, m, rp))
+            which = np.repeat(np.arange(len(m)), m)
+            i = np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m)
+            row, start, pos = row[which], p[which] + i, rp[which] + i
+            ref = pc.dictionary_encode(rd).indices.to_numpy()[which] if len(rd) else np.zeros(0, np.int64)
+            order = np.lexsort((start, row))
+            if len(order):  # a window is known once, whatever block told it
+                same = np.concatenate([[False], (np.diff(row[order]) == 0) & (np.diff(start[order]) == 0)])
+                order = order[~same]
+            row, start, pos, ref, which = row[order], start[order], pos[order], ref[order], which[order]
+            # a factor runs on while the next window continues the same reference text
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(row) != 0) | (np.diff(start) != 1) | (np.diff(ref) != 0) | (np.diff(pos) != 1)
+            head = np.flatnonzero(new)
+            length = np.diff(np.append(head, len(order))) + width - 1
+            factors = pa.StructArray.from_arrays([pa.array(start[head]), pa.array(length), rd.take(pa.array(which[head])), pa.array(pos[head])], fields=list(factor))
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[head], np.arange(b.num_rows + 1)).astype(np.int32)), factors)
+            edge = np.searchsorted(row, np.arange(b.num_rows + 1))
+            n_words, n_removed, texts = [], [], []
+            for k, t in enumerate(b.column(2)):
+                words = t.as_py().split()  # at ASCII white space, as the contract's words
+                kept = words
+                if edge[k] < edge[k + 1]:
+                    kept, last = [], 0
+                    for x, y in zip(*(e.tolist() for e in covered(len(words), start[edge[k] : edge[k + 1]], width)), strict=True):
+                        kept += words[last:x]
+                        last = y
+                    kept += words[last:]
+                n_words.append(len(words))
+                n_removed.append(len(words) - len(kept))
+                texts.append(b" ".join(kept))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), lists, pa.array(texts, pa.binary())], names=[id, "n_words", "n_removed", "factors", "kept"])
 
     return run
 
@@ -112,9 +128,13 @@ def factor_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     each = materialise(anchors.with_runs(keyed, several, "inner").select("d", "t", "runs").mapInArrow(_windows(width), f"a long, c long, i int, h long, rd {name}, rp int"))
     first = each.where(F.col("rd").isNotNull()).groupBy("a", "h").agg(F.min("rd").alias("rd"), F.min_by("rp", "rd").alias("rp"))
     aligned = each.select("a", "c", "i", "h").join(first, ["a", "h"]).select("a", "c", "i", F.lit(1).alias("m"), "rd", "rp")
-    index = alone.where(F.col("rd").isNotNull()).unionByName(aligned).groupBy("a", "c").agg(F.collect_list(F.struct("i", "m", "rd", "rp")).alias("blocks"))
+    index = materialise(alone.where(F.col("rd").isNotNull()).unionByName(aligned).groupBy("a", "c").agg(F.collect_list(F.struct("i", "m", "rd", "rp")).alias("blocks")))
+    release(blocks, each)
     earlier = F.filter("blocks", lambda x: F.coalesce(x.rd < F.col("d"), F.col("d").isNull()))
-    found = runs.select("a", "c", "d", "g", anchors.begins().alias("at")).join(index, ["a", "c"]).select("d", "g", "at", earlier.alias("blocks")).where(F.size("blocks") > 0)
+    found = runs.join(index, ["a", "c"]).select("d", "g", anchors.begins().alias("at"), earlier.alias("blocks")).where(F.size("blocks") > 0)
+    windows = F.flatten(F.transform("at", lambda p: F.transform("blocks", lambda x: F.struct((p + x.i).alias("p"), x.m.alias("m"), x.rd.alias("rd"), x.rp.alias("rp")))))
+    found = materialise(found.select("d", "g", F.inline(windows)))
+    release(runs, index)
     return anchors.with_runs(keyed, found).select("d", "g", "t", "runs").mapInArrow(
         _parse(width, id, to_arrow_type(kind)),
         f"`{id}` {name}, n_words long, n_removed long, factors array<struct<begin:long,length:long,ref:{name},ref_begin:long>>, kept binary",

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import anchors
-from kinfold.session import materialise
+from kinfold.session import materialise, release
 
 LEAD = 16
 
@@ -237,7 +237,8 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", w
     )
     sorted_ = suffixes.repartitionByRange("lead", "salt").sortWithinPartitions("lead", "salt")
     repeated = materialise(sorted_.mapInArrow(_bucket(width, gram, room), "a long, c long, first int, bits binary"))
-    spans = runs.select("a", "c", "d", "g", anchors.begins().alias("at")).join(repeated, ["a", "c"]).select("d", "g", "at", "first", "bits")
+    spans = materialise(runs.select("a", "c", "d", "g", anchors.begins().alias("at")).join(repeated, ["a", "c"]).select("d", "g", "at", "first", "bits"))
+    release(runs, repeated)
     kind = docs.schema[id].dataType.simpleString()
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (id, text)], F.lit(True).alias("_"))
     texts = anchors.keyed(docs, id, text, others.alias("o"))
