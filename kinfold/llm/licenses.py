@@ -68,8 +68,8 @@ def winnow(codes: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.nd
     return h[place], place
 
 
-def align(doc: np.ndarray, template: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
-    """(matched, begin, end): most template words matched in order by doc words within `band` of the diagonal, ends by least span."""
+def align(doc: np.ndarray, template: np.ndarray, shift: int, band: int, start: int = 0) -> tuple[int, int, int]:
+    """(matched, begin, end): most template words matched in order by doc words from `start` on within `band` of the diagonal; of equals the first."""
     n, m = len(doc), len(template)
     # for each place of the template: column -> (matched, -begin of the match, end)
     wide = 2 * band + 1
@@ -81,7 +81,7 @@ def align(doc: np.ndarray, template: np.ndarray, shift: int, band: int) -> tuple
         for j in range(wide):
             p = i + shift - band + j
             cell = max(last[j + 1], left)  # skip this template word, or this doc word
-            if 0 <= p < n and doc[p] == template[i]:
+            if start <= p < n and doc[p] == template[i]:
                 k, begin, _ = last[j]
                 cell = max(cell, (k + 1, begin if k else -p, -(p + 1)))
             now[j] = left = cell
@@ -116,15 +116,16 @@ class Index:
                 shifts[t].add(int(places[i]) - p)
         out = []
         for t, found in shifts.items():
-            template, reach, ended = self.codes[t], None, -1
+            template, reach, ended = self.codes[t], None, 0
             for s in sorted(found):
                 if reach is not None and s <= reach:
-                    continue  # within the band of the diagonal just aligned
-                reach = s + band
-                k, begin, end = align(codes, template, s, band)
-                if k >= threshold * len(template) and begin >= ended:
+                    continue
+                k, begin, end = align(codes, template, s, band, ended)
+                if k >= threshold * len(template):
                     out.append((self.names[t], k / len(template), k, len(template), begin, end))
-                    ended = end
+                    ended, reach = end, end - 1  # the next match begins after this one
+                else:
+                    reach = s + band // 2  # the band just tried holds these diagonals too
         best: list[tuple] = []  # of matches that overlap, the one with the most words of its template
         for x in sorted(out, key=lambda x: (-x[2], -x[1], x[0], x[4])):
             if all(x[5] <= y[4] or y[5] <= x[4] for y in best):
