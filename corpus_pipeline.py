@@ -38,14 +38,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 200 or more that repeat anywhere are cut out; documents left without a word go."""
+    """Byte strings of 200 or more that repeat anywhere are cut out of all texts; every document stays, if need be with an empty text."""
     out = remove_repeats(docs, whole_chars=True)
     text = F.decode("kept", "UTF-8")
-    # a text in which nothing repeats stays as it is, null and empty ones too
-    kept = out.where((F.col("n_removed") == 0) | text.rlike(WORDS))
     columns = {"doc_id": F.col("doc_id"), "text": F.when((F.col("n_bytes") == 0) & F.col("others.n_chars").isNull(), F.lit(None)).otherwise(text)}
     columns["n_chars"] = F.when(F.col("n_removed") == 0, F.col("others.n_chars")).otherwise(F.char_length(text).cast("long"))
-    return kept.select(*[columns.get(c, F.col(f"others.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[columns.get(c, F.col(f"others.`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
