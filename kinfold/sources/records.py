@@ -83,9 +83,10 @@ def read_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Recruiter spreadsheets: any of four delimiters, headers by alias, rows without identity left out."""
     out = None
     for k, path in enumerate(paths):
-        head = whole_files(spark, [path]).select(F.substring("body", 1, 8192)).first()[0]  # the sniffer's sample
-        if not head.strip():
+        sample = whole_files(spark, [path]).select(F.substring("body", 1, 8192)).first()  # what the delimiter is told from
+        if sample is None or not sample[0].strip():
             continue
+        head = sample[0]
         sep = delimiter(head)
         header = next(csv.reader(StringIO(head), delimiter=sep))
         rows = spark.read.csv(path, sep=sep, header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", schema=", ".join(f"c{i} string" for i in range(len(header))))
