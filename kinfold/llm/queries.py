@@ -133,3 +133,20 @@ def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = build_derivatives(table(spark, sf_dir, "pages"))
     return out.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "source_digest", "block_digest", F.length("record").cast("long").alias("n_bytes"), F.sha2("record", 256).alias("record_sha256"))
+
+
+_CONTROLS = r"<<SYS>>|<</SYS>>|<s>|</s>|\[INST\]|\[/INST\]"
+
+#: Lengths of the template's three marks: 9, 9 and 5 code points.
+ORACLE_SQL["op8_chat_format"] = rf"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+    SELECT *, 23 + length(role) + length(text) + len(regexp_extract_all(role, '{_CONTROLS}')) + len(regexp_extract_all(text, '{_CONTROLS}')) AS n FROM t
+), c AS (
+    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, sum(n) AS formatted FROM e GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM c
+"""
