@@ -158,27 +158,37 @@ def experience_list(body: Column) -> Column:
     def state(company: Column, title: Column, start: Column, end: Column, notes: Column, out: Column) -> Column:
         return F.struct(company.alias("company"), title.alias("title"), start.alias("start"), end.alias("end"), notes.alias("notes"), out.alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        ranged = group(x, V.DATE_RANGE, 0)
-        at = F.instr(x, ranged)
-        before = F.regexp_replace(strip(F.substr(x, F.lit(1), at - 1)), r"[–—\-|,]+$", "")
-        after = strip(F.regexp_replace(strip(F.substr(x, at + F.length(ranged))), r"^[–—\-|,]+", ""))
-        left, right = strip(group(before, V.PAIR, 1)), strip(group(before, V.PAIR, 2))
-        paired = found(before, V.PAIR, True)
-        title0, company0 = F.when(paired, left).otherwise(before), F.when(paired, right).otherwise(empty)
-        company1 = F.when(company0 == "", after).otherwise(company0)
-        title1 = F.when((company0 != "") & (title0 == ""), after).otherwise(title0)
-        dated = state(company1, title1, group(x, V.DATE_RANGE, 1), group(x, V.DATE_RANGE, 2), F.array().cast("array<string>"), closed(s))
+    def pair(x: Column) -> Column:
+        """A struct title, company: `title at company`, `title | company` or `title @ company`; null if x is no pair."""
+        return let(group(x, V.PAIR, 1), lambda left: F.when(left != "", F.struct(strip(left).alias("title"), strip(group(x, V.PAIR, 2)).alias("company"))))
+
+    def read(x: Column) -> Column:
+        """What one line says, looked at once: its date range, what stands before and after it, and the pair it may be."""
+
+        def around(ranged: Column) -> Column:
+            at = F.instr(x, ranged)
+            before = F.regexp_replace(strip(F.substr(x, F.lit(1), at - 1)), r"[–—\-|,]+$", "")
+            after = strip(F.regexp_replace(strip(F.substr(x, at + F.length(ranged))), r"^[–—\-|,]+", ""))
+            dated = let(before, lambda b: F.struct(F.coalesce(pair(b), F.struct(b.alias("title"), empty.alias("company"))).alias("p"), after.alias("after"), group(ranged, V.DATE_RANGE, 1).alias("start"), group(ranged, V.DATE_RANGE, 2).alias("end")))
+            return F.struct(x.alias("x"), F.when(ranged != "", dated).alias("dated"), F.when(ranged == "", pair(x)).alias("pair"))
+
+        return let(group(x, V.DATE_RANGE, 0), around)
+
+    def step(s: Column, line: Column) -> Column:
+        x, dated, own = line["x"], line["dated"], line["pair"]
+        title, company, after = dated["p"]["title"], dated["p"]["company"], dated["after"]
+        opened = state(
+            F.when(company == "", after).otherwise(company), F.when((company != "") & (title == ""), after).otherwise(title), dated["start"], dated["end"], F.array().cast("array<string>"), closed(s)
+        )
         bare, has_date = (s["company"] == "") & (s["title"] == ""), (s["start"] != "") | (s["end"] != "")
-        pair = found(x, V.PAIR, True)
-        company = F.when(bare, F.when(pair, strip(group(x, V.PAIR, 2))).when(has_date, x).otherwise(empty)).when(s["company"] == "", x).otherwise(s["company"])
-        title = F.when(bare, F.when(pair, strip(group(x, V.PAIR, 1))).when(has_date, empty).otherwise(x)).when(s["title"] == "", x).otherwise(s["title"])
         whole = (s["company"] != "") & (s["title"] != "")
-        plain = state(company, title, s["start"], s["end"], F.when(whole, F.concat(s["notes"], F.array(x))).otherwise(s["notes"]), s["out"])
-        return F.when(ranged != "", dated).otherwise(plain)
+        next_company = F.when(bare, F.when(own.isNotNull(), own["company"]).when(has_date, x).otherwise(empty)).when(s["company"] == "", x).otherwise(s["company"])
+        next_title = F.when(bare, F.when(own.isNotNull(), own["title"]).when(has_date, empty).otherwise(x)).when(s["title"] == "", x).otherwise(s["title"])
+        more = state(next_company, next_title, s["start"], s["end"], F.when(whole, F.concat(s["notes"], F.array(x))).otherwise(s["notes"]), s["out"])
+        return F.when(dated.isNotNull(), opened).otherwise(more)
 
     start = state(empty, empty, empty, empty, F.array().cast("array<string>"), F.array().cast(EXPERIENCE))
-    return F.aggregate(_clean_lines(body), start, step, closed)
+    return F.aggregate(F.transform(_clean_lines(body), read), start, step, closed)
 
 
 def education_list(body: Column) -> Column:
