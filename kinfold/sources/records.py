@@ -249,15 +249,29 @@ def languages(repos: Column) -> Column:
 
 
 def read_github(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Cached user profiles with their repositories: one object per file; invalid files give no record."""
-    rows = whole_files(spark, paths).where(F.try_parse_json(F.col("body")).isNotNull() & N.strip(F.col("body")).startswith("{"))
-    rows = _placed(rows, paths).withColumn("m", F.from_json("body", MAP))
+    """User profiles with their repositories: cached files with one object each (invalid ones give no record), or user names, read from the live API."""
+    files = [p for p in paths if "/" in p or "\\" in p or p.startswith(".") or p.lower().endswith(".json")]
+    logins = [p for p in paths if p not in files]
+    out = nothing(spark)
+    if files:
+        rows = whole_files(spark, files).where(F.try_parse_json(F.col("body")).isNotNull() & N.strip(F.col("body")).startswith("{"))
+        rows = _placed(rows, paths).withColumn("m", F.from_json("body", MAP))
+        out = out.unionByName(_github_records(rows, F.try_element_at("m", F.lit("repos"))))
+    if logins:
+        from kinfold.sources.profile_api import read_profiles
+
+        rows = read_profiles(spark, logins).withColumn("path", F.array_position(F.array(*[F.lit(p) for p in paths]), F.col("login")))
+        out = out.unionByName(_github_records(rows.withColumns({"m": F.from_json("user", MAP), "source_file": F.col("login")}), F.col("repos")))
+    return out
+
+
+def _github_records(rows: DataFrame, repositories: Column) -> DataFrame:
     get = lambda k: N.strip(F.try_element_at("m", F.lit(k)))
-    repos = F.coalesce(F.from_json(F.try_element_at("m", F.lit("repos")), "array<struct<name:string,language:string>>"), F.array().cast("array<struct<name:string,language:string>>"))
+    kind = "array<struct<name:string,language:string>>"
     page = N.first_of(get("html_url"), F.when(get("login") != "", F.concat(F.lit("https://github.com/"), get("login"))))
     return as_records(
         rows, "github", ["path"], full_name=N.first_of(get("name"), get("login")), emails=_one(get("email")), location=N.place(get("location")),
-        links=_links(F.lit(""), page, get("blog")), headline=get("bio"), skills=languages(repos),
+        links=_links(F.lit(""), page, get("blog")), headline=get("bio"), skills=languages(F.coalesce(F.from_json(repositories, kind), F.array().cast(kind))),
     )
 
 
