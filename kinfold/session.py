@@ -73,6 +73,14 @@ def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return out
 
 
+#: A table that is one file of this many bytes is dealt out to all cores: one row group would be one task. Real tables are folders.
+ONE_FILE = (1 << 20, 256 << 20)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    where = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    df = spark.read.parquet(where)
+    return df.repartition(spark.sparkContext.defaultParallelism) if status.isFile() and ONE_FILE[0] <= status.getLen() <= ONE_FILE[1] else df

@@ -100,3 +100,16 @@ def test_run_and_command_line(spark, tmp_path, capsys):
     assert [c["candidate_id"] for c in written["candidates"]] == [c["candidate_id"] for c in doc["candidates"]]
     assert main([]) == 1 and main(["--csv", str(tmp_path / "none.csv")]) == 1
     assert capsys.readouterr().err
+
+
+def test_canonical_layout(spark, tmp_path):
+    from kinfold.sources.canonical import read_canonical_csv, read_canonical_json
+
+    sheet = put(tmp_path, "c.csv", "full_name,email,phone,city,linkedin,skills,company,start,institution,years_experience\nAnn,a@x.org; b@x.org,1;2,Paris,linkedin.com/in/a,js; go,Acme,2020,MIT,4\n,,,,,,,,,x\n")
+    a, b = rows(read_canonical_csv(spark, sheet))
+    assert (a.emails, a.phones, a.skills, a.location.city, a.links.linkedin, a.years_experience) == (["a@x.org", "b@x.org"], ["1", "2"], ["js", "go"], "Paris", "linkedin.com/in/a", 4.0)
+    assert a.experience[0].company == "Acme" and a.education[0].institution == "MIT" and (b.full_name, b.location, b.links, b.experience, b.years_experience) == ("", None, None, [], None)
+    doc = {"candidates": [{"full_name": "Ann", "email": "a@x.org", "phones": ["1", " "], "links": {"other": ["http://o.org"]}, "skills": "js;go", "experience": [{"company": "Acme", "start": "2020"}], "years_experience": 3}]}
+    for text in (doc, doc["candidates"], doc["candidates"][0]):
+        (r,) = rows(read_canonical_json(spark, put(tmp_path, "c.json", json.dumps(text))))
+        assert (r.full_name, r.emails, r.phones, r.links.other, r.skills, r.experience[0].company, r.years_experience) == ("Ann", ["a@x.org"], ["1"], ["http://o.org"], ["js", "go"], "Acme", 3.0)
