@@ -30,11 +30,23 @@ LONGEST_KEPT = 40
 _workers: dict[str, "Counts"] = {}
 
 
+class Table(dict):
+    """Known lengths of pre-tokens, the frequent ones first of all; what is not known counts 0 and is noted in `missed`."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__(known)
+        self.missed: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.missed.append(piece)
+        return 0
+
+
 class Counts:
     """A tokenizer in one worker: counts(texts) as the library gives them."""
 
-    def __init__(self, path: str, frequent: dict[str, int], cache_size: int = 200_000):
-        self.cache_size, self.frequent, self.cache = cache_size, frequent, {}
+    def __init__(self, path: str, frequent: dict[str, int], cache_size: int = 400_000):
+        self.cache_size, self.frequent, self.table = cache_size, frequent, Table(frequent)
         self.two_tier, self.special = False, []
         if path.endswith(".model"):
             import sentencepiece
@@ -66,28 +78,26 @@ class Counts:
     def counts(self, texts: list[str]) -> list[int]:
         if not self.two_tier:
             return self.encode(texts)
-        out, direct = [], []
-        cache, frequent, split = self.cache, self.frequent, self.split
+        out, direct, unknown = [], [], {}
+        table, split = self.table, self.split
         for i, text in enumerate(texts):
             if any(s in text for s in self.special) or not (text.isascii() or all(map(self.same_class, set(text)))):
                 out.append(0)
                 direct.append(i)
                 continue
-            pre, n = split(text), 0
-            try:  # the common case: all known
-                for x in pre:
-                    n += frequent[x]
-            except KeyError:
-                missing = {x for x in pre if x not in frequent and x not in cache}
-                new = {}
-                if missing:
-                    missing = list(missing)
-                    new = dict(zip(missing, self.encode(missing), strict=True))
-                n = sum([frequent.get(x) or cache.get(x) or new[x] for x in pre])
-                if len(cache) + len(new) > self.cache_size:
-                    cache.clear()
-                cache.update((k, v) for k, v in new.items() if len(k) <= LONGEST_KEPT)
-            out.append(n)
+            out.append(sum(map(table.__getitem__, split(text))))
+            if table.missed:
+                unknown[i] = table.missed
+                table.missed = []
+        if unknown:
+            pieces = list({x for m in unknown.values() for x in m})
+            new = dict(zip(pieces, self.encode(pieces), strict=True))
+            for i, missed in unknown.items():
+                out[i] += sum(map(new.__getitem__, missed))
+            if len(table) + len(new) > self.cache_size + len(self.frequent):
+                table.clear()
+                table.update(self.frequent)
+            table.update((k, v) for k, v in new.items() if len(k) <= LONGEST_KEPT)
         for i, n in zip(direct, self.encode([texts[i] for i in direct]) if direct else [], strict=True):
             out[i] = n
         return out
