@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.session import materialise
+from kinfold.session import materialise, release
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     e = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     for _ in range(max_rounds):
-        e = materialise(_small_star(_large_star(e).distinct()).distinct())
+        before, e = e, materialise(_small_star(_large_star(e).distinct()).distinct())
+        release(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == now:
             break

@@ -47,8 +47,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete tables made by `materialise` that nothing reads any more."""
+    """Delete tables made by `materialise` that nothing reads any more; other DataFrames are left alone."""
     for df in tables:
+        if not hasattr(df, "_kinfold_path"):
+            continue
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kinfold_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
