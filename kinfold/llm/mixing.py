@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.session import materialise
+from kinfold.session import materialise, release
 
 BINS = 4096
 
@@ -66,7 +66,8 @@ def solve(histogram: DataFrame, goals: DataFrame, cap: float, tolerance: float =
         at = at.select("k", "x", low.alias("low"), high.alias("high"), F.when(F.col("slope") > 0, step).alias("step"), error.alias("error"))
         inside = (F.col("step") > F.col("low")) & (F.col("step") < F.col("high"))
         moved = F.when(F.col("error") <= tolerance, F.col("x")).when(inside, F.col("step")).otherwise((F.col("low") + F.col("high")) / 2)
-        state = materialise(at.select("k", moved.alias("x"), "low", "high", "error"), 1)
+        before, state = state, materialise(at.select("k", moved.alias("x"), "low", "high", "error"), 1)
+        release(before)
         if (state.agg(F.max("error")).first()[0] or 0.0) <= tolerance:
             break
     return state.select("k", F.col("x").alias("multiplier"))
@@ -88,6 +89,7 @@ def mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str
     rated = known.join(multipliers, "k", "left").withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("long"))
     score = (u - (F.col("rate") - F.col("whole")) + 1.0) * (BINS / 2)
     rated = materialise(rated.withColumn("score", score).withColumn("bin", F.floor("score").cast("int")).withColumn("fine", F.floor((F.col("score") - F.floor("score")) * BINS).cast("int")))
+    release(sized, goals, histogram)
     can = rated.where((F.col("whole") < cap) & (F.col("size") > 0))
     missing = rated.groupBy("k").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("need"))
 

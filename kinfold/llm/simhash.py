@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.operators.components import connected_components
-from kinfold.session import materialise
+from kinfold.session import materialise, release
 
 #: How many reference fingerprints a pivot table has.
 PIVOTS = 16
@@ -197,4 +197,5 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = materialise(rooted.join(lowest, "root").select("fp", "component_id"))
+    release(classes)
     return prints.join(named, "fp").select(id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
