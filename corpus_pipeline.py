@@ -15,7 +15,7 @@ from kinfold.llm.mixing import mix
 from kinfold.llm.quality_rules import keep_good, learn
 from kinfold.llm.simhash import near_duplicates
 from kinfold.llm.suffix_dedup import remove_repeats
-from kinfold.session import materialise, table
+from kinfold.session import materialise, release, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -77,7 +77,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialise(docs)
-    return docs
+        out = stage(spark, docs, sf_dir)
+        if name == STAGES[-1][0]:
+            return out
+        before, docs = docs, materialise(out)
+        release(before)
