@@ -1,8 +1,8 @@
 """Learned quality rules: a decision list over text statistics, in DataFrame functions only.
 
 `statistics` derives counts from each whole text with built-in functions. `learn` takes a
-bounded sample of labelled rows (`max_rows`, the ones with the smallest hash of their id), lets Spark
-count them by binned statistics, and covers the bad ones sequentially: a rule grows by the
+bounded sample of labelled rows (`max_rows`, the ones with the smallest hash of their id), keeps those that
+pass the base rules, lets Spark count them by binned statistics, and covers the bad ones sequentially: a rule grows by the
 threshold with the best FOIL gain on two thirds of the sample, is pruned on the other third, and is
 kept if it is precise there; the rows it covers are then set aside. `verdict` turns the rules into one
 ordered conditional expression, evaluated inside the scan's stage.
@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.session import materialise, release
+
 #: The white space that separates words, and the characters counted as symbols. Fixed values.
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 
@@ -86,10 +88,11 @@ FEATURES = {
     "symbol_share": lambda: _share("n_symbols", "n_words"),
     "dup_line_share": lambda: _share("n_dup_lines", "n_lines"),
     "repeat_share": lambda: _share("n_repeat_words", "n_words"),
-    "distinct_share": lambda: _share("n_distinct_words", "n_words"),
+    # the exponent by which the vocabulary grows with the text; unlike a share it does not fall for long texts
+    "vocabulary_growth": lambda: F.when(F.col("n_words") > 1, F.log("n_distinct_words") / F.log("n_words")).otherwise(F.lit(1.0)),
 }
-#: Cut points are these quantiles of each feature over the sample.
-QUANTILES = [0.01, 0.02, 0.05, *[i / 20 for i in range(2, 19)], 0.95, 0.98, 0.99]
+#: Cut points are these quantiles of each feature over the bad and over the good rows of the sample.
+QUANTILES = [0.0, *[i / 64 for i in range(1, 64)], 1.0]
 
 
 @dataclass(frozen=True)
@@ -103,22 +106,33 @@ class Test:
         return x > self.cut if self.above else x <= self.cut
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 20_000, max_rules: int = 12, max_tests: int = 4, precision: float = 0.75) -> list[list[Test]]:
+def learn(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 20_000, max_rules: int = 12, max_tests: int = 4, precision: float = 0.9) -> list[list[Test]]:
     """Ordered rules, each a conjunction of tests; a row that meets any is bad (label 0)."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("k_"), (F.col(label) == 0).alias("bad"))
     chosen = chosen.orderBy(F.xxhash64("k_"), "k_", "bad").limit(max_rows)
     counts = docs.select(F.col(id).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("k") == F.col("k_")).select("bad", (F.pmod(F.xxhash64(F.lit(1), "k"), F.lit(3)) == 0).alias("held"), statistics(F.col("t")).alias("x"))
-    from kinfold.session import materialise
-
-    sample = materialise(counts.select("bad", "held", "x.*").select("bad", "held", *[f().alias(n) for n, f in FEATURES.items()]))
-    row = sample.agg(*[F.percentile_approx(n, QUANTILES, 10_000).alias(n) for n in FEATURES]).first()
-    cuts = {n: sorted(set(row[n] or [])) for n in FEATURES}
-    if not any(cuts.values()):
+    passed = counts.select("bad", "held", "x.*").where(~base_failed())
+    sample = materialise(passed.select("bad", "held", *[f().alias(n) for n, f in FEATURES.items()]))
+    both = sample.groupBy("bad").agg(*[F.percentile_approx(n, QUANTILES, 10_000).alias(n) for n in FEATURES]).collect()
+    cuts = {n: sorted({x for r in both for x in r[n]}) for n in FEATURES}
+    if len(both) < 2:
+        release(sample)
         return []
-    bins = [sum((F.when(F.col(n) > c, 1).otherwise(0) for c in cuts[n]), F.lit(0)).alias(n) for n in FEATURES]
+    bins = [_bin(n, cuts[n]) for n in FEATURES]
     # at most max_rows rows: the sample, counted by bins
-    table = [(r.held, r.p, r.n, tuple(r[3:])) for r in sample.select("held", "bad", *bins).groupBy("held", *FEATURES).agg(F.sum(F.col("bad").cast("int")).alias("p"), F.sum((~F.col("bad")).cast("int")).alias("n")).select("held", "p", "n", *FEATURES).collect()]
-    return [[Test(n, above, cuts[n][b]) for n, above, b in rule] for rule in cover(table, list(FEATURES), {n: len(c) for n, c in cuts.items()}, max_rules, max_tests, precision)]
+    table = [(r.held, r.p, r.n, tuple(r[3:])) for r in sample.select("held", "bad", *bins).groupBy("held", *FEATURES).agg(F.sum(F.col("bad").cast("int")).alias("p"), F.sum((~F.col("bad")).cast("int")).alias("n")).select("held", "p", "n", *FEATURES).orderBy("held", *FEATURES).collect()]
+    found = cover(table, list(FEATURES), {n: len(c) for n, c in cuts.items()}, max_rules, max_tests, precision)
+    # a cut stands midway between the values that it parts
+    used = sorted({(n, b) for rule in found for n, _, b in rule})
+    near = sample.agg(F.lit(0).alias("_"), *[f(F.when(side, F.col(n))).alias(f"{w}{k}") for k, (n, b) in enumerate(used) for w, f, side in (("a", F.max, F.col(n) <= cuts[n][b]), ("b", F.min, F.col(n) > cuts[n][b]))]).first()
+    middle = {u: cuts[u[0]][u[1]] if near[f"a{k}"] is None or near[f"b{k}"] is None else (near[f"a{k}"] + near[f"b{k}"]) / 2 for k, u in enumerate(used)}
+    release(sample)
+    return [[Test(n, above, middle[n, b]) for n, above, b in rule] for rule in found]
+
+
+def _bin(feature: str, cuts: list[float]) -> Column:
+    """How many cuts the feature is above."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(feature))).alias(feature)
 
 
 def cover(table: list[tuple], names: list[str], sizes: dict[str, int], max_rules: int, max_tests: int, precision: float) -> list[list[tuple]]:
@@ -128,6 +142,7 @@ def cover(table: list[tuple], names: list[str], sizes: dict[str, int], max_rules
         return all((bins[names.index(n)] > b) == above for n, above, b in rule)
 
     rules: list[list[tuple]] = []
+    least = max(1, sum(r[1] for r in table if r[0]) // 100)  # a rule must matter: a hundredth of the bad rows held out
     while len(rules) < max_rules:
         rule: list[tuple] = []
         rows = [r for r in table if not r[0]]
@@ -162,7 +177,7 @@ def cover(table: list[tuple], names: list[str], sizes: dict[str, int], max_rules
             break
         rule = max((rule[:k] for k in range(1, len(rule) + 1)), key=worth)
         value, hits = worth(rule)
-        if value < 2 * precision - 1 or not hits:
+        if value < 2 * precision - 1 or hits < least:
             break
         rules.append(rule)
         table = [r for r in table if not meets(r[3], rule)]
