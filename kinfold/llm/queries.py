@@ -150,3 +150,19 @@ WITH t AS (
 )
 SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM c
 """
+
+#: Texts as hex digits, two for each byte.
+ORACLE_SQL["op5_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (SELECT doc_id, s, substr(h, 2 * s + 1, 400) AS v FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 199, 0))) AS s FROM d)
+), again AS (SELECT v FROM w GROUP BY v HAVING count(*) > 1
+), m AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 0 ELSE 1 END AS new FROM w SEMI JOIN again USING (v)
+), g AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM m
+), spans AS (SELECT doc_id, k, min(s) AS a, max(s) + 200 AS b FROM g GROUP BY doc_id, k
+), pieces AS (
+    SELECT doc_id, k, substr(h, 2 * before + 1, 2 * (a - before)) AS p FROM (SELECT doc_id, k, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS before FROM spans) JOIN d USING (doc_id)
+    UNION ALL SELECT doc_id, 1000000000, substr(h, 2 * coalesce(last, 0) + 1) FROM d LEFT JOIN (SELECT doc_id, max(b) AS last FROM spans GROUP BY doc_id) USING (doc_id)
+), kept AS (SELECT doc_id, sha256(unhex(string_agg(p, '' ORDER BY k))) AS kept_sha256 FROM pieces GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id) USING (doc_id)
+"""
