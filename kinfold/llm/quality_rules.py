@@ -110,7 +110,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str =
     """Ordered rules, each a conjunction of tests; a row that meets any is bad (label 0)."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("k_"), (F.col(label) == 0).alias("bad"))
     chosen = chosen.orderBy(F.xxhash64("k_"), "k_", "bad").limit(max_rows)
-    counts = docs.select(F.col(id).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("k") == F.col("k_")).select("bad", (F.pmod(F.xxhash64(F.lit(1), "k"), F.lit(3)) == 0).alias("held"), statistics(F.col("t")).alias("x"))
+    counts = docs.select(F.col(id).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("k") == F.col("k_")).select("bad", (F.pmod(F.xxhash64(F.lit(1), "k"), F.lit(3)) == 0).alias("held"), F.explode(F.array(statistics(F.col("t")))).alias("x"))
+    # out of a generator, so that no filter on them is pushed below it and evaluates them anew
     passed = counts.select("bad", "held", "x.*").where(~base_failed())
     sample = materialise(passed.select("bad", "held", *[f().alias(n) for n, f in FEATURES.items()]))
     both = sample.groupBy("bad").agg(*[F.percentile_approx(n, QUANTILES, 10_000).alias(n) for n in FEATURES]).collect()
