@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.decontaminate import find_leaks
 from kinfold.llm.mixing import mix
+from kinfold.llm.near_copies import near_copies, text_key
 from kinfold.llm.quality_rules import keep_good, learn
-from kinfold.llm.simhash import near_duplicates
 from kinfold.llm.suffix_dedup import remove_repeats
 from kinfold.session import materialise, release, table
 
@@ -26,13 +26,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id.
+    """One document of each group of near copies (five-word Jaccard similarity of 0.8 or more, and what that links) stays.
 
-    Of equal rows one stays. Documents without an id stay if their whole group has none.
+    It is the one with the smallest id, and among texts of one id the one with the smallest text key; null ids come
+    last. Rows are told apart by id and text; of equal rows one stays.
     """
-    groups = near_duplicates(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_"))
-    kept = docs.join(materialise(first.distinct()), F.col("doc_id").eqNullSafe(F.col("keep_")), "left_semi")
+    groups = near_copies(docs)
+    first = materialise(groups.groupBy("root").agg(F.min(F.struct(F.col("d").isNull(), "d", "t")).alias("x")).select(F.col("x.d").alias("d_"), F.col("x.t").alias("t_")))
+    release(groups)
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("d_")) & (text_key() == F.col("t_")), "left_semi")
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
