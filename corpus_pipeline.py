@@ -49,9 +49,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = materialise(find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_")).distinct())
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leak_")), "left_anti")
+    """Documents that hold a benchmark item go; which ones is a matter of their texts, so null or repeated ids do not matter."""
+    keyed = docs.select(text_key().alias("t_"), "text")
+    leaks = materialise(find_leaks(keyed, table(spark, sf_dir, "benchmark"), id="t_").select(F.col("t_").alias("leak_")).distinct())
+    return docs.join(leaks, text_key() == F.col("leak_"), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

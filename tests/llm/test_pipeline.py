@@ -53,3 +53,20 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tables):
         assert out.count() == 0, name
         if k < len(pipeline.STAGES) - 1:
             assert out.columns == docs.columns
+
+
+def test_decisions_tell_rows_of_one_id_apart(spark, tables):
+    folder, docs, _ = tables
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    rng = random.Random(12)
+    clean, other, leak = prose(rng, 90, 3000), prose(rng, 90, 3000), prose(rng, 30, 3000) + " " + item
+    rows = [(None, clean, "en", "s0", None), (None, leak, "en", "s0", None), (5, other, "en", "s0", None), (5, leak + " x", "en", "s0", None), (6, clean + " end", "en", "s1", None), (None, None, "en", "s1", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = pipeline.decontamination(spark, df, folder).collect()
+    assert sorted((tuple(r) for r in kept), key=repr) == sorted((rows[i] for i in (0, 2, 4, 5)), key=repr)
+    rows += [(7, leak, "en", "s1", None), (5, other + " end", "en", "s1", None), (None, "q " + prose(rng, 70, 3000), "en", "s1", None)]
+    kept = pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), folder).collect()
+    fives = [t for _, t, *_ in rows if t and t.startswith(other)]
+    got = [(r.doc_id, r.text) for r in kept]
+    assert sum(t in fives for _, t in got) == 1
+    assert sorted([x for x in got if x[1] not in fives], key=repr) == sorted([(5, leak + " x"), (6, clean + " end"), (None, None), (None, rows[-1][1])], key=repr)
