@@ -56,7 +56,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its copies in the mix: the columns of documents, and size, target, copies, taken."""
+    """A plan of the mix, not the mixed rows: every document once, with size, target, copies and taken.
+
+    Documents of no copies, which the mix excludes, are in it; `take` makes the mixed corpus of it.
+    """
     new = ["size", "target", "copies", "taken"]
     plan = mix(docs).select(F.col("doc_id").alias("d_"), F.col("source").alias("s_"), *new).distinct()  # equal rows have equal copies
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS)).cast("long")
@@ -65,6 +68,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return own.join(plan, same).select(*[c for c in own.columns if c != "size_"], *new)
 
 
+def take(planned: DataFrame) -> DataFrame:
+    """The mixed corpus of what `mixing` or `run` returns: each row as often as its copies say, those of none not at all."""
+    return planned.where("copies > 0").withColumn("again_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("again_")
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),

@@ -70,3 +70,15 @@ def test_decisions_tell_rows_of_one_id_apart(spark, tables):
     got = [(r.doc_id, r.text) for r in kept]
     assert sum(t in fives for _, t in got) == 1
     assert sorted([x for x in got if x[1] not in fives], key=repr) == sorted([(5, leak + " x"), (6, clean + " end"), (None, None), (None, rows[-1][1])], key=repr)
+
+
+def test_mixing_makes_the_copies(spark, tables):
+    folder, *_ = tables
+    rng = random.Random(13)
+    docs = spark.createDataFrame([(i, prose(rng, rng.randrange(20, 200)), "en", f"s{i % 3}", None) for i in range(150)], SCHEMA)
+    plan = pipeline.mixing(spark, docs, folder)
+    copies = {r.doc_id: r.copies for r in plan.collect()}
+    assert len(copies) == 150 and set(copies.values()) >= {0, 1, 2}
+    taken = pipeline.take(plan)
+    assert taken.columns == plan.columns
+    assert sorted(r.doc_id for r in taken.collect()) == sorted(i for i, n in copies.items() for _ in range(n))
