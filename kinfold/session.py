@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -31,6 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where that is unset (tests, one machine), a temporary one."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        # executors on other machines would each write to a disk of their own
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors and the driver share")
         given = "file://" + tempfile.mkdtemp(prefix="kinfold-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")
@@ -75,14 +79,15 @@ def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return out
 
 
-#: A table that is one file of this many bytes is dealt out to all cores: one row group would be one task. Real tables are folders.
-ONE_FILE = (1 << 20, 256 << 20)
+#: If this setting is true, `table` deals out a table whose scan has fewer tasks than there are cores (one row group is one task).
+SPREAD = "spark.kinfold.spreadSmallScans"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table `name` of the folder, as the scan gives it; see SPREAD."""
     ship(spark)
-    where = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-    df = spark.read.parquet(where)
-    return df.repartition(spark.sparkContext.defaultParallelism) if status.isFile() and ONE_FILE[0] <= status.getLen() <= ONE_FILE[1] else df
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spark.conf.get(SPREAD, "false") != "true":
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
