@@ -121,6 +121,67 @@ def test_license_matches(spark):
     assert scan_licenses(frame(spark, [])).collect() == []
 
 
+def _brute_licenses(doc, templates, band, threshold, low=0, high=None):
+    """Best match of any template on any diagonal between low and high; then the same on both sides of it."""
+    high = len(doc) if high is None else high
+    best = None
+    for name, t in sorted(templates.items()):
+        for s in range(low - len(t), high):
+            # (matched, -begin, -end) of the template's first i words against words before p, by place p
+            rows = {}
+            for i in range(len(t) + 1):
+                for p in range(i + s - band - 1, i + s + band + 1):
+                    options = [(0, 0, 0)]
+                    if i and (i - 1, p) in rows:
+                        options.append(rows[i - 1, p])
+                    if (i, p - 1) in rows:
+                        options.append(rows[i, p - 1])
+                    if i and low < p <= high and -band <= p - i - s <= band and (i - 1, p - 1) in rows and doc[p - 1] == t[i - 1]:
+                        k, b, _ = rows[i - 1, p - 1]
+                        options.append((k + 1, b if k else -(p - 1), -p))
+                    rows[i, p] = max(options)
+            k, b, e = max(rows.values())
+            if k and k >= threshold * len(t):
+                x = (-k, -k / len(t), name, -b, -e)
+                best = min(best or x, x)
+    if best is None:
+        return []
+    mine = (best[2], -best[0], best[3], best[4])
+    return _brute_licenses(doc, templates, band, threshold, low, best[3]) + [mine] + _brute_licenses(doc, templates, band, threshold, best[4], high)
+
+
+def test_license_scan_matches_an_alignment_on_every_diagonal(spark):
+    rng = random.Random(14)
+    many = [f"q{i}" for i in range(18)]
+    known = {"seven": "licensed under by nc four point oh", "six": "released as all my license text", "many": " ".join(many), "more": " ".join([*many[:15], "other", "end"])}
+    rows = []
+    for i in range(40):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            w = known[rng.choice(sorted(known))].split()
+            for _ in range(rng.randrange(3)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randrange(2)] = rng.choice([[], ["new"], [rng.choice(w)]])
+            parts += w[rng.randrange(3) :] + prose(rng, rng.randrange(4), 20).split()
+        rows.append((i, " ".join(parts)))
+    want = [(i, *x) for i, t in rows for x in sorted(_brute_licenses(t.split(), {k: v.split() for k, v in known.items()}, 2, 0.8), key=lambda x: x[2])]
+    got = [(r.doc_id, r.license, r.n_matched, r.begin, r.end) for r in scan_licenses(frame(spark, rows), known, band=2).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 40
+
+
+def test_neighbouring_and_shortened_licenses_in_long_texts(spark):
+    rng = random.Random(15)
+    gpl = TEMPLATES["GPL-3.0"]
+    short = " ".join(gpl.split()[2:])
+    rows = [(1, gpl + " " + short), (2, gpl + " one two three four " + short), (3, prose(rng, 30_000) + " " + TEMPLATES["BSD-2-Clause"] + " " + prose(rng, 30_000)), (4, TEMPLATES["GPL-2.0-statement"]), (5, TEMPLATES["BSD-3-Clause"] * 300)]
+    got = {}
+    for r in scan_licenses(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.n_matched, r.begin))
+    assert got[1] == [("GPL-3.0", 104, 0), ("GPL-3.0", 102, 104)] and got[2] == [("GPL-3.0", 104, 0), ("GPL-3.0", 102, 108)]
+    assert got[3] == [("BSD-2-Clause", 186, 30_000)] and got[4] == [("GPL-2.0-statement", 12, 0)]
+    assert len(got[5]) == 300
+
+
 # --- quality rules ---------------------------------------------------------------------------
 
 
