@@ -1,4 +1,7 @@
+import gzip
 import random
+import time
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from kinfold.llm.licenses import TEMPLATES, scan_licenses
 from kinfold.llm.mixing import mix
 from kinfold.llm.quality_rules import COUNTS, base_failed, cover, judge, keep_good, learn
 from kinfold.llm.token_counts import count_tokens
-from kinfold.llm.warc import build_derivatives, pack, parse, plain_text, read
+from kinfold.llm.warc import LINES, NO_TEXT, RAW, build_derivatives, derive_records, pack, parse, plain_text, read, record, scan
 
 from .helpers import corpus, frame, prose, words
 
@@ -296,5 +299,99 @@ def test_warc_derivatives(spark, tmp_path):
     for f in pack(out, per_file=3).collect():
         (folder / f.name).write_bytes(f.content)
     back = read(spark, str(folder)).collect()
-    assert sorted(r.record_id for r in back) == sorted(r.record_id for r in rows) or len(back) >= 6
+    assert sorted(r.record_id for r in back) == sorted(r.record_id for r in rows)
     assert build_derivatives(pages.where("false")).collect() == []
+
+
+class _Reader(HTMLParser):
+    """Text and links of well-formed pages by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.links, self.skip = [], {}, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.links |= {v.strip(): None for k, v in attrs[:] if k == "href" and v and v.strip()}
+        if tag in RAW | NO_TEXT:
+            self.parts += [] if self.skip else [" "]
+            self.skip.append(tag)
+        elif tag in LINES and not self.skip:
+            self.parts.append("\n")
+
+    def handle_startendtag(self, tag, attrs):
+        if tag not in NO_TEXT:
+            self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if self.skip and tag == self.skip[-1]:
+            self.skip.pop()
+        elif tag in LINES and not self.skip:
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        self.parts += [] if self.skip else [data]
+
+
+def _read(page):
+    p = _Reader()
+    p.feed(page)
+    p.close()
+    lines = (" ".join(x.replace("\xa0", " ").split(" ")).split() for x in "".join(p.parts).split("\n"))
+    return "\n".join(" ".join(x) for x in lines if x), list(p.links)
+
+
+def test_scan_agrees_with_another_parser():
+    rng = random.Random(16)
+    for _ in range(300):
+        parts = ["<html><body class='x y'>"]
+        for _ in range(rng.randrange(1, 25)):
+            word = rng.choice(["a b", "&lt;p&gt; &amp; &eacute;&#233;", "  spaced   out ", "1 < 2", "line\nbreak", "ü", "\t"])
+            parts.append(rng.choice([f"<p>{word}</p>", f"<b>{word}</b>", f"<div id=\"1>2\">{word}</div>", "<br/>", "<!-- <p>no</p> -->", "<script>if (a<b) '<p>'</script>", f"<a title='>' href=\"/{rng.randrange(5)}?a&amp;b\">{word}</a>", "<A HREF=/q>x</A>", f"<svg><g>{word}</g></svg>", "<svg/>", "<template><p>t</p></template>", "<noscript><a href='/n'>n</a></noscript>", "<style>p > b {}</style>", word, "<a name=z>", f"<li>{word}<ul><li>{word}</ul>"]))
+        page = "".join(parts) + "</body></html>"
+        assert scan(page) == _read(page), page
+
+
+def test_hostile_pages_take_linear_time_and_lose_nothing_else(spark):
+    pieces = ["<a ", "<b", " ", "<!-- ", "<iframe>", '<a ">" ', "<a '", "<svg>", "</svg>", "<a href", "&#9", "&#0", "&", "<a href='x' ", "<template>"]
+    pages = [("start " + x * (5_000_000 // len(x))) for x in pieces]
+    begun = time.time()
+    for page in pages:
+        assert scan(page)[0].startswith("start")
+    assert time.time() - begun < 60
+    assert plain_text("a <svg viewbox=1/> b <object data=x>c") == "a b c" and plain_text("a<script>b") == "a" and plain_text("x &#99999999999999999999; y") == "x \ufffd y"
+    assert scan('a <p class="x>b</p><a href=/y>c</a>') == ("a\nb\nc", ["/y"])
+    out = build_derivatives(spark.createDataFrame([(1, "u", pages[0]), (2, None, "ok")], "page_id long, url string, html string")).collect()
+    assert len(out) == 4
+
+
+def test_real_responses(spark, tmp_path):
+    def http(head, body):
+        return head.encode() + b"\r\n\r\n" + body
+
+    page = "<p>grüße</p><a href='/x'>y</a>".encode("latin-1")
+    chunked = b"5;x=1\r\n" + page[:5] + b"\r\n%x\r\n" % len(page[5:]) + page[5:] + b"\r\n0\r\n\r\n"
+    blocks = [
+        http("HTTP/1.1 203 Odd\r\nServer:nginx\r\nContent-Type: text/html; charset=iso-8859-1", page),
+        http("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\nTransfer-Encoding: chunked", chunked),
+        http("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\nContent-Encoding: gzip", gzip.compress(page)),
+        http("HTTP/1.1 200 OK\r\nContent-Type: image/png", b"\x89PNG"),
+        http("HTTP/1.1 200 OK\r\nContent-Type: text/plain", b"a <b> c"),
+    ]
+    data = [record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<i>")], b"software: x\r\n")]
+    data += [record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{i}>"), ("WARC-Target-URI", f"http://h/{i}"), ("WARC-Date", "2020-01-02T03:04:05Z")], b) for i, b in enumerate(blocks)]
+    loose = b"\r\nWARC/1.0\nwarc-type:response\nWARC-Record-ID: <9>\nX-Folded: a\n b\ncontent-length:%d\n\n" % len(blocks[0]) + blocks[0] + b"\r\n\r\n\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in data))
+    (tmp_path / "b.warc").write_bytes(b"".join(data[:2]) + loose)
+    back = read(spark, str(tmp_path))
+    assert back.count() == len(data) + 3 and {r.fields.get("X-Folded") for r in back.collect()} == {None, "a b"}
+    got = {(r.refers_to, r.record_type): next(parse(bytes(r.record))) for r in derive_records(back).collect()}
+    assert {k for k in got if k[1] == "conversion"} == {(f"<{i}>", "conversion") for i in (0, 1, 2, 4, 9)}
+    for i in (0, 1, 2, 9):
+        assert got[f"<{i}>", "conversion"][1].decode() == "grüße\ny" and b"outlink: /x" in got[f"<{i}>", "metadata"][1]
+    assert got["<4>", "conversion"][1] == b"a <b> c"
+    fields, about = got["<0>", "metadata"]
+    assert fields["WARC-Date"] == "2020-01-02T03:04:05Z" and fields["WARC-Target-URI"] == "http://h/0"
+    assert b"source-status: HTTP/1.1 203 Odd" in about and b"source-header-server: nginx" in about
+    with pytest.raises(ValueError):
+        list(parse(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n"))
