@@ -44,79 +44,91 @@ LINES = set(
     "li main nav ol p pre section table tbody td tfoot th thead title tr ul".split()
 )
 # all repetition is possessive, so no pattern goes back over what it has read
-_OPEN = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+))")
+_OPEN = re.compile(r"<(?:(!--)|[!?]|(/?)([A-Za-z][^\s/>]*+))")
 _REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
 _SPACES = re.compile(r"[ \t\r\f\v\u00a0]++")
 _ZEROS, _HUGE = re.compile(r"&#([xX]?)0{8,}+"), re.compile(r"&#(?:[xX]0*+[0-9a-fA-F]{8,}+|0*+[0-9]{8,}+);?")
 _CHARSET = re.compile(rb"charset\s*+=\s*+[\"']?([\w.:-]++)", re.I)
+_KNOWN = {x: x for x in LINES | RAW | NO_TEXT | {"a", "b", "i", "em", "strong", "span", "img"}}
 _LOWER = {c: c + 32 for c in range(65, 91)}
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's for URLs
 
 
 def unescape(text: str) -> str:
     """Entities decoded; numbers beyond any character are U+FFFD."""
-    return html.unescape(_HUGE.sub("\ufffd", _ZEROS.sub(r"&#\g<1>0", text)))
+    return html.unescape(_HUGE.sub("\ufffd", _ZEROS.sub(r"&#\g<1>0", text)) if "&#" in text else text)
 
 
 def scan(page: str) -> tuple[str, list[str]]:
     """A page's text (one line for each block, entities decoded, white space folded) and the targets of its links."""
     parts: list[str] = []
     links: dict[str, None] = {}
-    at, strict, lower = 0, True, None
+    at, last, strict, lower = 0, 0, True, None  # last: where the text before the next tag begins
     inside, depth, last_end = "", 0, {}  # an element without text that the scan is in
     while m := _OPEN.search(page, at):
+        comment, end_mark, name = m.groups()
+        begin, at = m.span()
         if not inside:
-            parts.append(page[at : m.start()])
-        if m["comment"]:
-            at = m.end()
-            short = next((x for x in (">", "->") if page.startswith(x, at)), None)
-            end = at + len(short) if short else page.find("-->", at) + 3
-            if end == 2:
+            parts.append(page[last:begin])
+        if name is None:
+            if comment:
+                short = 1 if page.startswith(">", at) else 2 if page.startswith("->", at) else 0
+                stop = at + short if short else page.find("-->", at) + 3
+            else:
+                stop = page.find(">", at) + 1
+            if stop < at:  # nothing closes it
                 return _folded(parts), list(links)
-            at = end
+            at = last = stop
             continue
-        rest = _REST.match(page, m.end()) if strict else None
+        rest = _REST.match(page, at) if strict else None
         if rest is None:
-            end = page.find(">", m.end()) + 1
-            if not end:  # nothing closes it
+            stop = page.find(">", at) + 1
+            if not stop:
                 return _folded(parts), list(links)
             strict = False  # a quote is never closed; from here on none counts, so that no stretch is read again and again
         else:
-            end = rest.end()
-        at, name = end, (m["name"] or "").lower()
-        if not name:
+            stop = rest.end()
+        attributes, at = at, stop
+        last = stop
+        name = _KNOWN.get(name) or name.lower()
+        if name in LINES:
+            if not inside:
+                parts.append("\n")
             continue
-        closed = page[end - 2] == "/"
-        if m["end"]:
+        if name == "a":
+            if not end_mark:
+                links |= dict.fromkeys(_target(page[attributes : stop - 1]))
+            continue
+        if name not in RAW and name not in NO_TEXT:
+            continue
+        if end_mark:
             if name == inside:
                 depth -= 1
         else:
-            if name == "a":
-                links |= dict.fromkeys(_target(page[m.end() : end - 1]))
-            if (name in RAW or name in NO_TEXT) and name not in last_end:
+            if name not in last_end:
                 if lower is None:
-                    lower = page.lower() if page.isascii() else page.translate(_LOWER)
+                    lower = page.lower()
+                    lower = lower if len(lower) == len(page) else page.translate(_LOWER)  # places must stay
                 last_end[name] = lower.rfind(f"</{name}")
+            closed = page[stop - 2] == "/"
             if name in RAW and not (closed and name == "iframe"):
-                if last_end[name] >= end:
-                    at = lower.find(f"</{name}", end)
+                if last_end[name] >= stop:
+                    at = last = lower.find(f"</{name}", stop)
                 elif name != "iframe":
                     return _folded(parts), list(links)
                 if not inside:
                     parts.append(" ")
             elif name in NO_TEXT and not closed:
-                if not inside and last_end[name] >= end:
+                if not inside and last_end[name] >= stop:
                     inside, depth = name, 1
                     parts.append(" ")
                 elif name == inside:
                     depth += 1
         if inside and (not depth or at > last_end[inside]):
             inside = ""
-        if name in LINES and not inside:
-            parts.append("\n")
     if not inside:
-        parts.append(page[at:])
+        parts.append(page[last:])
     return _folded(parts), list(links)
 
 
@@ -129,8 +141,7 @@ def _target(attributes: str) -> list[str]:
 
 
 def _folded(parts: list[str]) -> str:
-    lines = (_SPACES.sub(" ", x).strip() for x in unescape("".join(parts)).split("\n"))
-    return "\n".join(x for x in lines if x)
+    return "\n".join(filter(None, map(str.strip, _SPACES.sub(" ", unescape("".join(parts))).split("\n"))))
 
 
 def plain_text(page: str) -> str:
@@ -175,12 +186,13 @@ def parse(data: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, stream.read(int(fields["Content-Length"]))
 
 
-def response(uri: str | None, date: str, payload: bytes, own: str) -> tuple[dict[str, str], bytes]:
-    """Named fields and block of a response record for a fetched page; `own` makes its id."""
+def response(uri: str | None, date: str, payload: bytes, key: object) -> tuple[dict[str, str], bytes]:
+    """Named fields and block of a response record for a fetched page; the key, URI and payload make its id."""
+    of = digest(payload)
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
-    name = f"<urn:uuid:{uuid.uuid5(NAMESPACE, own)}>"
+    name = f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{key} {uri} {of}')}>"
     fields = {"WARC-Type": "response", "WARC-Record-ID": name, "WARC-Target-URI": uri or "", "WARC-Date": date, "Content-Type": "application/http; msgtype=response"}
-    return fields | {"WARC-Block-Digest": digest(block), "WARC-Payload-Digest": digest(payload)}, block
+    return fields | {"WARC-Block-Digest": digest(block), "WARC-Payload-Digest": of}, block
 
 
 def _split(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -265,7 +277,7 @@ def build_derivatives(pages: DataFrame, *, id: str = "page_id", url: str = "url"
             rows, who = [], []
             for i, (k, u, p, d) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
                 payload = (p or "").encode()
-                for x in derive(*response(u, d, payload, f"{k} {u} {digest(payload)}")):
+                for x in derive(*response(u, d, payload, k)):
                     rows.append((*x[:3], u, *x[3:]))
                     who.append(i)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who, pa.int64())), *_columns(rows)], names=[id, *_NAMES])
