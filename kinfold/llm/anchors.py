@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.session import materialise
+
 #: Odd multiplier of the polynomial hashes, and the constants of the splitmix64 finaliser. Fixed values.
 BASE, MIX1, MIX2, GOLDEN = 0x9E6C63D0876A46AD, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 #: Symbols looked at together; longer documents are cut with an overlap (cutting a run is always safe).
@@ -204,7 +206,8 @@ def candidates(found: DataFrame, across: bool = False) -> DataFrame:
         often = found.groupBy("a").agg(F.min("d").alias("x"), F.max("d").alias("y"), F.max(F.col("d").isNull()).alias("z")).where("x <> y OR (z AND x IS NOT NULL)")
     else:
         often = found.groupBy("a").agg(F.sum(times()).alias("k")).where("k > 1")
-    return found.join(often.select("a").hint("shuffle_hash"), "a")
+    # a table of its own: a join of two plain exchanges is one whose hot keys the planner can split
+    return found.join(materialise(often.select("a")).hint("shuffle_hash"), "a")
 
 
 def times() -> Column:

@@ -1,22 +1,28 @@
-"""Near copies by word-shingle Jaccard similarity, found completely and verified on the texts.
+"""SimHash near-duplicates by word-shingle Jaccard similarity: the part of `simhash` for similarities that a few bits do not reach.
 
-1. A row's set is its distinct `width`-word shingles. Its prefix is the first
+1. A row's set is its distinct `width`-word shingles, its fingerprint their SimHash. Its prefix is the first
    n - ceil(similarity * n) + 1 hashes of the set in one fixed order: two sets of that similarity
    have a hash in common within their prefixes, so no pair is missed. The order puts shingles that are
    frequent in a sample last; the sample decides speed only.
 2. Equal texts become one class. Prefix hashes of one class only go at once.
-3. Each class is first verified against the smallest and the largest class that it shares most
-   hashes with, and what is linked is contracted, so a large group of near copies never meets all
-   its pairs. Then every pair of classes of different components that shares a hash is counted; pairs
-   whose sizes or number of common hashes rule the similarity out go, the others are verified.
-4. Components by large-star/small-star.
+3. Candidates are classes that share a prefix hash and whose fingerprints are within `radius(similarity)` bits: a bit of two such sets
+   differs with probability acos(2s / (1 + s)) / pi, and the radius is six standard deviations above that mean. At
+   0.8 that is 26 of 64 bits: eleven of twelve unrelated pairs go. No pivot discards anything at such a radius.
+4. In each of ROUNDS rounds each class is compared with the two ends of its groups in an order of that round,
+   the ones of them that it shares most hashes with; what is linked is contracted, so a large group of near copies
+   never meets all its pairs.
+5. Then all pairs of classes of different components that share a hash are made in bounded groups (`simhash.in_groups`), where
+   fingerprints, sizes and components discard pairs before anything is emitted. Pairs whose number of common hashes rules
+   the similarity out go; the others are verified.
+6. Components by large-star/small-star.
 
 Verification compares the shingles' words, not hashes. Words are A-Z-lowered runs between white space; a text of
-fewer words than `width` is one shingle. Null and word-free texts are copies of each other.
+fewer words than `width` is one shingle. Null and word-free texts are copies of each other. Very long texts are read whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -26,12 +32,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.simhash import shingle_hashes
+from kinfold.llm.simhash import CHUNK, in_groups, shingle_hashes, simhashes, within
 from kinfold.operators.components import connected_components
 from kinfold.session import materialise, release
 
 #: Rows sampled for frequent shingles (or SHARE of all, if that is more), and how many of these are kept.
 SAMPLE, SHARE, FREQUENT = 5000, 0.02, 1 << 18
+ROUNDS = 3
+#: Pairs that one copy of a text is compared with; a text asked for more often is dealt out in copies.
+ASKED = 64
 
 
 def text_key(text: str = "text") -> Column:
@@ -39,6 +48,12 @@ def text_key(text: str = "text") -> Column:
     return F.coalesce(F.unhex(F.md5(F.col(text).cast("string").cast("binary"))), F.lit(b"null"))
 
 
+def radius(similarity: float, deviations: float = 6, bits: int = 64) -> int:
+    """Bits within which fingerprints of sets of this Jaccard similarity lie."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return min(bits, int(bits * p + deviations * math.sqrt(bits * p * (1 - p))))
+
+
 def _sets(raw: bytes, width: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(raw, width), np.uint64).view(np.int64))
 
@@ -60,17 +75,19 @@ def frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.nda
 
 
 def prefixes(docs: DataFrame, id: str, text: str, width: int, ratio: Fraction) -> DataFrame:
-    """(d, t, n, p): id, text key, size of the set and its prefix."""
+    """(d, t, n, fp, p): id, text key, size of the set, its fingerprint and its prefix."""
     seen = docs.sparkSession.sparkContext.broadcast(frequent(docs, text, width))
     p, q = ratio.numerator, ratio.denominator
+    names = ["d", "t", "n", "fp", "p"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = seen.value
         for b in batches:
-            sizes, heads = [], []
+            sizes, heads, prints = [], [], []
             for t in pc.cast(b.column(2), pa.binary()):
                 h = _sets(t.as_py() or b"", width)
                 n = len(h)
+                prints.append(simhashes(h, np.array([n])))
                 if n and len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.lexsort((h, np.where(common[at] == h, counts[at], 0)))]
@@ -78,11 +95,12 @@ def prefixes(docs: DataFrame, id: str, text: str, width: int, ratio: Fraction) -
                 heads.append(h[: n - -(-p * n // q) + 1])
             ends = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
             flat = np.concatenate(heads) if heads else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["d", "t", "n", "p"])
+            fps = np.concatenate(prints).view(np.int64) if prints else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(fps), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=names)
 
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("d"), text_key(text).alias("t"), F.col(text).cast("string").alias("x"))
-    return rows.mapInArrow(run, f"d {kind}, t binary, n int, p array<long>")
+    return rows.mapInArrow(run, f"d {kind}, t binary, n int, fp long, p array<long>")
 
 
 def _shingles(raw: bytes, width: int) -> set[bytes]:
@@ -91,11 +109,12 @@ def _shingles(raw: bytes, width: int) -> set[bytes]:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, width: int, ratio: Fraction) -> DataFrame:
-    """The pairs (a, b) of classes whose texts have the similarity."""
+    """The pairs (a, b) of classes whose texts have the similarity. A text that many pairs ask for is dealt out in copies."""
     p, q = ratio.numerator, ratio.denominator
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    keys = classes.join(asked, "c", "left_semi").select("c", F.col("k").alias("t"))
-    texts = materialise(docs.select(text_key(text).alias("t"), F.col(text).cast("string").alias("x")).join(keys, "t").dropDuplicates(["c"]).select("c", "x"))
+    asked = pairs.groupBy(F.col("b").alias("c")).agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
+    asked = materialise(asked.unionByName(pairs.select(F.col("a").alias("c"), F.lit(0).alias("parts"))).groupBy("c").agg(F.max("parts").alias("parts")))
+    keys = classes.join(asked, "c").select("c", F.col("k").alias("t"), "parts")
+    texts = materialise(docs.select(text_key(text).alias("t"), F.col(text).cast("string").alias("x")).join(keys, "t").dropDuplicates(["c"]).select("c", "x", "parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, set()
@@ -111,47 +130,79 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, w
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([a_.filter(keep), b_.filter(keep)], names=["a", "b"])
 
-    left = pairs.join(texts.select(F.col("c").alias("a"), F.col("x").alias("u")), "a")
-    both = left.join(texts.select(F.col("c").alias("b"), F.col("x").alias("v")), "b").select("a", "b", "u", "v")
-    out = materialise(both.mapInArrow(run, "a long, b long"))
-    release(texts)
+    salted = pairs.join(asked.select(F.col("c").alias("b"), "parts"), "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("z"))
+    left = salted.join(texts.select(F.col("c").alias("a"), F.col("x").alias("u")), "a")
+    right = texts.where("parts > 0").select(F.col("c").alias("b"), F.col("x").alias("v"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("z"))
+    out = materialise(left.join(right, ["b", "z"]).select("a", "b", "u", "v").mapInArrow(run, "a long, b long"))
+    release(texts, asked)
     return out
 
 
-def near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(d, t, root): each row's id and text key, and a number for its group of near copies."""
-    ratio = Fraction(str(similarity))
+def _apart(x: str, y: str, most_bits: int, ratio: Fraction) -> Column:
+    """Whether what two structs (n, fp, g) of classes tell leaves a link of different components possible."""
     p, q = ratio.numerator, ratio.denominator
-    prints = materialise(prefixes(docs, id, text, width, ratio).withColumn("r", F.monotonically_increasing_id()))
-    key = F.when(F.col("n") == 0, F.lit(b"")).otherwise(F.col("t"))
-    classes = materialise(prints.groupBy(key.alias("k")).agg(F.min("r").alias("c")))
-    own = prints.join(classes.select("c"), F.col("r") == F.col("c"), "left_semi")
-    single = own.select(F.col("r").alias("c"), "n", F.explode("p").alias("h"))
-    shared = single.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-    member = materialise(single.join(shared.hint("shuffle_hash"), "h"))
+    small, large = F.least(f"{x}.n", f"{y}.n").cast("long"), F.greatest(f"{x}.n", f"{y}.n").cast("long")
+    return (F.col(f"{x}.g") != F.col(f"{y}.g")) & (small * q >= large * p) & (F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp"))) <= most_bits)
+
+
+def _candidates(placed: DataFrame, most_bits: int, ratio: Fraction, chunk: int) -> DataFrame:
+    """(a, b) of all pairs of different components that may have the similarity; placed: h, c, n, fp, g."""
+    p, q = ratio.numerator, ratio.denominator
+    mixed = placed.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n_")).where("lo < hi").select("h", "n_")
+
+    def work(group, side, c, n, fp, g) -> Iterator[pa.RecordBatch]:
+        for i, j in within(fp.view(np.uint64), group, side, most_bits):
+            keep = (g[i] != g[j]) & (np.minimum(n[i], n[j]).astype(np.int64) * q >= np.maximum(n[i], n[j]).astype(np.int64) * p)
+            i, j = i[keep], j[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(c[i], c[j])), pa.array(np.maximum(c[i], c[j])), pa.array((n[i] + n[j]).astype(np.int64)), pa.array(np.maximum(n[i], n[j]).astype(np.int64))], names=["a", "b", "s", "large"]
+            )
 
-    star = member.select("c", F.explode(F.array("lo", "hi")).alias("o"), (F.col("o") == F.col("lo")).alias("low")).where("c <> o").groupBy("c", "low", "o").count()
-    best = star.groupBy("c", "low").agg(F.max_by("o", F.struct("count", "o")).alias("o"))
-    near = materialise(best.select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).distinct())
-    first = verified(near, classes, docs, text, width, ratio)
-    known = materialise(connected_components(first).select(F.col("node").alias("c"), "component"))
-
-    placed = member.select("h", "c", "n").join(known, "c", "left").withColumn("g", F.coalesce("component", "c")).select("h", "c", "n", "g")
-    mixed = placed.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("h")
-    # lists by component: classes that are linked already are never paired
-    lists = materialise(placed.join(mixed, "h").groupBy("h", "g").agg(F.collect_list(F.struct("c", "n")).alias("l")))
-    x, y = lists.select("h", F.col("g").alias("gx"), F.col("l").alias("lx")), lists.select("h", F.col("g").alias("gy"), F.col("l").alias("ly"))
-    met = x.join(y, "h").where("gx < gy").select(F.explode("lx").alias("x"), "ly").select("x", F.explode("ly").alias("y"))
-    small, large = F.least("x.n", "y.n").cast("long"), F.greatest("x.n", "y.n").cast("long")
-    met = met.where(small * q >= large * p).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"), (small + large).alias("s"), large.alias("large"))
+    met = in_groups(placed.join(mixed, "h"), ["h"], ["c", "n", "fp", "g"], work, "a long, b long, s long, large long", chunk)
     counted = met.groupBy("a", "b", "s", "large").count()
     # common shingles: those of the prefixes, and at most all that a prefix leaves out
     most = F.col("count") + F.floor((F.col("large") * p + (q - 1)) / q) - 1
-    pairs = materialise(counted.where(most * (p + q) >= F.col("s") * p).select("a", "b"))
-    second = verified(pairs, classes, docs, text, width, ratio)
+    return counted.where(most * (p + q) >= F.col("s") * p).select("a", "b")
+
+
+def near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, chunk: int = CHUNK) -> DataFrame:
+    """id, text_key, fingerprint, component_id and root for each row: the smallest id of its group of near copies, and a number for the group."""
+    ratio = Fraction(str(similarity))
+    bits = radius(similarity)
+    prints = materialise(prefixes(docs, id, text, width, ratio).withColumn("r", F.monotonically_increasing_id()))
+    key = F.when(F.col("n") == 0, F.lit(b"")).otherwise(F.col("t"))
+    classes = materialise(prints.groupBy(key.alias("k")).agg(F.min("r").alias("c"), F.min("d").alias("first")))
+    own = prints.join(classes.select("c"), F.col("r") == F.col("c"), "left_semi")
+    single = own.select(F.col("r").alias("c"), "n", "fp", F.explode("p").alias("h"))
+    shared = single.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    member = materialise(single.join(shared.hint("shuffle_hash"), "h"))
 
-    found = materialise(connected_components(first.unionByName(second)).select(F.col("node").alias("c"), "component"))
-    rooted = classes.join(found, "c", "left").select("k", F.coalesce("component", "c").alias("root"))
-    out = materialise(prints.select("d", "t", key.alias("k")).join(rooted, "k").select("d", "t", "root"))
-    release(prints, classes, member, near, first, known, lists, pairs, second, found)
+    links, known = None, None
+    for turn in range(ROUNDS):
+        placed = member.withColumn("g", F.col("c")) if known is None else member.join(known, "c", "left").withColumn("g", F.coalesce("component", "c")).drop("component")
+        placed = placed.select("h", "c", F.struct("c", "n", "fp", "g").alias("x"))
+        by = F.struct(F.xxhash64(F.lit(turn), "x.g", "c"), "x")  # another order in each round
+        ends = placed.groupBy("h").agg(F.min(by).getField("x").alias("lo"), F.max(by).getField("x").alias("hi")).where("lo.c <> hi.c")
+        star = placed.join(ends, "h").select("c", "x", F.explode(F.array(F.struct(F.lit(True).alias("low"), F.col("lo").alias("o")), F.struct(F.lit(False).alias("low"), F.col("hi").alias("o")))).alias("e"))
+        star = star.select("c", "x", F.col("e.low").alias("low"), F.col("e.o").alias("o")).where(_apart("x", "o", bits, ratio))
+        best = star.groupBy("c", "low", F.col("o.c").alias("b")).count().groupBy("c", "low").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+        pairs = materialise(best.select(F.col("c").alias("a"), "b").distinct())
+        found = verified(pairs, classes, docs, text, width, ratio)
+        release(pairs)
+        before, links = links, found if links is None else materialise(links.unionByName(found))
+        if not found.limit(1).count():
+            break
+        was, known = known, materialise(connected_components(links).select(F.col("node").alias("c"), "component"))
+        release(*(x for x in (before, was) if x is not None))
+
+    placed = member.withColumn("g", F.col("c")) if known is None else member.join(known, "c", "left").withColumn("g", F.coalesce("component", "c")).drop("component")
+    pairs = materialise(_candidates(placed, bits, ratio, chunk))
+    last = verified(pairs, classes, docs, text, width, ratio)
+    ends = materialise(connected_components(links.unionByName(last)).select(F.col("node").alias("c"), "component"))
+    rooted = classes.join(ends, "c", "left").select("k", "first", F.coalesce("component", "c").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = materialise(rooted.join(lowest, "root").select("k", "root", "component_id"))
+    out = prints.select("d", "t", "fp", key.alias("k")).join(named, "k")
+    out = materialise(out.select(F.col("d").alias(id), F.col("t").alias("text_key"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root"))
+    release(prints, classes, member, pairs, last, ends, named, *(x for x in (links, known) if x is not None))
     return out

@@ -6,20 +6,25 @@
    cannot replace partitioning. Fingerprints are first dealt out by every choice of
    `blocks - distance` bit blocks (two words within `distance` bits agree on one such
    choice: complete). In each bucket the Hamming distances to the reference
-   fingerprints are tabulated once; by the triangle inequality a pair whose coordinates
-   differ by more than `distance` anywhere is discarded; survivors are verified.
+   fingerprints are tabulated once. By the triangle inequality a pair whose coordinates
+   differ by more than `distance` anywhere is no link: the bucket is sorted by its first two coordinates
+   and swept, so that most such pairs are never made; the other coordinates discard most of the rest
+   and survivors are verified.
 4. A bucket gives a spanning forest of its links, never all its pairs; a bucket of more
    than `chunk` members is cut into chunks whose pairs of chunks are separate groups.
 5. Components by large-star/small-star.
 
+`near_duplicates(similarity=...)` links texts by the Jaccard similarity of their distinct shingles instead: see `near_copies`,
+which uses the same fingerprints, groups and sweep at the radius that such a similarity needs.
+
 Results: one row per input row. Null or word-free texts have fingerprint zero and are
 linked like any other. A component without any non-null id has a null component_id.
-Repeated ids are separate rows. Only the id and text columns are read.
+Repeated ids are separate rows. Only the id and text columns are read. Very long texts are read whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -35,6 +40,8 @@ from kinfold.session import materialise, release
 #: How many reference fingerprints a pivot table has.
 PIVOTS = 16
 CHUNK = 4096
+#: From this distance on no pivot tells anything: coordinates of random words differ by 5.7 on average, by 16 hardly ever.
+WIDE = 12
 
 
 def shingle_hashes(raw: bytes, width: int, seed: int = 42) -> list[int]:
@@ -55,20 +62,21 @@ def shingle_hashes(raw: bytes, width: int, seed: int = 42) -> list[int]:
     return [h(joined[a:b], seed) for a, b in zip(starts, ends, strict=False)]
 
 
+def simhashes(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Fingerprints of consecutive runs of hashes: a bit is set if it is in over half of a run; zero for an empty run."""
+    fp = np.zeros(len(sizes), np.uint64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[full]
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        fp[full] = np.packbits(2 * counts > sizes[full, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return fp
+
+
 def fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 3, chunk_bytes: int = 1 << 20) -> DataFrame:
     """(id, fp): the SimHash of each row as a signed long; bit set if set in over half the hashes."""
 
-    def flush(hashes: list[int], sizes: list[int]) -> np.ndarray:
-        fp = np.zeros(len(sizes), np.uint64)
-        n = np.array(sizes)
-        full = np.flatnonzero(n)
-        if len(full):
-            starts = np.concatenate([[0], np.cumsum(n)[:-1]])[full]
-            bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-            fp[full] = np.packbits(2 * counts > n[full, None], axis=1, bitorder="little").view("<u8")[:, 0]
-        return fp
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done, hashes, sizes, held = [], [], [], 0
@@ -79,9 +87,9 @@ def fingerprints(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wid
                 sizes.append(len(mine))
                 held += len(raw)
                 if held > chunk_bytes:
-                    done.append(flush(hashes, sizes))
+                    done.append(simhashes(np.array(hashes, np.uint64), np.array(sizes)))
                     hashes, sizes, held = [], [], 0
-            done.append(flush(hashes, sizes))
+            done.append(simhashes(np.array(hashes, np.uint64), np.array(sizes, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(done).view(np.int64))], names=[id, "fp"])
 
     kind = docs.schema[id].dataType.simpleString()
@@ -93,43 +101,110 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(f"pivot {i}", 42) for i in range(n)], np.uint64)
 
 
-def _forest(fp: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (as indices) that span, in each run of equal `group`, the components under Hamming distance <= `distance`."""
+def sweep(fp: np.ndarray, group: np.ndarray, distance: int, room: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (as indices) of each run of equal `group` whose first two pivot coordinates differ by `distance` at most; about `room` pairs at a time.
+
+    Rows sorted by (group, first, second coordinate) have the partners of a row in one stretch for each value of the first.
+    """
     n = len(fp)
-    table = np.stack([np.bitwise_count(fp ^ p).astype(np.int8) for p in pivots()], axis=1)
-    parent = np.arange(n)
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    alive = np.arange(n)
-    off = 1
-    while len(alive := alive[alive + off < n]) and len(alive := alive[group[alive] == group[alive + off]]):
-        i, j = alive, alive + off
-        for k in range(table.shape[1]):
-            near = np.abs(table[i, k] - table[j, k]) <= distance
-            i, j = i[near], j[near]
+    near, far = (np.bitwise_count(fp ^ p).astype(np.int64) for p in pivots(2))
+    number = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]])) if n else group
+    wide = 65 + 2 * distance
+    key = (number * wide + near + distance) * wide + far + distance
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    for step in range(distance + 1):
+        low = np.searchsorted(key, key + step * wide - distance, "left")
+        high = np.searchsorted(key, key + step * wide + distance, "right")
+        if step == 0:
+            low = np.arange(1, n + 1)  # each pair once
+        size = np.maximum(high - low, 0)
+        ends = np.cumsum(size)
+        at = 0
+        while at < n:
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + room, "right")))
+            rows = size[at:upto]
+            left = np.repeat(np.arange(at, upto), rows)
+            right = np.arange(len(left)) - np.repeat(np.cumsum(rows) - rows, rows) + low[left]
+            if len(left):
+                yield order[left], order[right]
+            at = upto
+
+
+def within(fp: np.ndarray, group: np.ndarray, side: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (as indices) of each run of equal `group` within `distance`: swept, discarded by the pivot table, verified. See `in_groups` for `side`."""
+    table = [np.bitwise_count(fp ^ p).astype(np.int8) for p in pivots()[2:]] if distance < WIDE else []
+    for i, j in sweep(fp, group, distance):
+        keep = (side[i] == 0) | (side[i] != side[j])
+        i, j = i[keep], j[keep]
+        for column in table:
+            keep = np.abs(column[i] - column[j]) <= distance
+            i, j = i[keep], j[keep]
             if not len(i):
                 break
-        if len(i):
-            ok = np.bitwise_count(fp[i] ^ fp[j]) <= distance
-            i, j = i[ok], j[ok]
-            apart = parent[i] != parent[j]
-            for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
-                x, y = find(x), find(y)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-            if apart.any():  # flatten, so that the next offset sees whole components
-                while not np.array_equal(up := parent[parent], parent):
-                    parent = up
-        off += 1
-    linked = np.flatnonzero(parent != np.arange(n))
+        keep = np.bitwise_count(fp[i] ^ fp[j]) <= distance
+        yield i[keep], j[keep]
+
+
+def _forest(fp: np.ndarray, group: np.ndarray, side: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as indices) that span, in each run of equal `group`, the components under Hamming distance <= `distance`."""
+    parent = np.arange(len(fp))
+    for i, j in within(fp, group, side, distance):
+        while True:
+            a, b = parent[i], parent[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(up := parent[parent], parent):
+                parent = up
+    linked = np.flatnonzero(parent != np.arange(len(fp)))
     return linked, parent[linked]
 
 
+def in_groups(member: DataFrame, keys: list[str], columns: list[str], work: Callable, schema: str, chunk: int) -> DataFrame:
+    """work(group, side, *columns) over the rows of equal `keys`; `member` has keys, columns and `n_`, how many rows its key has.
+
+    A key of more than `chunk` rows is cut into chunks. Each chunk is a group, with side 0, and so is each pair of chunks, with sides
+    1 and 2, where only pairs of different sides are asked for: no pair of rows is left out or met twice, and no group has
+    over about 2 * `chunk` rows. A key of one chunk is one group.
+    """
+    parts = F.ceil(F.col("n_") / F.lit(chunk)).cast("int")
+    own = F.pmod(F.xxhash64(*columns), parts).cast("int")
+    spread = member.select(*keys, *columns, own.alias("own_"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other_"))
+    all_keys = [*keys, "p_", "q_"]
+    side = F.when(F.col("own_") == F.col("other_"), 0).when(F.col("own_") < F.col("other_"), 1).otherwise(2)
+    spread = spread.select(*keys, F.least("own_", "other_").alias("p_"), F.greatest("own_", "other_").alias("q_"), side.alias("side_"), *columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        last, number, size = None, 0, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [np.asarray(c) for c in b.columns]
+            marks, rest = cols[: len(all_keys)], cols[len(all_keys) :]
+            new = np.zeros(b.num_rows, bool)
+            for c in marks:
+                new[1:] |= c[1:] != c[:-1]
+            new[0] = tuple(c[0] for c in marks) != last
+            last = tuple(c[-1] for c in marks)
+            group = number + np.cumsum(new)
+            number = int(group[-1])
+            held.append([group, *rest])
+            size += b.num_rows
+            if size > 1 << 18:  # the last group may be unfinished
+                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = int(np.searchsorted(whole[0], number))
+                yield from work(*(x[:cut] for x in whole))
+                held, size = [[x[cut:] for x in whole]], len(whole[0]) - cut
+        if held:
+            yield from work(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return spread.repartition(*all_keys).sortWithinPartitions(*all_keys).mapInArrow(run, schema)
+
+
 def links(fps: DataFrame, *, fp: str = "fp", distance: int = 3, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) between distinct fingerprints that span the components under Hamming distance <= `distance`."""
     if blocks is None:  # wider keys for more rows; complete for any choice
@@ -140,57 +215,26 @@ def links(fps: DataFrame, *, fp: str = "fp", distance: int = 3, blocks: int | No
         m = sum(((1 << (cuts[c + 1] - cuts[c])) - 1) << cuts[c] for c in chosen)
         masks.append(m - (1 << 64) if m >> 63 else m)
     dealt = fps.select(F.col(fp).alias("fp"), F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(fp).bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])).alias("x")).select("x.c", "x.k", "fp")
-    sizes = dealt.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = dealt.groupBy("c", "k").agg(F.count("*").alias("n_")).where("n_ > 1")
     member = dealt.join(sizes, ["c", "k"])
-    parts = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    # chunk p meets chunk q once, in group (p, q); a bucket of one chunk has the group (0, 0) only
-    grouped = member.select("c", "k", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")).select(
-        "c", "k", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp"
-    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, vals, last = [], [], None
+    def work(group: np.ndarray, side: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, y = _forest(fp.view(np.uint64), group, side, distance)
+        yield pa.RecordBatch.from_arrays([pa.array(fp[x]), pa.array(fp[y])], names=["a", "b"])
 
-        def out():
-            if vals:
-                f = np.concatenate(vals)
-                x, y = _forest(f.view(np.uint64), np.concatenate(keys), distance)
-                yield pa.RecordBatch.from_arrays([pa.array(f[x]), pa.array(f[y])], names=["a", "b"])
+    return in_groups(member, ["c", "k"], ["fp"], work, "a long, b long", chunk).distinct()
 
-        number, held = 0, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [np.asarray(c) for c in b.columns]
-            new = np.zeros(b.num_rows, bool)
-            for c in cols[:4]:
-                new[1:] |= c[1:] != c[:-1]
-            head = tuple(c[0] for c in cols[:4])
-            new[0] = head != last
-            last = tuple(c[-1] for c in cols[:4])
-            if held > 1 << 18 and new[0]:  # groups are whole: earlier ones can go
-                yield from out()
-                keys, vals, held = [], [], 0
-            group = number + np.cumsum(new)
-            number = int(group[-1])
-            keys.append(group)
-            vals.append(cols[4])
-            held += b.num_rows
-            if held > 1 << 18:  # keep the last, maybe unfinished group
-                k, v = np.concatenate(keys), np.concatenate(vals)
-                cut = int(np.searchsorted(k, k[-1]))
-                keys, vals = [k[:cut]], [v[:cut]]
-                yield from out()
-                keys, vals, held = [k[cut:]], [v[cut:]], len(k) - cut
-        yield from out()
-
-    spread = grouped.repartition("c", "k", "p", "q").sortWithinPartitions("c", "k", "p", "q")
-    return spread.mapInArrow(run, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
-    """id, fingerprint (16 hex digits), component_id: the smallest id reachable over links."""
+
+def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 3, distance: int = 3, similarity: float | None = None) -> DataFrame:
+    """id, fingerprint (16 hex digits), component_id: the smallest id reachable over links.
+
+    Links are fingerprints within `distance`; or, with `similarity`, texts of that Jaccard similarity of their distinct shingles,
+    and then the fingerprints are of the distinct shingles and a column text_key (`near_copies.text_key`) tells rows of one id apart.
+    """
+    if similarity is not None:
+        from kinfold.llm.near_copies import near_copies
+
+        return near_copies(docs, id=id, text=text, width=width, similarity=similarity)
     prints = materialise(fingerprints(docs, id=id, text=text, width=width))
     classes = materialise(prints.groupBy("fp").agg(F.min(id).alias("first")))
     found = connected_components(links(classes, distance=distance))

@@ -14,6 +14,9 @@ document included; matches never cross documents, strings are judged on the inpu
    neighbours between them share the part right of the anchor and the part left of it.
 4. Repeated windows go back to every occurrence of the class, and to the texts.
 
+With `keep_first` the first place of each repeated string stays: a byte goes if a string that covers it also starts
+earlier, in a document before (by id, null last, then by a hash of the text) or before in the same one. Equal rows are one place.
+
 Results: one row per input row. A null text is empty: 0 bytes, nothing removed. Equal rows
 repeat each other wholly (if `width` bytes or longer) and each keeps its row. A null id is
 kept. Only the id and text columns are read.
@@ -25,9 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from kinfold.llm import anchors
 from kinfold.session import materialise, release
@@ -80,17 +85,19 @@ def _matrix(strings: list[bytes]) -> np.ndarray:
     return out
 
 
-def repeated_windows(rights: list[bytes], lefts: list[bytes], n: np.ndarray, count: np.ndarray, width: int, gram: int) -> np.ndarray:
-    """For each class (right part, reversed left part, n windows, count occurrences) which of its windows occur twice or more."""
+def repeated_windows(rights: list[bytes], lefts: list[bytes], n: np.ndarray, count: np.ndarray, rank: np.ndarray, place: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each class (right part, reversed left part, n windows, count occurrences, document's rank and place of the first one)
+    which of its windows occur twice or more, and which of all are first in this class."""
     m = len(rights)
     longest = np.array([len(x) for x in lefts])
     out = (np.arange(int(n.max())) < n[:, None]) & (count > 1)[:, None]
+    own = np.arange(int(n.max())) < n[:, None]
     r_order, r_lcp = multikey_sort(_matrix(rights))
     shared = r_lcp >= gram  # neighbours with one anchor
     shared[:-1] |= shared[1:].copy()
     rows = np.flatnonzero(shared)
     if not len(rows):
-        return out
+        return out, own
     rows = np.sort(r_order[rows])
     l_order, l_lcp = multikey_sort(_matrix(lefts))
     r_rank, l_rank = np.empty(m, np.int64), np.empty(m, np.int64)
@@ -101,41 +108,53 @@ def repeated_windows(rights: list[bytes], lefts: list[bytes], n: np.ndarray, cou
         if len(i) < 2:
             continue
         key = (np.cumsum(r_lcp < width - d)[r_rank[i]] << 32) | np.cumsum(l_lcp < d)[l_rank[i]]
-        by = np.argsort(key, kind="stable")
+        by = np.lexsort((place[i] + longest[i] - d, rank[i], key))
         i, key = i[by], key[by]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(start, len(i)))
         twice = np.repeat(np.add.reduceat(count[i], start) > 1, size)
         out[i[twice], (longest[i] - d)[twice]] = True
-    return out
+        head = np.repeat(i[start], size)  # equal rows are at one place
+        later = (rank[i] != rank[head]) | (place[i] + longest[i] != place[head] + longest[head])
+        own[i[later], (longest[i] - d)[later]] = False
+    return out, own
 
 
 def _suffixes(width: int):
     """Suffix rows of the classes' first occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lead", "salt", "rest", "back", "a", "c", "first", "n", "k"]
-        types = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+        names = ["lead", "salt", "rest", "back", "a", "c", "first", "n", "k", "p"]
+        types = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
         rows: list[tuple] = []
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            made = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
+            return pa.RecordBatch.from_arrays([*made, pa.concat_arrays(owners), pa.concat_arrays(tags)], names=[*names, "d", "g"])
 
+        owners: list[pa.Array] = []
+        tags: list[pa.Array] = []
         for b in batches:
-            for t, runs in zip(b.column(0), b.column(1), strict=True):
+            for at, (t, runs) in enumerate(zip(b.column(0), b.column(1), strict=True)):
                 text = t.as_py()
                 for x in runs.as_py():
                     p, n, off = x["p"], x["n"], x["off"]
                     anchor = text[p + off : p + n - 1 + width]
+                    begun = len(rows)
                     if not x["hot"]:
-                        rows.append((anchor[:LEAD], 0, anchor, text[p : p + off][::-1], x["a"], x["c"], 0, n, x["k"]))
+                        rows.append((anchor[:LEAD], 0, anchor, text[p : p + off][::-1], x["a"], x["c"], 0, n, x["k"], p))
                     else:
                         for i in range(n):
                             window = text[p + i : p + i + width]
-                            rows.append((anchor[:LEAD], xxhash.xxh64_intdigest(window) - (1 << 63), window[off - i :], window[: off - i][::-1], x["a"], x["c"], i, 1, x["k"]))
+                            rows.append((anchor[:LEAD], xxhash.xxh64_intdigest(window) - (1 << 63), window[off - i :], window[: off - i][::-1], x["a"], x["c"], i, 1, x["k"], p + i))
+                    which = pa.array([at] * (len(rows) - begun), pa.int64())
+                    owners.append(b.column(2).take(which))
+                    tags.append(b.column(3).take(which))
                     if len(rows) >= 4096:
                         yield out()
                         rows.clear()
+                        owners.clear()
+                        tags.clear()
         if rows:
             yield out()
 
@@ -148,24 +167,29 @@ def _bucket(width: int, gram: int, room: int):
         size = 0
 
         def out(t: pa.Table):
-            n, k = t["n"].to_numpy().astype(np.int64), t["k"].to_numpy()
-            found = repeated_windows(t["rest"].to_pylist(), t["back"].to_pylist(), n, k, width, gram)
+            n, k, p = (t[x].to_numpy().astype(np.int64) for x in ("n", "k", "p"))
+            # documents in the order of (id, tag), null last
+            order = pc.sort_indices(pa.table({"d": t["d"], "g": t["g"]}), [("d", "ascending"), ("g", "ascending")], null_placement="at_end").to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            by_d, by_g = t["d"].combine_chunks().take(pa.array(order)), t["g"].to_numpy()[order]
+            same = pc.fill_null(pc.equal(by_d[1:], by_d[:-1]), False).to_numpy(zero_copy_only=False) | (pc.is_null(by_d[1:]).to_numpy(zero_copy_only=False) & pc.is_null(by_d[:-1]).to_numpy(zero_copy_only=False))
+            rank[order] = np.concatenate([[0], np.cumsum(~(same & (by_g[1:] == by_g[:-1])))])
+            found, own = repeated_windows(t["rest"].to_pylist(), t["back"].to_pylist(), n, k, rank, p, width, gram)
             keep = np.flatnonzero(found.any(axis=1))
-            bits = np.packbits(found[keep], axis=1, bitorder="little")
+            bits, firsts = (np.packbits(x[keep], axis=1, bitorder="little") for x in (found, own))
             for i in range(0, len(keep), 4096):
-                yield pa.RecordBatch.from_arrays(
-                    [*(t[x].combine_chunks().take(pa.array(keep[i : i + 4096])) for x in ("a", "c", "first")), pa.array([x.tobytes() for x in bits[i : i + 4096]], pa.binary())],
-                    names=["a", "c", "first", "bits"],
-                )
+                packed = (pa.array([x.tobytes() for x in y[i : i + 4096]], pa.binary()) for y in (bits, firsts))
+                yield pa.RecordBatch.from_arrays([*(t[x].combine_chunks().take(pa.array(keep[i : i + 4096])) for x in ("a", "c", "first")), *packed], names=["a", "c", "first", "bits", "own"])
 
         for b in batches:
             if b.num_rows:
                 held.append(b)
                 size += b.num_rows
-            if size >= room:  # suffixes with equal leading bytes stay together
+            if size >= room:  # suffixes with equal leading bytes and salt stay together
                 t = pa.Table.from_batches(held)
-                lead = np.frombuffer(b"".join(t["lead"].to_pylist()), ">u8").reshape(-1, LEAD // 8)
-                edge = np.flatnonzero((lead[1:] != lead[:-1]).any(axis=1)) + 1
+                lead, salt = np.frombuffer(b"".join(t["lead"].to_pylist()), ">u8").reshape(-1, LEAD // 8), t["salt"].to_numpy()
+                edge = np.flatnonzero((lead[1:] != lead[:-1]).any(axis=1) | (salt[1:] != salt[:-1])) + 1
                 if len(edge):
                     cut = int(edge[-1])
                     yield from out(t.slice(0, cut).combine_chunks())
@@ -197,8 +221,13 @@ def _removal(width: int, whole_chars: bool, id: str):
                     if runs.is_valid and len(runs):
                         starts = []
                         for x in runs.as_py():
-                            hit = np.flatnonzero(np.unpackbits(np.frombuffer(x["bits"], np.uint8), bitorder="little")) + x["first"]
-                            starts.append((np.array(x["at"])[:, None] + hit).ravel())
+                            hit = np.flatnonzero(np.unpackbits(np.frombuffer(x["bits"], np.uint8), bitorder="little"))
+                            if x["keep"] is None:
+                                starts.append((np.array(x["at"])[:, None] + (hit + x["first"])).ravel())
+                                continue
+                            owned = np.unpackbits(np.frombuffer(x["own"], np.uint8), bitorder="little")[hit] == 1
+                            for at_ in x["at"]:
+                                starts.append(at_ + x["first"] + (hit[~owned] if at_ == x["keep"] else hit))
                         begin, end = covered(len(text), np.unique(np.concatenate(starts)), width)
                         if whole_chars:  # give back the parts of characters that a stretch cuts
                             cont = (np.frombuffer(text + b" ", np.uint8) & 0xC0) == 0x80
@@ -219,30 +248,44 @@ def _removal(width: int, whole_chars: bool, id: str):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 200, gram: int = 32, hot: int = 20_000, room: int = 30_000, whole_chars: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 200, gram: int = 32, hot: int = 20_000, room: int = 30_000, whole_chars: bool = False, keep_first: bool = False
+) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, spans (begin, end), kept (binary), and others: a struct of all other columns.
 
-    `whole_chars`: a span gives back the parts of UTF-8 characters that it would cut.
+    `whole_chars`: a span gives back the parts of UTF-8 characters that it would cut. `keep_first`: the first place of a string stays.
     """
     if not LEAD <= gram <= width:
         raise ValueError(f"gram must lie between {LEAD} and width")
+    kind = docs.schema[id].dataType.simpleString()
     keyed = anchors.keyed(docs, id, text)
     runs = materialise(anchors.candidates(anchors.occurrences(keyed, width, gram, anchors.byte_symbols)))
-    # any occurrence may stand for its class; these aggregates all take the first row
-    classes = runs.groupBy("a", "c").agg(F.sum(anchors.times()).alias("k"), *[F.first(x).alias(x) for x in ("d", "g", "p", "n", "off")])
+    if keep_first:  # the first occurrence stands for its class
+        first = F.min(F.struct(F.col("d").isNull().alias("z"), "d", "g", "p", "n", "off")).alias("x")
+        classes = runs.groupBy("a", "c").agg(F.sum(anchors.times()).alias("k"), first).select("a", "c", "k", *[F.col(f"x.{x}").alias(x) for x in ("d", "g", "p", "n", "off")])
+    else:  # any may; these aggregates all take the first row
+        classes = runs.groupBy("a", "c").agg(F.sum(anchors.times()).alias("k"), *[F.first(x).alias(x) for x in ("d", "g", "p", "n", "off")])
     hottest = runs.groupBy("a").agg(F.count("*").alias("n_")).where(F.col("n_") > hot).select("a", F.lit(True).alias("hot"))
     chosen = classes.join(hottest, "a", "left").select("d", "g", "p", "a", "c", "n", "off", "k", F.coalesce("hot", F.lit(False)).alias("hot"))
-    suffixes = anchors.with_runs(keyed, chosen, "inner").select("t", "runs").mapInArrow(
-        _suffixes(width), "lead binary, salt long, rest binary, back binary, a long, c long, first int, n int, k long"
+    suffixes = anchors.with_runs(keyed, chosen, "inner").select("t", "runs", "d", "g").mapInArrow(
+        _suffixes(width), f"lead binary, salt long, rest binary, back binary, a long, c long, first int, n int, k long, p int, d {kind}, g int"
     )
     sorted_ = suffixes.repartitionByRange("lead", "salt").sortWithinPartitions("lead", "salt")
-    repeated = materialise(sorted_.mapInArrow(_bucket(width, gram, room), "a long, c long, first int, bits binary"))
-    spans = materialise(runs.select("a", "c", "d", "g", anchors.begins().alias("at")).join(repeated, ["a", "c"]).select("d", "g", "at", "first", "bits"))
+    repeated = materialise(sorted_.mapInArrow(_bucket(width, gram, room), "a long, c long, first int, bits binary, own binary"))
+    places = runs.select("a", "c", "d", "g", "p", anchors.begins().alias("at"))
+    if keep_first:
+        stands = classes.select("a", "c", F.col("d").alias("d1"), F.col("g").alias("g1"), F.col("p").alias("p1"))
+        here = F.col("d").eqNullSafe(F.col("d1")) & (F.col("g") == F.col("g1")) & F.array_contains("at", F.col("p1"))
+        found = places.join(repeated.join(stands, ["a", "c"]), ["a", "c"]).withColumn("keep", F.when(here, F.col("p1")))
+    else:
+        found = places.join(repeated.withColumn("own", F.lit(None).cast("binary")), ["a", "c"]).withColumn("keep", F.lit(None).cast("int"))
+    spans = materialise(found.select("d", "g", "at", "first", "bits", "own", "keep"))
     release(runs, repeated)
-    kind = docs.schema[id].dataType.simpleString()
-    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (id, text)], F.lit(True).alias("_"))
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (id, text)] or [F.lit(True).alias("_")])
     texts = anchors.keyed(docs, id, text, others.alias("o"))
-    return anchors.with_runs(texts, spans).select("d", "o", "t", "runs").mapInArrow(
-        _removal(width, whole_chars, id),
-        f"`{id}` {kind}, others {texts.schema['o'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, spans array<struct<begin:long,end:long>>, kept binary",
-    )
+    # no DDL: names of other columns may be anything
+    schema = StructType().add(id, docs.schema[id].dataType).add("others", texts.schema["o"].dataType)
+    for name in ("n_bytes", "n_removed", "n_spans"):
+        schema = schema.add(name, "long")
+    schema = schema.add("spans", ArrayType(StructType().add("begin", "long").add("end", "long"))).add("kept", "binary")
+    return anchors.with_runs(texts, spans).select("d", "o", "t", "runs").mapInArrow(_removal(width, whole_chars, id), schema)

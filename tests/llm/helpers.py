@@ -67,15 +67,19 @@ def brute_windows(rows, width):
     return sorted(out, key=repr)
 
 
-def brute_bytes(rows, width):
-    """For op5: n_bytes, n_removed, n_spans, kept of each row."""
+def brute_bytes(rows, width, keep_first=False):
+    """For op5: n_bytes, n_removed, n_spans, kept of each row. keep_first: ids must be unique, but for equal rows."""
     raw = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(b[s : s + width] for _, b in raw for s in range(len(b) - width + 1))
+    first = {}
+    for i, b in raw:
+        for s in range(len(b) - width + 1):
+            first[b[s : s + width]] = min(first.get(b[s : s + width], (True, 0, 0)), (i is None, i or 0, s))
     out = []
     for i, b in raw:
         gone = [False] * len(b)
         for s in range(len(b) - width + 1):
-            if seen[b[s : s + width]] > 1:
+            if seen[b[s : s + width]] > 1 and not (keep_first and first[b[s : s + width]] == (i is None, i or 0, s)):
                 gone[s : s + width] = [True] * width
         spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
         out.append((i, len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g)))

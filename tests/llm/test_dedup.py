@@ -1,11 +1,10 @@
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from kinfold.llm import anchors
 from kinfold.llm.lz_dedup import factor_documents
-from kinfold.llm.simhash import fingerprints, links, near_duplicates
+from kinfold.llm.simhash import fingerprints, links, near_duplicates, pivots, sweep, within
 from kinfold.llm.suffix_dedup import multikey_sort, remove_repeats
 from kinfold.operators.components import connected_components
 
@@ -55,6 +54,15 @@ def test_suffix_dedup_matches_brute_force(spark, options):
     assert {r.others.kept for r in got} == {"clash"}
 
 
+@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"room": 2}], ids=["plain", "hot", "small buckets"])
+def test_suffix_dedup_can_keep_the_first_place(spark, options):
+    rows = corpus(3, 25) + [(None, corpus(3, 25)[3][1])]
+    got = remove_repeats(frame(spark, rows), width=40, gram=16, keep_first=True, **options).collect()
+    want = brute_bytes(rows, 40, keep_first=True)
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], key=repr) == want
+    assert sum(x[2] for x in want) < sum(x[2] for x in brute_bytes(rows, 40))
+
+
 def test_suffix_dedup_whole_characters_and_empty_table(spark):
     rows = [(1, "a" + "é" * 40), (2, "b" + "é" * 40), (3, None)]
     for r in remove_repeats(frame(spark, rows), width=41, gram=16, whole_chars=True).collect():
@@ -113,6 +121,23 @@ def test_links_of_dense_groups(spark, chunk):
     assert got == want
 
 
+def test_pivots_avoid_pairs():
+    rng = np.random.default_rng(6)
+    fp = rng.integers(0, 1 << 63, 900, dtype=np.int64).astype(np.uint64)
+    fp[600:] = fp[:300] ^ np.array([sum(1 << int(x) for x in rng.choice(62, 3, replace=False)) for _ in range(300)], np.uint64)
+    fp, group = rng.permutation(fp), np.sort(rng.integers(0, 2, 900))
+    close = {(i, j) for i in range(900) for j in range(i + 1, 900) if group[i] == group[j] and int(fp[i] ^ fp[j]).bit_count() <= 3}
+    pairs = sum(int(n) * (int(n) - 1) // 2 for n in np.bincount(group))
+    made = [(int(i), int(j)) for a, b in sweep(fp, group, 3, room=1000) for i, j in zip(a, b, strict=True)]
+    assert len(made) == len({tuple(sorted(x)) for x in made}) < 0.3 * pairs
+    table = np.stack([np.bitwise_count(fp ^ p).astype(int) for p in pivots()])
+    assert all((abs(table[:2, i] - table[:2, j]) <= 3).all() for i, j in made)
+    for side in (np.zeros(900, int), rng.integers(1, 3, 900)):
+        got = {tuple(sorted((int(i), int(j)))) for a, b in within(fp, group, side, 3) for i, j in zip(a, b, strict=True)}
+        assert got == {(i, j) for i, j in close if not side[i] or side[i] != side[j]}
+    assert len(close) > 100
+
+
 def test_fingerprints_keep_every_row(spark):
     rows = corpus(6, 10) + [(None, "a b c")]
     assert fingerprints(frame(spark, rows)).count() == len(rows)
@@ -129,4 +154,3 @@ def test_repeated_ids_with_other_texts_stay_apart(spark):
     rows = [(1, "p q r s t u v w x y z aa bb cc " * 2), (1, "other"), (2, "p q r s t u v w x y z aa bb cc")]
     got = factor_documents(frame(spark, rows)).select("doc_id", "n_words", "n_removed").collect()
     assert sorted(tuple(r) for r in got) == [(1, 1, 0), (1, 28, 0), (2, 14, 14)]
-    assert F is not None

@@ -1,7 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 
+from kinfold.llm.near_copies import near_copies, radius
+from kinfold.llm.simhash import simhashes
+
 from .helpers import SCHEMA, prose, words
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -53,5 +57,20 @@ def test_near_dedup_matches_brute_force(spark):
     rows = [(i, t, "en", "s", None) for i, t in zip(ids, texts, strict=True)]
     near = [jaccard(shingles(x), shingles(y)) for i, x in enumerate(texts[:48]) for y in texts[:i]]
     assert sum(0.8 <= x < 0.95 for x in near) > 9 and sum(0.7 <= x < 0.8 for x in near) > 3
-    got = pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = pipeline.near_dedup(spark, docs, "")
     assert sorted(r.doc_id for r in got.collect()) == brute_near_dedup(rows)
+    small = near_copies(docs, chunk=4)  # groups cut into chunks
+    assert {r.component_id for r in small.collect()} == set(brute_near_dedup(rows))
+
+
+def test_radius_holds_what_is_similar():
+    rng = random.Random(9)
+    assert radius(0.8) == 26
+    for n in (20, 60, 300, 1500):
+        for _ in range(40):
+            keep, other = n - round(n / 9), round(n / 9)  # a Jaccard similarity of 0.8
+            a = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
+            b = np.concatenate([a[:keep], np.array([rng.getrandbits(64) for _ in range(other)], np.uint64)])
+            x, y = (int(simhashes(h, np.array([len(h)]))[0]) for h in (a, b))
+            assert (x ^ y).bit_count() <= radius(0.8)
