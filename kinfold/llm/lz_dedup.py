@@ -6,30 +6,39 @@ an anchor, and blocks of equal content are one entry under their first document,
 shared by a third of the corpus is one entry. Entries with the same anchor but different
 surroundings are aligned at the anchor and indexed window by window (map-side partial minimum).
 
-A factor starts at the first word whose `width`-word window is in the index, and greedily runs on
-while the next window's first occurrence continues the same reference text. Where that ends, at a
-factor's boundary, the windows that straddle it are looked up by themselves, so the words covered
-are exactly those of all windows that start in a smaller document.
+A document's hits are its windows of `width` words that the index has. In each stretch of neighbouring hits the documents
+that the index names are candidates, each on its diagonal. If there is more than one, their words beside the
+stretch are fetched, so that a match is followed through the reference document itself, also where the index
+names another. Then the parse is greedy: a factor starts at the first hit not yet passed and takes the candidate that goes on
+longest. Where it ends, the windows that straddle its end are looked up in the index: what they cover goes too. As any
+hit lies inside a factor or straddles the end of one, the words removed are exactly those that a hit covers.
+
+With more than LOOK candidates in one stretch each is fetched for its own part and a share of the rest only, so that no
+document brings more than about LOOK times its own words together; factors may be shorter then, the words removed are the same.
 
 Results: one row per input row, with its factors. Null texts have no words. Repeats within one id
 (also of equal rows) do not count. A null id is larger than any other and is never a reference.
-Only the id and text columns are read.
+Only the id and text columns are read. Very long texts are parsed whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinfold.llm import anchors
-from kinfold.llm.suffix_dedup import covered
 from kinfold.session import materialise, release
 
+#: Candidates of a stretch that are fetched for all of it, and requests that one copy of a reference document serves.
+LOOK, ASKED = 8, 64
+
 
 def _slices(b: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     for at in range(0, b.num_rows, rows):
@@ -43,77 +52,179 @@ def _fields(runs: pa.ListArray, names: tuple[str, ...]) -> tuple[np.ndarray, lis
 
 
 def _windows(width: int):
-    """Rows (a, c, i, h, rd, rp) of each window of the given blocks."""
+    """Rows (a, c, i, h, rd, rg, rp) of each window of the given blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for big in batches for x in _slices(big)):
             # a space keeps the words of neighbouring texts apart
-            texts = [t.as_py() for t in b.column(1)]
+            texts = [t.as_py() for t in b.column(2)]
             codes, starts, _ = anchors.word_symbols(np.frombuffer(b" ".join(texts), np.uint8))
             roll = anchors.Rolling(codes)
             offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
             base = np.searchsorted(starts, offsets)  # number of words before each text
-            row, (a, c, p, n) = _fields(b.column(2), ("a", "c", "p", "n"))
+            row, (a, c, p, n) = _fields(b.column(3), ("a", "c", "p", "n"))
             p, n = p.to_numpy().astype(np.int64), n.to_numpy().astype(np.int64)
             which = np.repeat(np.arange(len(n)), n)
             i = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
             s = p[which] + i
             at = base[row[which]] + s
+            owner = pa.array(row[which])
             yield pa.RecordBatch.from_arrays(
-                [a.take(pa.array(which)), c.take(pa.array(which)), pa.array(i.astype(np.int32)), pa.array(roll.of(at, at + width).view(np.int64)), b.column(0).take(pa.array(row[which])), pa.array(s.astype(np.int32))],
-                names=["a", "c", "i", "h", "rd", "rp"],
+                [a.take(pa.array(which)), c.take(pa.array(which)), pa.array(i.astype(np.int32)), pa.array(roll.of(at, at + width).view(np.int64)), b.column(0).take(owner), b.column(1).take(owner), pa.array(s.astype(np.int32))],
+                names=["a", "c", "i", "h", "rd", "rg", "rp"],
             )
 
     return run
 
 
+class Hits:
+    """The windows of one document that the index has: where they start, and where the document it names has them, by start."""
+
+    def __init__(self, found: pa.StructArray):
+        p, m, rg, rp = (found.field(n).to_numpy().astype(np.int64) for n in ("p", "m", "rg", "rp"))
+        which = np.repeat(np.arange(len(m)), m)
+        i = np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m)
+        self.start, first = np.unique(p[which] + i, return_index=True)  # a window is known once, whatever block told it
+        which, i = which[first], i[first]
+        self.rd, self.pos, self.tag = found.field("rd"), rp[which] + i, rg[which]
+        self.block = which  # its document is rd[block]
+        self.ref = pc.dictionary_encode(self.rd).indices.to_numpy()[which] if len(m) else which
+
+    def pieces(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first hit, number of hits) of each run of hits that follow one diagonal."""
+        new = np.ones(len(self.start), bool)
+        new[1:] = (np.diff(self.start) != 1) | (np.diff(self.ref) != 0) | (np.diff(self.tag) != 0) | (np.diff(self.pos) != 1)
+        head = np.flatnonzero(new)
+        return head, np.diff(np.append(head, len(new)))
+
+
+def _requests(width: int):
+    """For each stretch with several candidates: which words (from x, n of them) of which document, shift places on, to fetch."""
+    names = ["d", "g", "x", "n", "shift", "rd", "rg"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for big in batches for x in _slices(big)):
+            rows, refs = [], []
+            for k in range(b.num_rows):
+                h = Hits(b.column(2)[k].values)
+                head, size = h.pieces()
+                begin, end = h.start[head], h.start[head] + size  # window starts
+                stretch = np.cumsum(np.concatenate([[0], begin[1:] != end[:-1]]))
+                shift = h.pos[head] - begin
+                for first, last in _runs(stretch):
+                    if last - first < 2:
+                        continue
+                    spans: dict[tuple, list[int]] = {}
+                    for j in range(first, last):
+                        x = spans.setdefault((int(h.ref[head[j]]), int(h.tag[head[j]]), int(shift[j])), [j, int(begin[j]), int(end[j])])
+                        x[2] = int(end[j])
+                    if len(spans) < 2:
+                        continue
+                    low, high = int(begin[first]), int(end[last - 1])
+                    pad = high - low if len(spans) <= LOOK else LOOK * (high - low) // (2 * len(spans))
+                    for (_, tag, by), (j, x, y) in spans.items():
+                        x, y = max(low, x - pad, -by), min(high, y + pad)
+                        rows.append((k, x, y + width - 1 - x, by, tag))
+                        refs.append(h.rd.take(pa.array([h.block[head[j]]])))
+            if rows:
+                who, x, n, by, tag = zip(*rows, strict=True)
+                owner = pa.array(who, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(owner), b.column(1).take(owner), pa.array(x, pa.int32()), pa.array(n, pa.int32()), pa.array(by, pa.int32()), pa.concat_arrays(refs), pa.array(tag, pa.int32())], names=names
+                )
+
+    return run
+
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of each run of equal values."""
+    edge = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if len(values) else np.zeros(1, int)
+    return list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(d, g, x, shift, rd, rg, words): the hashes of the words asked for."""
+    for b in (x for big in batches for x in _slices(big, 64)):
+        for k in range(b.num_rows):
+            asked = b.column(3)[k].values
+            codes = anchors.word_symbols(np.frombuffer(b.column(2)[k].as_buffer(), np.uint8))[0].view(np.int64)
+            x, n, by = (asked.field(f).to_numpy().astype(np.int64) for f in ("x", "n", "shift"))
+            cut = [codes[i + s : i + s + m] for i, m, s in zip(x.tolist(), n.tolist(), by.tolist(), strict=True)]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int32))
+            same = pa.array(np.full(len(cut), k))
+            yield pa.RecordBatch.from_arrays(
+                [asked.field("d"), asked.field("g"), asked.field("x"), asked.field("shift"), b.column(0).take(same), b.column(1).take(same), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(cut)))],
+                names=["d", "g", "x", "shift", "rd", "rg", "words"],
+            )
+
+
+def greedy(start: np.ndarray, intervals: list[tuple], width: int) -> tuple[list[tuple], list[tuple[int, int]]]:
+    """Factors (begin, length, ref, ref_begin) and what they and the hits at their ends cover; intervals: (begin, end, ref, tag, ref_begin) of matches."""
+    intervals = sorted(intervals, key=lambda x: x[0])
+    queue: list[tuple] = []
+    factors, spans = [], []
+    i, k, n = 0, 0, len(start)
+    while k < n:
+        s = int(start[k])
+        while i < len(intervals) and intervals[i][0] <= s:
+            a, e, ref, tag, at = intervals[i]
+            heappush(queue, (-e, ref, tag, at - a))
+            i += 1
+        while -queue[0][0] < s + width:
+            heappop(queue)
+        e, ref, _, shift = queue[0]
+        factors.append((s, -e - s, ref, s + shift))
+        k = int(np.searchsorted(start, -e))  # the first hit behind the factor; the one before it may straddle the end
+        spans.append((s, max(-e, int(start[k - 1]) + width)))
+    return factors, spans
+
+
 def _parse(width: int, id: str, kind: pa.DataType):
-    """Greedy factors of each document, and the words that no factor covers."""
+    """Greedy factors of each document, and the words that they leave."""
     factor = pa.struct([("begin", pa.int64()), ("length", pa.int64()), ("ref", kind), ("ref_begin", pa.int64())])
 
+    def factored(text: bytes, hits: pa.Scalar, fetched: pa.Scalar) -> tuple[list[tuple], list[tuple[int, int]]]:
+        h = Hits(hits.values)
+        head, size = h.pieces()
+        refs = h.rd.take(pa.array(h.block[head])).to_pylist()
+        begin = h.start[head].tolist()
+        intervals = list(zip(begin, (h.start[head] + size + width - 1).tolist(), refs, h.tag[head].tolist(), h.pos[head].tolist(), strict=True))
+        if fetched.is_valid and len(fetched):
+            codes = anchors.word_symbols(np.frombuffer(text, np.uint8))[0].view(np.int64)
+            v = fetched.values
+            for x, by, ref, tag, words in zip(v.field("x").to_pylist(), v.field("shift").to_pylist(), v.field("rd").to_pylist(), v.field("rg").to_pylist(), v.field("words"), strict=True):
+                theirs = words.values.to_numpy()
+                for a, e in _runs(codes[x : x + len(theirs)] == theirs):
+                    if e - a >= width and codes[x + a] == theirs[a]:
+                        intervals.append((x + a, x + e, ref, tag, x + a + by))
+        return greedy(h.start, intervals, width)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for big in batches for x in _slices(big)):
-            row, (p, m, rd, rp) = _fields(b.column(3), ("p", "m", "rd", "rp"))
-            p, m, rp = (x.to_numpy().astype(np.int64) for x in (p, m, rp))
-            which = np.repeat(np.arange(len(m)), m)
-            i = np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m)
-            row, start, pos = row[which], p[which] + i, rp[which] + i
-            ref = pc.dictionary_encode(rd).indices.to_numpy()[which] if len(rd) else np.zeros(0, np.int64)
-            order = np.lexsort((start, row))
-            if len(order):  # a window is known once, whatever block told it
-                same = np.concatenate([[False], (np.diff(row[order]) == 0) & (np.diff(start[order]) == 0)])
-                order = order[~same]
-            row, start, pos, ref, which = row[order], start[order], pos[order], ref[order], which[order]
-            # a factor runs on while the next window continues the same reference text
-            new = np.ones(len(order), bool)
-            new[1:] = (np.diff(row) != 0) | (np.diff(start) != 1) | (np.diff(ref) != 0) | (np.diff(pos) != 1)
-            head = np.flatnonzero(new)
-            length = np.diff(np.append(head, len(order))) + width - 1
-            factors = pa.StructArray.from_arrays([pa.array(start[head]), pa.array(length), rd.take(pa.array(which[head])), pa.array(pos[head])], fields=list(factor))
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[head], np.arange(b.num_rows + 1)).astype(np.int32)), factors)
-            edge = np.searchsorted(row, np.arange(b.num_rows + 1))
-            n_words, n_removed, texts = [], [], []
-            for k, t in enumerate(b.column(2)):
-                words = t.as_py().split()  # at ASCII white space, as the contract's words
-                kept = words
-                if edge[k] < edge[k + 1]:
+            n_words, n_removed, texts, lists = [], [], [], []
+            for k in range(b.num_rows):
+                text = b.column(1)[k].as_py()
+                words = kept = text.split()  # at ASCII white space, as the contract's words
+                factors: list[tuple] = []
+                if b.column(2)[k].is_valid and len(b.column(2)[k]):
+                    factors, spans = factored(text, b.column(2)[k], b.column(3)[k])
                     kept, last = [], 0
-                    for x, y in zip(*(e.tolist() for e in covered(len(words), start[edge[k] : edge[k + 1]], width)), strict=True):
-                        kept += words[last:x]
-                        last = y
+                    for x, y in spans:
+                        kept += words[last : max(x, last)]
+                        last = max(y, last)
                     kept += words[last:]
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(kept))
                 texts.append(b" ".join(kept))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), lists, pa.array(texts, pa.binary())], names=[id, "n_words", "n_removed", "factors", "kept"])
+                lists.append([dict(zip(("begin", "length", "ref", "ref_begin"), f, strict=True)) for f in factors])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(lists, pa.list_(factor)), pa.array(texts, pa.binary())], names=[id, "n_words", "n_removed", "factors", "kept"])
 
     return run
 
 
 def factor_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 13, gram: int = 5) -> DataFrame:
     """id, n_words, n_removed, factors (begin, length, ref, ref_begin; in words), kept (binary: words joined by a space)."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kind = docs.schema[id].dataType
     name = kind.simpleString()
     keyed = anchors.keyed(docs, id, text)
@@ -123,19 +234,33 @@ def factor_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
         runs.groupBy("a", "c").agg(F.min("d").alias("d"), *[F.coalesce(F.min_by(x, "d"), F.first(x)).alias(x) for x in ("g", "p")], F.first("n").cast("int").alias("n"))
     )
     contexts = blocks.groupBy("a").agg(F.count("*").alias("k"))
-    alone = blocks.join(contexts.where("k = 1").select("a"), "a").select("a", "c", F.lit(0).alias("i"), F.col("n").alias("m"), F.col("d").alias("rd"), F.col("p").alias("rp"))
+    alone = blocks.join(contexts.where("k = 1").select("a"), "a").select("a", "c", F.lit(0).alias("i"), F.col("n").alias("m"), F.col("d").alias("rd"), F.col("g").alias("rg"), F.col("p").alias("rp"))
     several = blocks.join(contexts.where("k > 1").select("a"), "a").select("d", "g", "a", "c", "p", "n")
-    each = materialise(anchors.with_runs(keyed, several, "inner").select("d", "t", "runs").mapInArrow(_windows(width), f"a long, c long, i int, h long, rd {name}, rp int"))
-    first = each.where(F.col("rd").isNotNull()).groupBy("a", "h").agg(F.min("rd").alias("rd"), F.min_by("rp", "rd").alias("rp"))
-    aligned = each.select("a", "c", "i", "h").join(first, ["a", "h"]).select("a", "c", "i", F.lit(1).alias("m"), "rd", "rp")
-    index = materialise(alone.where(F.col("rd").isNotNull()).unionByName(aligned).groupBy("a", "c").agg(F.collect_list(F.struct("i", "m", "rd", "rp")).alias("blocks")))
+    each = materialise(anchors.with_runs(keyed, several, "inner").select("d", "g", "t", "runs").mapInArrow(_windows(width), f"a long, c long, i int, h long, rd {name}, rg int, rp int"))
+    first = each.where(F.col("rd").isNotNull()).groupBy("a", "h").agg(F.min("rd").alias("rd"), *[F.min_by(x, "rd").alias(x) for x in ("rg", "rp")])
+    aligned = each.select("a", "c", "i", "h").join(first, ["a", "h"]).select("a", "c", "i", F.lit(1).alias("m"), "rd", "rg", "rp")
+    index = materialise(alone.where(F.col("rd").isNotNull()).unionByName(aligned).groupBy("a", "c").agg(F.collect_list(F.struct("i", "m", "rd", "rg", "rp")).alias("blocks")))
     release(blocks, each)
     earlier = F.filter("blocks", lambda x: F.coalesce(x.rd < F.col("d"), F.col("d").isNull()))
     found = runs.join(index, ["a", "c"]).select("d", "g", anchors.begins().alias("at"), earlier.alias("blocks")).where(F.size("blocks") > 0)
-    windows = F.flatten(F.transform("at", lambda p: F.transform("blocks", lambda x: F.struct((p + x.i).alias("p"), x.m.alias("m"), x.rd.alias("rd"), x.rp.alias("rp")))))
-    found = materialise(found.select("d", "g", F.inline(windows)))
+    windows = F.flatten(F.transform("at", lambda p: F.transform("blocks", lambda x: F.struct((p + x.i).alias("p"), x.m.alias("m"), x.rd.alias("rd"), x.rg.alias("rg"), x.rp.alias("rp")))))
+    hits = materialise(found.select("d", "g", F.inline(windows)).groupBy("d", "g").agg(F.collect_list(F.struct("p", "m", "rd", "rg", "rp")).alias("hits")))
     release(runs, index)
-    return anchors.with_runs(keyed, found).select("d", "g", "t", "runs").mapInArrow(
+
+    asked = materialise(hits.mapInArrow(_requests(width), f"d {name}, g int, x int, n int, shift int, rd {name}, rg int"))
+    copies = asked.groupBy("rd", "rg").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
+    salted = asked.join(copies, ["rd", "rg"]).withColumn("z", F.pmod(F.xxhash64("d", "g", "x", "shift"), "parts").cast("int"))
+    lists = salted.groupBy("rd", "rg", "z").agg(F.collect_list(F.struct("d", "g", "x", "n", "shift")).alias("asked"))
+    # of texts with one id and tag any will do: they are equal
+    theirs = keyed.join(copies, keyed.d.eqNullSafe(F.col("rd")) & (keyed.g == F.col("rg"))).select("rd", "rg", "t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("z"))
+    fetched = theirs.join(lists, ["rd", "rg", "z"]).select("rd", "rg", "t", "asked").mapInArrow(_fetch, f"d {name}, g int, x int, shift int, rd {name}, rg int, words array<long>")
+    fetched = materialise(fetched)
+    beside = fetched.groupBy(F.col("d").alias("d_"), F.col("g").alias("g_")).agg(F.collect_list(F.struct("x", "shift", "rd", "rg", "words")).alias("fetched"))
+    own = hits.select(F.col("d").alias("d1"), F.col("g").alias("g1"), "hits")
+    known = keyed.join(own, keyed.d.eqNullSafe(F.col("d1")) & (keyed.g == F.col("g1")), "left")
+    known = known.join(beside, keyed.d.eqNullSafe(F.col("d_")) & (keyed.g == F.col("g_")), "left")
+    release(asked)
+    return known.select("d", "t", "hits", "fetched").mapInArrow(
         _parse(width, id, to_arrow_type(kind)),
         f"`{id}` {name}, n_words long, n_removed long, factors array<struct<begin:long,length:long,ref:{name},ref_begin:long>>, kept binary",
     )

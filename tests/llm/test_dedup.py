@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -46,6 +48,73 @@ def test_lz_factors_match_brute_force(spark, rows):
                 assert f.ref < r.doc_id and text[r.doc_id][f.begin : f.begin + f.length] == text[f.ref][f.ref_begin : f.ref_begin + f.length]
 
 
+def test_a_copy_is_one_factor(spark):
+    rng = random.Random(3)
+    w = [f"w{i}" for i in range(200)]
+    middle, head, tail = w[:30], w[40:60], w[60:80]
+    rows = [(0, " ".join(w[100:110] + middle)), (1, " ".join(head + middle + tail)), (2, " ".join(head + middle + tail)), (3, " ".join(middle + tail))]
+    rng.shuffle(rows)
+    got = {r.doc_id: [tuple(f) for f in r.factors] for r in factor_documents(frame(spark, rows)).collect()}
+    # document 1 has but the middle of 0; the first words of 3 are named for 0, yet 1 goes on longer
+    assert got == {0: [], 1: [(20, 30, 0, 10)], 2: [(0, 70, 1, 0)], 3: [(0, 50, 1, 20)]}
+
+
+def _greedy(rows, width):
+    """Factors of each document: in each stretch of hits the first documents of its windows, each on its diagonal, are followed word by word."""
+    text = {i: words(t) for i, t in rows}
+    first = {}
+    for i in sorted(text):
+        for s in range(len(text[i]) - width + 1):
+            first.setdefault(tuple(text[i][s : s + width]), (i, s))
+    out = {}
+    for i, w in text.items():
+        named = [first[tuple(w[s : s + width])] for s in range(len(w) - width + 1)]
+        hit = [n[0] < i for n in named]
+        factors, s = [], 0
+        while s < len(hit):
+            if not hit[s]:
+                s += 1
+                continue
+            a, b = s, s
+            while a and hit[a - 1]:
+                a -= 1
+            while b < len(hit) and hit[b]:
+                b += 1
+            best = None
+            for x in range(a, b):
+                ref, shift = named[x][0], named[x][1] - x
+                v, n = text[ref], 0
+                while s + n < min(len(w), b - 1 + width) and 0 <= s + n + shift < len(v) and w[s + n] == v[s + n + shift]:
+                    n += 1
+                if n >= width and (best is None or (-n, ref, shift) < best):
+                    best = (-n, ref, shift)
+            factors.append((s, -best[0], best[1], s + best[2]))
+            s -= best[0]
+        out[i] = factors
+    return out
+
+
+def test_factors_are_greedy(spark):
+    rng = random.Random(4)
+    fresh = iter(range(10**6))
+    texts = []
+    for _ in range(120):
+        parts = [f"n{next(fresh)}" for _ in range(rng.randrange(5, 30))]
+        for _ in range(rng.randrange(4)):
+            if texts:
+                other = rng.choice(texts)
+                a = rng.randrange(len(other))
+                piece = other[a : a + rng.randrange(5, 60)]
+                if not set(piece) & set(parts):  # no word twice in a text, so each window has one place in it
+                    parts += piece
+        texts.append(parts + [f"n{next(fresh)}" for _ in range(rng.randrange(10))])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = _greedy(rows, 5)
+    assert sum(len(x) for x in want.values()) > 25 and any(len(x) > 1 for x in want.values())
+    got = {r.doc_id: [tuple(f) for f in r.factors] for r in factor_documents(frame(spark, rows), width=5, gram=2).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("options", [{}, {"hot": 1}, {"room": 2}], ids=["plain", "hot", "small buckets"])
 def test_suffix_dedup_matches_brute_force(spark, options):
     rows = corpus(3, 25)
