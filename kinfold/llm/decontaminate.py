@@ -10,7 +10,8 @@ falls with the document's length, could not promise that). Documents probe the s
 shingles; candidates are verified by exact containment of the shingles' words.
 
 The item side is broadcast only if its measured size is within `broadcast_bytes`; beyond it, the
-probe is a shuffled join of hashes and ids.
+probe is a shuffled join of hashes, ids and text hashes. Each pair of a document and an item is verified once, however
+many of its shingles hit; no text goes through the probe, whatever its length.
 
 Words are lower-cased runs of letters and digits. An item of fewer words than `shingle` is one shingle of
 all its words. Items or documents without words, or with a null text, never match. One row for each
@@ -20,6 +21,8 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,33 +67,30 @@ def find_leaks(
     shingle: int = 5, threshold: float = 0.8, broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
     """id, item_id, n_shingles, n_matched, containment for each document that holds `threshold` of an item's shingles."""
-    sig, full = (materialise(x, 1) for x in signatures(items, item_id, item_text, shingle, threshold))
+    sig, full = (materialise(x) for x in signatures(items, item_id, item_text, shingle, threshold))
     about = full.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0)).alias("n"), F.coalesce(F.sum(F.aggregate("shingles", F.lit(0).cast("long"), lambda a, s: a + F.octet_length(s))), F.lit(0)).alias("bytes"), F.array_sort(F.collect_set("length")).alias("lengths")).first()
     fits = about.bytes + 64 * about.n <= broadcast_bytes
     small = F.broadcast if fits else (lambda df: df)
-    words = docs.select(F.col(id).alias("d"), words_of(F.col(text)).alias("w"))
-
-    def hashed(df: DataFrame, *columns: str) -> DataFrame:
-        """A row for each run of words of each length that items have (one length, unless some items are very short)."""
-        out = None
-        for n in about.lengths or [shingle]:
-            each = df.select(*columns, F.explode(_runs(F.col("w"), n)).alias("r")).select(*columns, F.xxhash64(*[F.col(f"r.w{j}") for j in range(n)]).alias("h"))
-            out = each if out is None else out.unionByName(each)
-        return out
-
-    if fits:
-        probed = hashed(words, "d", "w").join(small(sig), "h")
-    else:  # the words stay behind and come back for candidates only
-        tagged = words.select("d", F.xxhash64("w").alias("g"), "w")
-        hits = hashed(tagged, "d", "g").join(sig, "h").select("d", "g", "item").distinct()
-        hits = hits.select(F.col("d").alias("d_"), F.col("g").alias("g_"), "item")
-        probed = tagged.join(hits, tagged.d.eqNullSafe(F.col("d_")) & (F.col("g") == F.col("g_"))).select("d", "w", "item")
-    text_ = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    tag = F.xxhash64(F.col(text).cast("string"))  # tells texts of one id apart
+    words = docs.select(F.col(id).alias("d"), tag.alias("g"), words_of(F.col(text)).alias("w"))
+
+    def hashed(n: int) -> DataFrame:
+        """A row for each run of n words."""
+        runs = words.select("d", "g", F.explode(_runs(F.col("w"), n)).alias("r"))
+        return runs.select("d", "g", F.xxhash64(*[F.col(f"r.w{j}") for j in range(n)]).alias("h"))
+
+    probes = [hashed(n) for n in about.lengths or [shingle]]  # one length, unless some items are very short
+    hits = reduce(DataFrame.unionByName, probes).join(small(sig), "h").select(F.col("d").alias("d_"), F.col("g").alias("g_"), "item").distinct()
+    hits = materialise(hits)  # the words stay behind; texts are read again for candidates only, each once for an item
+    few = F.broadcast(hits) if hits.count() * 64 <= broadcast_bytes else hits
+    candidate = docs.select(F.col(id).alias("d"), tag.alias("g"), F.col(text).alias("x")).join(few, F.col("d").eqNullSafe(F.col("d_")) & (F.col("g") == F.col("g_")))
+    candidate = candidate.select("d", "item", F.concat(F.lit(" "), F.array_join(words_of(F.col("x")), " "), F.lit(" ")).alias("t"))
     checked = (
-        probed.join(small(full), probed.item.eqNullSafe(full.item)).select("d", probed.item.alias("item"), "size", text_.alias("t"), "shingles")
+        candidate.join(small(full.withColumnRenamed("item", "item_")), F.col("item").eqNullSafe(F.col("item_")))
         .select("d", "item", "size", F.size(F.filter("shingles", lambda s: F.contains(F.col("t"), s))).alias("m"))
         .where(F.col("m") >= F.col("size") * F.lit(threshold))
     )
-    return checked.groupBy("d", "item").agg(F.max("size").alias("size"), F.max("m").alias("m")).select(
+    out = checked.groupBy("d", "item").agg(F.max("size").alias("size"), F.max("m").alias("m"))
+    return out.select(
         F.col("d").alias(id), F.col("item").alias(item_id), F.col("size").cast("long").alias("n_shingles"), F.col("m").cast("long").alias("n_matched"), (F.col("m") / F.col("size")).alias("containment")
     )

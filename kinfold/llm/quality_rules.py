@@ -107,7 +107,10 @@ class Test:
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 20_000, max_rules: int = 12, max_tests: int = 4, precision: float = 0.9) -> list[list[Test]]:
-    """Ordered rules, each a conjunction of tests; a row that meets any is bad (label 0)."""
+    """Ordered rules, each a conjunction of tests; a row that meets any is bad (label 0).
+
+    At most `max_rules` rules of at most `max_tests` tests: bounds on how long a list stays readable. The list ends before if no further rule gains.
+    """
     chosen = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("k_"), (F.col(label) == 0).alias("bad"))
     chosen = chosen.orderBy(F.xxhash64("k_"), "k_", "bad").limit(max_rows)
     counts = docs.select(F.col(id).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("k") == F.col("k_")).select("bad", (F.pmod(F.xxhash64(F.lit(1), "k"), F.lit(3)) == 0).alias("held"), F.explode(F.array(statistics(F.col("t")))).alias("x"))

@@ -88,6 +88,7 @@ def test_leaks_match_brute_force(spark, bound):
         if i % 3 == 2:
             w[len(w) // 2] = "gone"
         rows.append((100 + i, prose(rng, 80) + " " + " ".join(w).upper() + ", " + prose(rng, 30)))
+    rows += [(300, (prose(rng, 20_000) + " " + items[1][1] + " ") * 2)]  # very long
     rows += [(200, "x two  WORDS y only one thing here"), (None, items[0][1]), (201, items[4][1]), (201, items[4][1])]
     want = set()
     for d, t in rows:
