@@ -6,6 +6,7 @@ white space, as `(?U)\s`.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -53,58 +54,66 @@ def email(raw: Column) -> Column:
     return let(F.lower(strip(raw)), lambda e: F.when(e.rlike(V.EMAIL), e).otherwise(F.lit("")))
 
 
-def phone(raw: Column) -> Column:
-    """E.164, by number lengths; numbers without a country code are taken as North American.
+def phone_in(region: str) -> Callable[[Column], Column]:
+    """The normaliser to E.164 for a home region. A number with `+` or the international prefix must have an assigned country code and a length that its plan has; others are of `region`.
 
-    Without a phone library there is no check of area codes: `+` numbers pass with 8 to 15 digits (11 for
-    country code 1), others with 7 (local), 10, or 11 digits that begin with 1, or after the prefix 011.
+    There is no check of area codes. North American numbers without an area code (7 digits) pass, as numbers that are possible.
     """
+    home = V.REGIONS[region]
+    own_lengths = V.PHONE_LENGTHS.get(home, V.ANY_LENGTH) + ("7," if home == "1" else "")
+    prefix, trunk = ("011", r"^1(?=\d{10}$)") if home == "1" else ("00", "^0")
+
+    def fits(n: Column, lengths: Column) -> Column:
+        return F.contains(lengths, F.concat(F.lit(","), n.cast("string"), F.lit(",")))
+
+    def full(x: Column) -> Column:
+        code = F.regexp_extract(x, V.CALLING_CODE, 1)
+        lengths = F.create_map(*[F.lit(v) for pair in V.PHONE_LENGTHS.items() for v in pair])
+        known = F.coalesce(F.try_element_at(lengths, code), F.lit(V.ANY_LENGTH))
+        return F.when((code != "") & fits(F.length(x) - F.length(code), known), F.concat(F.lit("+"), x)).otherwise(F.lit(""))
 
     def of(s: Column) -> Column:
         d = F.regexp_replace(s, r"\D", "")
-        international = F.regexp_replace(d, r"^011", "")
-        ok = international.rlike(r"^(?:1\d{10}|[2-9]\d{7,14})$")
-        return (
-            F.when(s.startswith("+"), F.when(d.rlike(r"^(?:1\d{10}|[2-9]\d{7,14})$"), F.concat(F.lit("+"), d)).otherwise(F.lit("")))
-            .when(d.rlike(r"^(?:\d{7}|[2-9]\d{9})$"), F.concat(F.lit("+1"), d))
-            .when(d.rlike(r"^1\d{10}$"), F.concat(F.lit("+"), d))
-            .when(d.startswith("011") & ok, F.concat(F.lit("+"), international))
-            .when(d.rlike(r"^\d{10}$"), F.concat(F.lit("+1"), d))
-            .otherwise(F.lit(""))
-        )
+        own = F.regexp_replace(d, trunk, "")
+        here = F.when(fits(F.length(own), F.lit(own_lengths)), F.concat(F.lit(f"+{home}"), own))
+        abroad = F.when(d.startswith(prefix), let(F.regexp_replace(d, f"^{prefix}", ""), full))
+        return F.when(d == "", F.lit("")).when(s.startswith("+"), let(d, full)).otherwise(first_of(F.coalesce(abroad, F.lit("")), F.coalesce(here, F.lit(""))))
+
+    return lambda raw: let(F.regexp_replace(strip(raw), r"(?i)\s*(?:ext\.?|extension|x|#)\s*\d{1,7}$", ""), of)
 
-    return let(F.regexp_replace(strip(raw), r"(?i)\s*(?:ext\.?|extension|x|#)\s*\d{1,7}$", ""), of)
+
+def phone(raw: Column) -> Column:
+    return phone_in("US")(raw)
 
 
-_iso: list[tuple[str, str, str]] = []
+_iso: dict[str, str] = {}
 
 
-def iso_countries() -> list[tuple[str, str, str]]:
-    """(alpha-2, alpha-3, English name in lower case) of every ISO 3166 country, from the JVM's locale data."""
+def iso_countries() -> dict[str, str]:
+    """ISO 3166 alpha-2 by alpha-2, alpha-3 (in capitals) and English name (in lower case), from the JVM's locale data."""
     if not _iso:
         locale = SparkSession.active()._jvm.java.util.Locale
         for code in locale.getISOCountries():
             one = SparkSession.active()._jvm.java.util.Locale("", code)
-            _iso.append((code, one.getISO3Country(), one.getDisplayCountry(locale.ENGLISH).lower()))
+            _iso[code] = _iso[one.getISO3Country()] = _iso[one.getDisplayCountry(locale.ENGLISH).lower()] = code
     return _iso
 
 
 def country(raw: Column) -> Column:
-    """ISO 3166 alpha-2. Aliases, then codes, then English names; there is no fuzzy search."""
-    iso = iso_countries()
-    codes = F.array(*[F.lit(a) for a, _, _ in iso])
+    """ISO 3166 alpha-2: aliases, codes, English names, other and official names; at last a long form without its form of government.
+
+    So `Kingdom of Spain` and `Republic of Korea` are known. There is no search by likeness of letters.
+    """
+    known = F.from_json(F.lit(json.dumps(iso_countries())), "map<string,string>")  # folded into one constant
+    other = F.from_json(F.lit(json.dumps(V.COUNTRY_NAMES)), "map<string,string>")
+
+    def named(key: Column) -> Column:
+        return F.coalesce(_lookup(V.COUNTRIES, key), F.try_element_at(other, key), F.when(F.length(key) > 3, F.try_element_at(known, key)))
 
     def of(s: Column) -> Column:
-        key, code = F.lower(s), F.upper(s)
-        alpha3, names = F.array(*[F.lit(b) for _, b, _ in iso]), F.array(*[F.lit(c) for _, _, c in iso])
-        at = lambda table, x: F.get(codes, F.array_position(table, x).cast("int") - 1)
-        return F.coalesce(
-            _lookup(V.COUNTRIES, key),
-            F.when(F.length(s) == 2, F.when(F.array_contains(codes, code), code)),
-            F.when(F.length(s) == 3, at(alpha3, code)),
-            at(names, key),
-            F.lit(""),
-        )
+        key = F.lower(s)
+        by_code = F.when(F.length(s).isin(2, 3), F.try_element_at(known, F.upper(s)))
+        return F.coalesce(_lookup(V.COUNTRIES, key), by_code, named(key), named(F.regexp_replace(key, V.GOVERNMENT, "")), F.lit(""))
 
     return let(strip(raw), of)
 
@@ -200,5 +209,5 @@ def listed(raw: Column, separators: tuple[str, ...]) -> Column:
     return F.filter(F.transform(split, strip), lambda x: x != "")
 
 
-#: Names for the projection's inline normalisers, and for SQL (see register).
+#: Names for the projection's inline normalisers.
 NAMED = {"email": email, "e164": phone, "canonical": skill, "url": url, "lowercase": F.lower, "uppercase": F.upper}

@@ -87,6 +87,7 @@ ONGOING = ["present", "current", "now", "ongoing", "today"]
 #: Particles of a name that stay in lower case. Fixed values.
 PARTICLES = ["de", "di", "da", "del", "van", "von", "le", "la", "el", "al"]
 
+#: Patterns of e-mails, phones and addresses. Fixed values.
 EMAIL = r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$"
 FIND_EMAIL = r"[\w.+\-]+@[\w\-]+\.[\w.\-]+"
 FIND_PHONE = r"[\+]?[\d][\d\s\-\(\)\.]{7,15}"
@@ -244,3 +245,44 @@ LINKEDIN_PLACE = {
     "region": ["state", "region", "province"],
     "country": ["country", "country_code"],
 }
+
+#: Assigned country calling codes (ITU E.164), as the start of a number. Fixed values.
+CALLING_CODE = (
+    r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[12368]|22\d|23\d|24\d|25[0-8]|26\d|29[01789]|35\d|37\d|38[0-35-79]|42[013]|50\d|59\d"
+    r"|67[02-9]|68[0-35-9]|69[0-2]|800|808|85[02356]|87[08]|88[0-368]|96[0-8]|97[0-79]|99[2-68])(?=\d)"
+)
+#: Lengths of national numbers by calling code, between commas; and those taken for plans that are not in the list. Fixed values.
+PHONE_LENGTHS = {
+    "1": ",10,", "7": ",10,", "20": ",8,9,10,", "27": ",9,", "30": ",10,", "31": ",9,", "32": ",8,9,", "33": ",9,", "34": ",9,", "36": ",8,9,",
+    "39": ",6,7,8,9,10,11,", "41": ",9,", "44": ",9,10,", "45": ",8,", "46": ",7,8,9,", "47": ",8,", "48": ",9,", "49": ",5,6,7,8,9,10,11,12,13,",
+    "52": ",10,", "55": ",10,11,", "61": ",9,", "64": ",8,9,10,", "65": ",8,", "81": ",9,10,", "82": ",8,9,10,", "86": ",10,11,", "91": ",10,",
+    "351": ",9,", "353": ",7,8,9,", "358": ",6,7,8,9,10,", "971": ",8,9,", "972": ",8,9,",
+}
+ANY_LENGTH = ",5,6,7,8,9,10,11,12,"
+#: Calling codes of the regions that numbers without a code may be of. Fixed values.
+REGIONS = {
+    "US": "1", "CA": "1", "GB": "44", "IN": "91", "DE": "49", "FR": "33", "ES": "34", "IT": "39", "NL": "31", "BR": "55", "MX": "52", "AU": "61",
+    "NZ": "64", "JP": "81", "CN": "86", "SG": "65", "ZA": "27", "IE": "353", "PT": "351", "CH": "41", "SE": "46", "NO": "47", "DK": "45", "PL": "48",
+}
+
+#: Other and official names of countries, in lower case. Fixed values.
+COUNTRY_NAMES = {
+    "czech republic": "CZ", "czechia": "CZ", "slovak republic": "SK", "viet nam": "VN", "russia": "RU", "russian federation": "RU",
+    "south korea": "KR", "korea, republic of": "KR", "republic of korea": "KR", "north korea": "KP", "democratic people's republic of korea": "KP",
+    "people's republic of china": "CN", "taiwan, province of china": "TW", "hong kong": "HK", "macau": "MO", "macao": "MO",
+    "iran, islamic republic of": "IR", "islamic republic of iran": "IR", "syrian arab republic": "SY", "arab republic of egypt": "EG",
+    "lao people's democratic republic": "LA", "people's democratic republic of algeria": "DZ", "hashemite kingdom of jordan": "JO",
+    "bolivia, plurinational state of": "BO", "venezuela, bolivarian republic of": "VE", "tanzania, united republic of": "TZ", "moldova, republic of": "MD",
+    "brunei darussalam": "BN", "cabo verde": "CV", "cape verde": "CV", "ivory coast": "CI", "cote d'ivoire": "CI", "turkiye": "TR", "türkiye": "TR", "turkey": "TR",
+    "eswatini": "SZ", "swaziland": "SZ", "north macedonia": "MK", "macedonia": "MK", "burma": "MM", "myanmar": "MM", "holy see": "VA", "vatican city": "VA",
+    "timor-leste": "TL", "east timor": "TL", "the netherlands": "NL", "the gambia": "GM", "the bahamas": "BS", "micronesia, federated states of": "FM",
+    "democratic republic of the congo": "CD", "congo, the democratic republic of the": "CD", "republic of the congo": "CG",
+    "palestine, state of": "PS", "state of palestine": "PS", "swiss confederation": "CH", "hellenic republic": "GR", "french republic": "FR",
+    "italian republic": "IT", "portuguese republic": "PT", "argentine republic": "AR", "kyrgyz republic": "KG", "togolese republic": "TG",
+    "gabonese republic": "GA", "dominican republic": "DO", "central african republic": "CF", "lebanese republic": "LB", "united mexican states": "MX",
+}
+#: A form of government in front of a country's name. Fixed value.
+GOVERNMENT = (
+    r"^(?:the )?(?:(?:federal |federative |democratic |socialist |islamic |bolivarian |plurinational |oriental |independent |grand |united )*"
+    r"(?:republic|kingdom|state|states|commonwealth|principality|sultanate|duchy|union|federation) of )(?:the )?"
+)

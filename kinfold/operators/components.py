@@ -7,7 +7,7 @@ task unless the planner splits them; the number of rounds grows with log of the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinfold.session import materialise, release
@@ -34,12 +34,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     e = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     for _ in range(max_rounds):
-        before, e = e, materialise(_small_star(_large_star(e).distinct()).distinct())
+        now = Observation()  # told by the write itself, no job of its own
+        step = _small_star(_large_star(e).distinct()).distinct().observe(now, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        before, e = e, materialise(step)
         release(before)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == now:
+        if mark == now.get:
             break
-        mark = now
+        mark = now.get
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,15 +1,17 @@
 """Merging the records of a cluster: source-priority choice, unions, keyed dedup, intervals, lineage.
 
-Every operator takes records with cluster_id and gives one row per cluster (or per cluster and value).
-Choices are `min_by` over an order struct and collections are first grouped by (cluster, value), so both combine
-before the shuffle and no cluster's records are gathered; only its distinct values are.
+Every operator takes records with cluster_id and gives one row per cluster. A merge reads the records twice: one
+aggregation chooses scalars and links (`min_by` over an order struct), one gathers all that a cluster has several of
+(`gathered`): items of every kind in one long form, first grouped by (cluster, kind, key), then by cluster. Both combine before the shuffle,
+and no cluster's records are gathered; only its distinct values are.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import normal as N
@@ -27,8 +29,8 @@ def first_by_priority(value: Column, when: Column) -> Column:
     return F.min_by(value, F.when(when, order()))
 
 
-def scalars(records: DataFrame) -> DataFrame:
-    """cluster_id with name, headline, location, years, top (source): each a struct with its source, or null."""
+def _scalars() -> dict[str, Column]:
+    """Aggregates name, headline, location, years, top (source) and position: each choice a struct with its source, or null."""
     name = N.name(F.col("full_name"))
     head = N.strip(F.col("headline"))
     loc = F.col("location")
@@ -37,65 +39,115 @@ def scalars(records: DataFrame) -> DataFrame:
     years = F.col("years_experience")
     ok = F.coalesce((years >= 0) & ~F.isnan(years), F.lit(False))
     src = F.col("source").alias("source")
-    return records.groupBy("cluster_id").agg(
-        first_by_priority(F.struct(src, name.alias("value"), F.col("full_name").alias("raw")), name != "").alias("name"),
-        first_by_priority(F.struct(src, head.alias("value")), head != "").alias("headline"),
-        first_by_priority(F.struct(src, place.alias("value"), loc.alias("raw")), some).alias("location"),
-        first_by_priority(F.struct(src, years.alias("value")), ok).alias("years"),
-        F.min_by("source", order()).alias("top"),
-        F.min(F.struct("source", "at")).alias("position"),
-    )
-
-
-def links(records: DataFrame) -> DataFrame:
-    """cluster_id, linkedin, github, portfolio (structs of source and value, or null), other."""
+    return {
+        "name": first_by_priority(F.struct(src, name.alias("value"), F.col("full_name").alias("raw")), name != ""),
+        "headline": first_by_priority(F.struct(src, head.alias("value")), head != ""),
+        "location": first_by_priority(F.struct(src, place.alias("value"), loc.alias("raw")), some),
+        "years": first_by_priority(F.struct(src, years.alias("value")), ok),
+        "top": F.min_by("source", order()),
+        "position": F.min(F.struct("source", "at")),
+    }
+
+
+def _chosen_links() -> dict[str, Column]:
+    """Aggregates linkedin, github and portfolio: structs of source and value, or null."""
     raw = lambda n: F.coalesce(F.col("links")[n], F.lit(""))
-    pick = lambda n: first_by_priority(F.struct(F.col("source").alias("source"), N.url(raw(n)).alias("value")), N.url(raw(n)) != "").alias(n)
-    chosen = records.groupBy("cluster_id").agg(*[pick(n) for n in ("linkedin", "github", "portfolio")])
-    urls = records.select("cluster_id", F.explode(F.col("links")["other"]).alias("u")).select("cluster_id", N.url(F.col("u")).alias("u")).where("u <> ''").distinct()
-    other = urls.groupBy("cluster_id").agg(F.array_sort(F.collect_list("u")).alias("other"))
-    return chosen.join(other, "cluster_id", "left").withColumn("other", F.coalesce("other", F.array().cast("array<string>")))
+    return {n: first_by_priority(F.struct(F.col("source").alias("source"), N.url(raw(n)).alias("value")), N.url(raw(n)) != "") for n in ("linkedin", "github", "portfolio")}
 
 
-def union_values(records: DataFrame, column: str, normalise) -> DataFrame:
-    """cluster_id, values (sorted, distinct), origins (source, raw, value of each value's first record, in merge order)."""
-    each = records.select("cluster_id", "source", order().alias("o"), F.posexplode(column).alias("i", "raw")).withColumn("value", normalise(F.col("raw"))).where("value <> ''")
-    first = each.groupBy("cluster_id", "value").agg(F.min(F.struct("o", "i", "source", "raw")).alias("x"))
-    gathered = first.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("x.o", "x.i", F.struct("x.source", "x.raw", "value").alias("v")))).alias("all"))
-    return gathered.select("cluster_id", F.array_sort(F.transform("all", lambda a: a["v"]["value"])).alias("values"), F.transform("all", lambda a: a["v"]).alias("origins"))
+def _chosen(records: DataFrame, *parts: dict[str, Column]) -> DataFrame:
+    return records.groupBy("cluster_id").agg(*[c.alias(n) for part in parts for n, c in part.items()])
 
 
-def skills(records: DataFrame) -> DataFrame:
-    """cluster_id, skills: name, confidence by best source and number of sources, sources; sorted by name."""
-    each = records.select("cluster_id", "source", "priority", F.explode("skills").alias("raw")).withColumn("name", N.skill(F.col("raw"))).where("name <> ''")
-    by_source = each.groupBy("cluster_id", "name", "source").agg(F.max("priority").alias("priority"))
-    by_name = by_source.groupBy("cluster_id", "name").agg(F.array_sort(F.collect_list("source")).alias("sources"), F.max_by("source", "priority").alias("best"), F.count("*").alias("n"))
-    one = F.struct("name", field_confidence(F.col("best"), F.col("n")).alias("confidence"), "sources")
-    return by_name.groupBy("cluster_id").agg(F.array_sort(F.collect_list(one)).alias("skills"))
+@dataclass(frozen=True)
+class Kind:
+    """Items that a record has several of. `items`: an array of arrays of raw strings; `key` of such an array, empty for what does not count;
+    `clean`: a cleaner for each string, of which a key's first one that is not empty is kept; `done`: the output from a key's rows."""
 
+    items: Column
+    key: Callable[[Column], Column]
+    clean: list[Callable[[Column], Column]]
+    done: Callable[[Column], Column]
 
-def keyed_entries(records: DataFrame, column: str, key_fields: tuple[str, str, str], fields: dict[str, object], sort_field: str) -> DataFrame:
-    """cluster_id, entries: nested entries deduplicated by key, empty fields filled from later records; latest first.
 
-    The key is the MD5 of two lower-cased fields and a third as written. `fields`: each with its cleaner.
+def gathered(records: DataFrame, kinds: dict[str, Kind]) -> DataFrame:
+    """cluster_id and a column for each kind.
+
+    A key's row has `first` (place of its first item in merge order), `key`, `source` of that item, `f` (cleaned strings), `sources` and `best` (the source of
+    highest priority).
     """
-    each = records.select("cluster_id", order().alias("o"), F.posexplode(column).alias("i", "e"))
-    x = lambda n: F.coalesce(F.col("e")[n], F.lit(""))
+    tag = lambda name, k: F.transform(k.items, lambda f, i: F.struct(F.lit(name).alias("kind"), i.alias("i"), F.transform(f, lambda v: F.coalesce(v, F.lit(""))).alias("f")))
+    each = records.select("cluster_id", "source", "priority", order().alias("o"), F.explode(F.concat(*[F.coalesce(tag(n, k), F.array()) for n, k in kinds.items()])).alias("x"))
+    by_kind = lambda of: F.coalesce(*[F.when(F.col("x.kind") == n, of(k)) for n, k in kinds.items()], F.lit(""))
+    width = max(len(k.clean) for k in kinds.values())
+    cleaned = [by_kind(lambda k, j=j: k.clean[j](F.get("x.f", j)) if j < len(k.clean) else F.lit("")).alias(f"f{j}") for j in range(width)]
+    each = each.select("cluster_id", "source", "priority", F.struct("o", "x.i").alias("at"), "x.kind", by_kind(lambda k: k.key(F.col("x.f"))).alias("key"), *cleaned)
+    firsts = [F.coalesce(F.min_by(f"f{j}", F.when(F.col(f"f{j}") != "", F.col("at"))), F.lit("")) for j in range(width)]
+    row = each.groupBy("cluster_id", "kind", "key").agg(
+        F.min("at").alias("first"), F.min_by("source", "at").alias("source"), F.array(*firsts).alias("f"), F.array_sort(F.collect_set("source")).alias("sources"), F.max_by("source", F.struct("priority", "source")).alias("best")
+    )
+    some = F.struct("first", "key", "source", "f", "sources", "best")
+    lists = row.where("key <> ''").groupBy("cluster_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("kind") == n, some))).alias(n) for n in kinds])
+    return lists.select("cluster_id", *[k.done(F.col(n)).alias(n) for n, k in kinds.items()])
+
+
+def _values(column: str, normalise: Callable[[Column], Column]) -> Kind:
+    """values (sorted, distinct) and origins (source, raw, value of each value's first item, in merge order)."""
+    origin = lambda r: F.struct(r["source"].alias("source"), F.get(r["f"], 0).alias("raw"), r["key"].alias("value"))
+    done = lambda rows: F.struct(F.array_sort(F.transform(rows, lambda r: r["key"])).alias("values"), F.transform(rows, origin).alias("origins"))
+    return Kind(F.transform(column, lambda v: F.array(v)), lambda f: normalise(F.get(f, 0)), [lambda x: x], done)
+
+
+def _skills() -> Kind:
+    """name, confidence by best source and number of sources, sources; sorted by name."""
+    one = lambda r: F.struct(r["key"].alias("name"), field_confidence(r["best"], F.size(r["sources"])).alias("confidence"), r["sources"].alias("sources"))
+    return Kind(F.transform("skills", lambda v: F.array(v)), lambda f: N.skill(F.get(f, 0)), [], lambda rows: F.array_sort(F.transform(rows, one)))
+
+
+def _other_links() -> Kind:
+    return Kind(F.transform(F.col("links")["other"], lambda v: F.array(v)), lambda f: N.url(F.get(f, 0)), [], lambda rows: F.array_sort(F.transform(rows, lambda r: r["key"])))
+
+
+def _entries(column: str, key_fields: tuple[str, str, str], fields: dict[str, Callable[[Column], Column]], sort_field: str) -> Kind:
+    """Nested entries deduplicated by key, empty fields filled from later records; latest first. The key is the MD5 of two lower-cased fields and a third as written."""
+    names = list(fields)
+    at = lambda f, n: F.get(f, names.index(n))
     a, b, c = key_fields
-    each = each.withColumn("key", F.md5(F.concat_ws("|", F.lower(N.strip(x(a))), F.lower(N.strip(x(b))), x(c))))
-    first = lambda n, f: F.coalesce(F.min_by(f(x(n)), F.when(f(x(n)) != "", F.struct("o", "i"))), F.lit("")).alias(n)
-    merged = each.groupBy("cluster_id", "key").agg(*[first(n, f) for n, f in fields.items()])
-    entry = F.struct("key", F.struct(*fields).alias("e"))
-    later = lambda p, q: F.when(p["e"][sort_field] > q["e"][sort_field], -1).when(p["e"][sort_field] < q["e"][sort_field], 1).when(p["key"] < q["key"], -1).when(p["key"] > q["key"], 1).otherwise(0)
-    return merged.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(entry), later), lambda p: p["e"]).alias("entries"))
+    key = lambda f: F.md5(F.concat_ws("|", F.lower(N.strip(at(f, a))), F.lower(N.strip(at(f, b))), at(f, c)))
+    by = lambda r: F.get(r["f"], names.index(sort_field))
+    later = lambda p, q: F.when(by(p) > by(q), -1).when(by(p) < by(q), 1).when(p["key"] < q["key"], -1).when(p["key"] > q["key"], 1).otherwise(0)
+    entry = lambda r: F.struct(*[F.get(r["f"], j).alias(n) for j, n in enumerate(names)])
+    return Kind(F.transform(column, lambda e: F.array(*[e[n] for n in names])), key, list(fields.values()), lambda rows: F.transform(F.array_sort(rows, later), entry))
+
+
+def _all_kinds() -> dict[str, Kind]:
+    job = {"company": N.strip, "title": N.strip, "start": N.date, "end": N.date, "summary": N.strip}
+    study = {"institution": N.strip, "degree": N.strip, "field": N.strip, "end_year": N.strip}
+    return {
+        "emails": _values("emails", N.email),
+        "phones": _values("phones", N.phone),
+        "skills": _skills(),
+        "other": _other_links(),
+        "experience": _entries("experience", ("company", "title", "start"), job, "start"),
+        "education": _entries("education", ("institution", "degree", "end_year"), study, "end_year"),
+    }
+
+
+def scalars(records: DataFrame) -> DataFrame:
+    """cluster_id with the choices of `_scalars`."""
+    return _chosen(records, _scalars())
 
 
-def experience(records: DataFrame) -> DataFrame:
-    return keyed_entries(records, "experience", ("company", "title", "start"), {"company": N.strip, "title": N.strip, "start": N.date, "end": N.date, "summary": N.strip}, "start")
+def links(records: DataFrame) -> DataFrame:
+    """cluster_id, linkedin, github, portfolio (structs of source and value, or null), other."""
+    out = _chosen(records, _chosen_links()).join(gathered(records, {"other": _other_links()}), "cluster_id", "left")
+    return out.withColumn("other", F.coalesce("other", F.array().cast("array<string>")))
 
 
-def education(records: DataFrame) -> DataFrame:
-    return keyed_entries(records, "education", ("institution", "degree", "end_year"), {"institution": N.strip, "degree": N.strip, "field": N.strip, "end_year": N.strip}, "end_year")
+def collected(records: DataFrame, *kinds: str) -> DataFrame:
+    """cluster_id and the chosen kinds of `_all_kinds`, for clusters that have any of them."""
+    known = _all_kinds()
+    return gathered(records, {k: known[k] for k in kinds})
 
 
 def months(date: Column) -> Column:
@@ -103,26 +155,26 @@ def months(date: Column) -> Column:
     return F.when(date.rlike(r"^\d{4}-\d{2}$"), F.substring(date, 1, 4).cast("int") * 12 + F.substring(date, 6, 2).cast("int"))
 
 
-def interval_union(ranges: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """key, total: length of the union of closed ranges that meet or overlap, by gaps and islands. Ranges that end before they start, or lack an end, are ignored."""
-    rows = ranges.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start))).groupBy(key, start).agg(F.max(end).alias(end))
-    w = Window.partitionBy(key).orderBy(start)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("new_", F.when(F.col(start) <= reach, 0).otherwise(1)).withColumn("island_", F.sum("new_").over(w))
-    islands = rows.groupBy(key, "island_").agg((F.max(end) - F.min(start)).alias("len_"))
-    return islands.groupBy(key).agg(F.sum("len_").alias("total"))
+def covered(ranges: Column) -> Column:
+    """Length of the union of closed ranges, an array of structs a, b of whole numbers: a running maximum of ends over ranges in order. Null without any.
+
+    Ranges that end before they start, or lack an end, are ignored.
+    """
+
+    def of(r: Column) -> Column:
+        zero = F.struct(F.lit(None).cast("long").alias("reach"), F.lit(0).cast("long").alias("total"))
+        more = lambda s, x: F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["reach"])).cast("long")
+        fold = F.aggregate(r, zero, lambda s, x: F.struct(F.greatest(s["reach"], x["b"]).cast("long").alias("reach"), (s["total"] + more(s, x)).alias("total")))
+        return F.when(F.size(r) > 0, fold["total"])
+
+    return N.let(F.array_sort(F.filter(ranges, lambda x: F.coalesce(x["b"] >= x["a"], F.lit(False)))), of)
 
 
 def years_from_entries(entries: Column, now: Column) -> Column:
     """Years covered by an array of entries (start, end), to one decimal, half to even; null without a dated entry. An open end is `now` (months)."""
 
-    def of(r: Column) -> Column:
-        zero = F.struct(F.lit(-1).alias("reach"), F.lit(0).alias("total"))
-        fold = F.aggregate(r, zero, lambda s, x: F.struct(F.greatest(s["reach"], x["b"]).alias("reach"), (s["total"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["reach"]))).alias("total")))
-        return F.when(F.size(r) > 0, F.bround(fold["total"] / F.lit(12.0), 1))
-
     ranges = F.transform(entries, lambda e: F.struct(months(e["start"]).alias("a"), F.when(e["end"].isin("", "present"), now).otherwise(months(e["end"])).alias("b")))
-    return N.let(F.array_sort(F.filter(ranges, lambda x: F.coalesce(x["b"] >= x["a"], F.lit(False)))), of)
+    return F.bround(covered(ranges) / F.lit(12.0), 1)
 
 
 def candidate_id(emails: Column, name: Column) -> Column:
@@ -155,17 +207,9 @@ def _steps(*names: str) -> Column:
 def merge_clusters(records: DataFrame, now: Column) -> DataFrame:
     """One profile per cluster, lineage included. `now`: months since year 0, the end of open engagements."""
     strings = F.array().cast("array<string>")
-    base = scalars(records)
-    parts = [
-        union_values(records, "emails", N.email).select("cluster_id", F.col("values").alias("emails"), F.col("origins").alias("email_origins")),
-        union_values(records, "phones", N.phone).select("cluster_id", F.col("values").alias("phones"), F.col("origins").alias("phone_origins")),
-        links(records),
-        skills(records),
-        experience(records).withColumnRenamed("entries", "experience"),
-        education(records).withColumnRenamed("entries", "education"),
-    ]
-    all_ = reduce(lambda a, b: a.join(b, "cluster_id", "left"), parts, base)
-    all_ = all_.withColumns({c: F.coalesce(c, F.array().cast(all_.schema[c].dataType)) for c in ("emails", "phones", "email_origins", "phone_origins", "skills", "experience", "education")})
+    all_ = _chosen(records, _scalars(), _chosen_links()).join(gathered(records, _all_kinds()), "cluster_id", "left")
+    all_ = all_.withColumns({f"{k[:-1]}_origins": F.col(k)["origins"] for k in ("emails", "phones")}).withColumns({k: F.col(k)["values"] for k in ("emails", "phones")})
+    all_ = all_.withColumns({c: F.coalesce(c, F.array().cast(all_.schema[c].dataType)) for c in ("emails", "phones", "email_origins", "phone_origins", "skills", "experience", "education", "other")})
     full_name = F.coalesce(F.col("name.value"), F.lit(""))
     computed = years_from_entries(F.col("experience"), now)
     names = lambda c, f: F.transform(c, lambda e: e[f])

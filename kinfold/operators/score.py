@@ -28,10 +28,11 @@ def priority(source: Column) -> Column:
     return out
 
 
-def corroboration(provenance: DataFrame, key: str) -> DataFrame:
-    """(key, field, best, n) of long-form lineage: best source by priority, number of distinct sources."""
-    distinct = provenance.select(key, "field", "source").distinct()
-    return distinct.groupBy(key, "field").agg(F.max_by("source", F.struct(priority(F.col("source")), "source")).alias("best"), F.count("*").alias("n"))
+def corroboration(provenance: Column, field: str) -> Column:
+    """best and n of a field of a lineage array: its source of highest priority and its number of distinct sources."""
+    sources = F.array_distinct(F.transform(F.filter(provenance, lambda p: p["field"] == field), lambda p: p["source"]))
+    best = F.array_max(F.transform(sources, lambda s: F.struct(priority(s).alias("p"), s.alias("s"))))["s"]
+    return F.struct(best.alias("best"), F.size(sources).alias("n"))
 
 
 def score_profiles(profiles: DataFrame) -> DataFrame:
@@ -42,9 +43,8 @@ def score_profiles(profiles: DataFrame) -> DataFrame:
     filled["location"] = F.coalesce((loc["city"] != "") | (loc["region"] != "") | (loc["country"] != ""), F.lit(False))
 
     def one(field: str) -> Column:
-        sources = F.array_distinct(F.transform(F.filter("provenance", lambda p: p["field"] == field), lambda p: p["source"]))
-        best = F.array_max(F.transform(sources, lambda s: F.struct(priority(s).alias("p"), s.alias("s"))))["s"]
-        some = F.when(F.size(sources) > 0, field_confidence(best, F.size(sources))).otherwise(F.lit("0.5").cast("decimal(5,4)"))
+        by = corroboration(F.col("provenance"), field)
+        some = F.when(by["n"] > 0, field_confidence(by["best"], by["n"])).otherwise(F.lit("0.5").cast("decimal(5,4)"))
         return F.when(filled[field], some).otherwise(F.lit(0).cast("decimal(5,4)"))
 
     scored = profiles.withColumn("field_confidence", F.struct(*[one(f).alias(f) for f in V.FIELD_WEIGHTS]))

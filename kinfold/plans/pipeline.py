@@ -12,6 +12,7 @@ from kinfold.operators.merge import merge_clusters
 from kinfold.operators.resolve import assign_clusters
 from kinfold.operators.score import score_profiles
 from kinfold.plans.project import ProjectionConfig, documents, project, validation_errors
+from kinfold.plans.schema import schema_errors
 from kinfold.session import materialise
 from kinfold.sources.records import load
 
@@ -19,17 +20,24 @@ from kinfold.sources.records import load
 def profiles(records: DataFrame, as_of: datetime | None = None) -> DataFrame:
     """One scored profile per person. `as_of`: the date at which open engagements end (default: now)."""
     at = as_of or datetime.now(timezone.utc)
-    return score_profiles(merge_clusters(assign_clusters(records), F.lit(at.year * 12 + at.month)))
+    clustered = materialise(assign_clusters(records))  # read by two aggregations
+    return score_profiles(merge_clusters(clustered, F.lit(at.year * 12 + at.month)))
 
 
-def run(spark: SparkSession, sources: dict[str, str | list[str]], config: ProjectionConfig | None = None, as_of: datetime | None = None) -> DataFrame:
-    """Projected profiles with position (their order), _sources, _overall_confidence and _validation_errors (null if valid or custom)."""
+def run(spark: SparkSession, sources: dict[str, str | list[str]], config: ProjectionConfig | None = None, as_of: datetime | None = None, schema: dict | None = None) -> DataFrame:
+    """Projected profiles with position (their order), _sources, _overall_confidence and _validation_errors (null if valid).
+
+    Default documents are validated by the profile schema, chosen fields only by a `schema` (JSON Schema, draft 7) of the caller.
+    """
     config = config or ProjectionConfig()
     found = profiles(materialise(load(spark, sources)), as_of)
     own = found.withColumns({"_sources": F.array_sort(F.array_distinct(F.transform("provenance", lambda p: p["source"]))), "_overall_confidence": F.col("overall_confidence")})
     keep = ["position", "_sources", "_overall_confidence"]
     out = project(own, config, *keep)
-    errors = validation_errors(out) if not config.fields else F.lit(None).cast("array<string>")
+    if schema is not None:
+        errors = schema_errors(F.to_json(F.struct(*[F.col(f"`{c}`") for c in out.columns if c not in keep]), {"ignoreNullFields": "false"}), schema)
+    else:
+        errors = validation_errors(out) if not config.fields else F.lit(None).cast("array<string>")
     return out.withColumn("_validation_errors", F.when(F.size(errors) > 0, errors))
 
 

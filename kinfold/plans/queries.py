@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from kinfold.operators import resolve as R
 from kinfold.operators import score as S
 from kinfold.plans import project as P
 from kinfold.plans.person_view import PERSON, person, records
-from kinfold.session import materialise, table
+from kinfold.session import materialise, table, tables_dir
 from kinfold.sources import records as SRC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,18 +61,24 @@ def norm_email(spark, sf_dir):
     return person(spark, sf_dir).select("rec_idx", N.email(F.col("email_raw")).alias("email"))
 
 
-@query(f"{WITH} SELECT rec_idx, {PHONE} AS phone FROM person WHERE source = 'recruiter_csv'")
+#: Phone numbers in many shapes and what they are, by customer.
+RAW_PHONES = ["(555) 123-4567", "+44 20 7946 0958", "+999 123 456 789", "1-555-123-4567", "011 49 30 901820", "555.123.4567 ext. 12", "+1 555 123 456", "+91 98765 43210", "12", "+33 1 42 68 53 00", "garbage", ""]
+PHONES = ["+15551234567", "+442079460958", "", "+15551234567", "+4930901820", "+15551234567", "", "+919876543210", "", "+33142685300", "", ""]
+
+
+@query(f"{WITH} SELECT rec_idx, {PHONE} AS phone, {PHONES}[rec_idx % {len(PHONES)} + 1] AS other FROM person WHERE source = 'recruiter_csv'")
 def norm_phone(spark, sf_dir):
-    return person(spark, sf_dir).where("source = 'recruiter_csv'").select("rec_idx", N.phone(F.col("phone_raw")).alias("phone"))
+    shapes = F.get(F.array(*map(F.lit, RAW_PHONES)), (F.col("rec_idx") % len(RAW_PHONES)).cast("int"))
+    return person(spark, sf_dir).where("source = 'recruiter_csv'").select("rec_idx", N.phone(F.col("phone_raw")).alias("phone"), N.phone(shapes).alias("other"))
 
 
-RAW_COUNTRIES = ["usa", " U.K. ", "United Arab Emirates", "de", "FRA", "Brazil", "Neverland", "england", "JPN", "Kenya", "X", ""]
-COUNTRY_CODES = ["US", "GB", "AE", "DE", "FR", "BR", "", "GB", "JP", "KE", "", ""]
+RAW_COUNTRIES = ["usa", " U.K. ", "United Arab Emirates", "de", "FRA", "Brazil", "Neverland", "england", "JPN", "Kenya", "X", "", "Czech Republic", "Republic of Korea", "Federal Republic of Germany", "Kingdom of Spain", "Viet Nam"]
+COUNTRY_CODES = ["US", "GB", "AE", "DE", "FR", "BR", "", "GB", "JP", "KE", "", "", "CZ", "KR", "DE", "ES", "VN"]
 
 
-@query(f"SELECT n_nationkey, {RAW_COUNTRIES}[n_nationkey % 12 + 1] AS raw, {COUNTRY_CODES}[n_nationkey % 12 + 1] AS country FROM nation")
+@query(f"SELECT n_nationkey, {RAW_COUNTRIES}[n_nationkey % 17 + 1] AS raw, {COUNTRY_CODES}[n_nationkey % 17 + 1] AS country FROM nation")
 def norm_country(spark, sf_dir):
-    raw = F.get(F.array(*map(F.lit, RAW_COUNTRIES)), F.col("n_nationkey") % 12)
+    raw = F.get(F.array(*map(F.lit, RAW_COUNTRIES)), F.col("n_nationkey") % 17)
     return table(spark, sf_dir, "nation").select("n_nationkey", raw.alias("raw"), N.country(raw).alias("country"))
 
 
@@ -154,19 +161,30 @@ def first_name_line(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.first_name_line(F.coalesce("text", F.lit(""))).alias("name"))
 
 
+#: A start as written in a résumé and as read; these and other parts vary by customer.
+STARTS = {"Jan 2019": "2019-01", "February 2019": "2019-02", "03/2019": "2019-03", "April 2019": "2019-04", "Sept 2019": "2019-09", "2019": "2019"}
+
+
+def _by_customer(values) -> str:
+    return f"CASE c_custkey % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+_PAIR, _START, _READ, _DEGREE = (_by_customer(list(x)) for x in ([" | ", " at ", " @ "], STARTS, STARTS.values(), ["BS", "MS", "PhD"]))
 #: Shared input: one résumé and one note per customer.
-RESUME = "concat(upper(c_name), chr(10), 'cust', c_custkey, '@example.com', chr(10), 'Springfield, IL', chr(10), 'Experience', chr(10), 'Engineer at Acme ', c_custkey % 7, ' | Jan 2019 - 03/2021', chr(10), '- built things', chr(10), 'Lead | Beta ', c_custkey % 5, ' 2015 - 2018', chr(10), 'Education', chr(10), 'State University - BS in Physics', chr(10), '2010 - 2014', chr(10), 'Skills', chr(10), '• JS, golang; k8s', chr(10), 'Data Analysis')"
-NOTE = "concat('Candidate: Ann Lee', chr(10), 'Works at Acme ', c_custkey % 7, '. Knows JS and golang. ', c_custkey % 20, ' years of experience. Based in Paris, FR. Title: Senior Clerk', chr(10), 'Email: a', c_custkey, '@x.org Phone: 555-123-4567')"
+RESUME = f"""concat(upper(c_name), chr(10), 'cust', c_custkey, '@example.com', chr(10), 'Springfield, IL', chr(10), 'Experience', chr(10), 'Engineer', {_PAIR}, 'Acme ', c_custkey % 7, ' | ', {_START}, ' - 03/2021', chr(10), '- built things', chr(10),
+CASE WHEN c_custkey % 2 = 0 THEN concat('Lead | Beta ', c_custkey % 5, ' 2015 - 2018', chr(10)) ELSE '' END, 'Education', chr(10), 'State University - ', {_DEGREE}, ' in Physics', chr(10), '2010 - 2014', chr(10), 'Skills', chr(10), '• JS, golang', CASE WHEN c_custkey % 2 = 0 THEN '; k8s' ELSE '' END, chr(10), 'Data Analysis')"""
+NOTE = "concat('Candidate: Ann Lee', chr(10), 'Works at Acme ', c_custkey % 7, '. Knows JS', CASE WHEN c_custkey % 2 = 0 THEN ' and golang' ELSE '' END, '. ', c_custkey % 20, ' years of experience. Based in ', CASE WHEN c_custkey % 3 = 0 THEN 'Lyon' ELSE 'Paris' END, ', FR. Title: Senior Clerk', chr(10), 'Email: a', c_custkey, '@x.org Phone: 555-123-4567')"
 
 
-@query("""SELECT c_custkey, 'Engineer' AS title_1, concat('Acme ', c_custkey % 7) AS company_1, '2019-01' AS start_1, '2021-03' AS end_1, 'built things' AS summary_1, 'Lead' AS title_2, concat('Beta ', c_custkey % 5) AS company_2, '2015' AS start_2, CAST(2 AS BIGINT) AS n FROM customer""")
+@query(f"""SELECT c_custkey, 'Engineer' AS title_1, concat('Acme ', c_custkey % 7) AS company_1, {_READ} AS start_1, '2021-03' AS end_1, 'built things' AS summary_1, CASE WHEN c_custkey % 2 = 0 THEN 'Lead' END AS title_2,
+CASE WHEN c_custkey % 2 = 0 THEN concat('Beta ', c_custkey % 5) END AS company_2, CASE WHEN c_custkey % 2 = 0 THEN '2015' END AS start_2, CAST(2 - c_custkey % 2 AS BIGINT) AS n FROM customer""")
 def resume_experience(spark, sf_dir):
     jobs = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{RESUME} AS t").select("c_custkey", X.experience_list(X.section(X.sections(F.col("t")), SRC.V.IS_EXPERIENCE)).alias("j"))
     at = lambda i, f: F.get("j", i)[f].alias(f"{f}_{i + 1}")
     return jobs.select("c_custkey", at(0, "title"), at(0, "company"), at(0, "start"), at(0, "end"), at(0, "summary"), at(1, "title"), at(1, "company"), at(1, "start"), F.size("j").cast("long").alias("n"))
 
 
-@query("SELECT c_custkey, 'State University' AS institution, 'BS' AS degree, 'Physics' AS field, '2010' AS end_year, 'JS, golang|k8s|Data Analysis' AS skills, 'Springfield' AS city, 'IL' AS region FROM customer")
+@query(f"SELECT c_custkey, 'State University' AS institution, {_DEGREE} AS degree, 'Physics' AS field, '2010' AS end_year, CASE WHEN c_custkey % 2 = 0 THEN 'JS, golang|k8s|Data Analysis' ELSE 'JS|golang|Data Analysis' END AS skills, 'Springfield' AS city, 'IL' AS region FROM customer")
 def resume_parts(spark, sf_dir):
     parts = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{RESUME} AS t").withColumn("s", X.sections(F.col("t")))
     one = F.get(X.education_list(X.section(F.col("s"), SRC.V.IS_EDUCATION)), 0)
@@ -174,26 +192,25 @@ def resume_parts(spark, sf_dir):
     return parts.select("c_custkey", *[one[f].alias(f) for f in ("institution", "degree", "field", "end_year")], F.array_join(X.skill_list(X.section(F.col("s"), SRC.V.IS_SKILLS)), "|").alias("skills"), place["city"].alias("city"), place["region"].alias("region"))
 
 
-@query("SELECT c_custkey, 'Ann Lee' AS name, concat('Acme ', c_custkey % 7) AS company, 'JS|golang' AS skills, CAST(c_custkey % 20 AS DOUBLE) AS years, 'Paris' AS city, 'FR' AS region, 'Senior Clerk' AS title, concat('a', c_custkey, '@x.org') AS email, '555-123-4567' AS phone FROM customer")
+@query("SELECT c_custkey, 'Ann Lee' AS name, concat('Acme ', c_custkey % 7) AS company, CASE WHEN c_custkey % 2 = 0 THEN 'JS|golang' ELSE 'JS' END AS skills, CAST(c_custkey % 20 AS DOUBLE) AS years, CASE WHEN c_custkey % 3 = 0 THEN 'Lyon' ELSE 'Paris' END AS city, 'FR' AS region, 'Senior Clerk' AS title, concat('a', c_custkey, '@x.org') AS email, '555-123-4567' AS phone FROM customer")
 def note_fields(spark, sf_dir):
     t = F.col("t")
     rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{NOTE} AS t")
     return rows.select("c_custkey", X.note_name(t).alias("name"), F.get(X.note_companies(t), 0).alias("company"), F.array_join(X.note_skills(t), "|").alias("skills"), X.note_years(t).alias("years"), X.note_place(t)["city"].alias("city"), X.note_place(t)["region"].alias("region"), X.note_title(t).alias("title"), F.get(X.emails(t), 0).alias("email"), F.get(X.phones(t), 0).alias("phone"))
 
 
-@query("SELECT source, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS place, lang, n FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2)")
+@query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, role) AS place, role AS lang FROM (SELECT conv_id, role, count(*) AS n FROM conversations WHERE role <> '' GROUP BY 1, 2)")
 def lang_rank(spark, sf_dir):
-    from pyspark.sql import Window
+    """A conversation's roles as the languages of repositories."""
+    repos = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(F.lit("r").alias("name"), F.col("role").alias("language"))).alias("repos"))
+    ranked = repos.select("conv_id", F.posexplode(SRC.languages(F.col("repos"))).alias("i", "lang"))
+    return ranked.select("conv_id", (F.col("i") + 1).cast("long").alias("place"), "lang")
 
-    counts = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
-    return counts.select("source", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "lang")).cast("long").alias("place"), "lang", "n")
 
-
-@query("SELECT doc_id, i AS line_no, x AS line FROM (SELECT doc_id, i, x, row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY i) AS k FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))) WHERE k = 1")
+@query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place, x AS line FROM (SELECT doc_id, i, x, row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY i) AS k FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))) WHERE k = 1")
 def ordered_dedup(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    first = lines.groupBy("doc_id", F.lower("line").alias("k")).agg(F.min("i").alias("i"), F.min_by("line", "i").alias("line"))
-    return first.select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), "line")
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.distinct_by(F.split("text", "\n", -1), F.lower)).alias("i", "line"))
+    return lines.select("doc_id", (F.col("i") + 1).cast("long").alias("place"), "line")
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.k') AS k, CASE event_id % 3 WHEN 0 THEN 'a|b' WHEN 1 THEN json_extract_string(props, '$.k') ELSE 'x;y|z' END AS items FROM events""")
@@ -206,9 +223,23 @@ def string_or_list(spark, sf_dir):
 # --- records and resolution ------------------------------------------------------------------
 
 
-@query(f"{WITH} SELECT source, priority, count(*) AS n, min(rec_idx) AS first, max(rec_idx) AS last FROM person GROUP BY 1, 2")
+@query("""SELECT 'recruiter_csv' AS source, 6 AS priority, concat('Cust ', c_custkey) AS full_name, concat('c', c_custkey, '@x.org') AS emails, CASE WHEN c_custkey % 3 = 0 THEN 'js|go' ELSE '' END AS skills, '' AS company, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey % 20 AS DOUBLE) END AS years FROM customer
+UNION ALL SELECT 'ats_json', 5, n_name, concat('n', n_nationkey, '@x.org'), 'a|b c', 'Acme', CAST(n_nationkey AS DOUBLE) FROM nation
+UNION ALL SELECT 'recruiter_notes', 1, concat('Ann ', chr(65 + r_regionkey), 'lee'), concat('r', r_regionkey, '@x.org'), 'JS|golang', concat('Acme ', r_regionkey), CAST(r_regionkey + 2 AS DOUBLE) FROM region""")
 def union_sources(spark, sf_dir):
-    return person(spark, sf_dir).groupBy("source", "priority").agg(F.count("*").alias("n"), F.min("rec_idx").alias("first"), F.max("rec_idx").alias("last"))
+    """Test tables written as source files of three kinds (the spreadsheet as a folder of files) and loaded together."""
+    folder = f"{tables_dir(spark)}/sources-{uuid.uuid4().hex}"
+    sheet = table(spark, sf_dir, "customer").selectExpr(
+        "concat('Cust ', c_custkey) AS `Candidate Name`", "concat('c', c_custkey, '@x.org') AS `E-Mail`", "CASE WHEN c_custkey % 3 = 0 THEN 'js|go' ELSE '' END AS Skills", "CASE WHEN c_custkey % 2 = 0 THEN concat(c_custkey % 20, '+') ELSE '' END AS YOE"
+    )
+    sheet.repartition(3).write.option("header", "true").option("emptyValue", "").csv(f"{folder}/csv")
+    people = table(spark, sf_dir, "nation").selectExpr("named_struct('candidate_name', n_name, 'Email_Address', concat('n', n_nationkey, '@x.org'), 'skills', array('a', ' b c '), 'current_company', 'Acme', 'yoe', n_nationkey) AS x")
+    people.agg(F.to_json(F.collect_list("x"))).coalesce(1).write.text(f"{folder}/json")  # 25 nations
+    note = "concat('Candidate: Ann ', chr(65 + r_regionkey), 'lee\\nWorks at Acme ', r_regionkey, '. Knows JS and golang. ', r_regionkey + 2, ' years of experience.\\nEmail: r', r_regionkey, '@x.org')"
+    notes = table(spark, sf_dir, "region").selectExpr(f"{note} AS t")
+    notes.agg(F.array_join(F.collect_list("t"), "\n---\n")).coalesce(1).write.text(f"{folder}/notes")
+    found = SRC.load(spark, {"recruiter_csv": f"{folder}/csv", "ats_json": f"{folder}/json", "recruiter_notes": [f"{folder}/notes"]})
+    return found.select("source", "priority", "full_name", F.array_join("emails", "|").alias("emails"), F.array_join("skills", "|").alias("skills"), F.col("current_company").alias("company"), F.col("years_experience").alias("years"))
 
 
 @query(f"{WITH} SELECT rec_idx FROM person WHERE full_name <> '' OR email_raw <> '' OR phone_raw <> ''")
@@ -307,12 +338,12 @@ SELECT grp AS cluster_id, string_agg(v, '|' ORDER BY v) AS merged, string_agg(s,
 
 @query(_union("email", "email_raw"))
 def email_union(spark, sf_dir):
-    return M.union_values(records(spark, sf_dir), "emails", N.email).select("cluster_id", F.array_join("values", "|").alias("merged"), F.array_join("origins.source", "|").alias("origins"))
+    return M.collected(records(spark, sf_dir), "emails").select("cluster_id", F.array_join("emails.values", "|").alias("merged"), F.array_join("emails.origins.source", "|").alias("origins"))
 
 
 @query(_union("phone", "phone_raw"))
 def phone_union(spark, sf_dir):
-    return M.union_values(records(spark, sf_dir), "phones", N.phone).select("cluster_id", F.array_join("values", "|").alias("merged"), F.array_join("origins.source", "|").alias("origins"))
+    return M.collected(records(spark, sf_dir), "phones").select("cluster_id", F.array_join("phones.values", "|").alias("merged"), F.array_join("phones.origins.source", "|").alias("origins"))
 
 
 CONF = "round(least(1.0, CAST({0} AS DECIMAL(5,4)) * (1 + 0.1 * ({1} - 1))), 4)"
@@ -321,7 +352,7 @@ CONF = "round(least(1.0, CAST({0} AS DECIMAL(5,4)) * (1 + 0.1 * ({1} - 1))), 4)"
 @query(f"""{WITH_ALL}, k AS (SELECT grp, skill, count(DISTINCT source) AS m, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, max({BASE}) AS b FROM n WHERE skill_raw <> '' GROUP BY ALL)
 SELECT grp AS cluster_id, skill, sources, CAST({CONF.format('b', 'm')} AS DOUBLE) AS confidence FROM k""")
 def skill_union(spark, sf_dir):
-    each = M.skills(records(spark, sf_dir)).select("cluster_id", F.inline("skills"))
+    each = M.collected(records(spark, sf_dir), "skills").select("cluster_id", F.inline("skills"))
     return each.select("cluster_id", F.col("name").alias("skill"), F.array_join("sources", ",").alias("sources"), F.col("confidence").cast("double").alias("confidence"))
 
 
@@ -330,13 +361,13 @@ JOBS = "x AS (SELECT grp, md5(lower(trim(company)) || '|' || lower(trim(title))
 
 @query(f"{WITH_ALL}, {JOBS} SELECT grp AS cluster_id, row_number() OVER (PARTITION BY grp ORDER BY s DESC, key) - 1 AS place, company, coalesce(title, '') AS title, s AS start, coalesce(e, '') AS end FROM x")
 def experience_dedup(spark, sf_dir):
-    each = M.experience(records(spark, sf_dir)).select("cluster_id", F.posexplode("entries").alias("place", "e"))
+    each = M.collected(records(spark, sf_dir), "experience").select("cluster_id", F.posexplode("experience").alias("place", "e"))
     return each.select("cluster_id", F.col("place").cast("long").alias("place"), "e.company", "e.title", "e.start", "e.end")
 
 
 @query(f"{WITH_ALL}, x AS (SELECT DISTINCT grp, school, degree, end_year, md5(lower(school) || '|' || lower(degree) || '|' || end_year) AS key FROM n WHERE school <> '') SELECT grp AS cluster_id, row_number() OVER (PARTITION BY grp ORDER BY end_year DESC, key) - 1 AS place, school AS institution, degree, end_year FROM x")
 def education_dedup(spark, sf_dir):
-    each = M.education(records(spark, sf_dir)).select("cluster_id", F.posexplode("entries").alias("place", "e"))
+    each = M.collected(records(spark, sf_dir), "education").select("cluster_id", F.posexplode("education").alias("place", "e"))
     return each.select("cluster_id", F.col("place").cast("long").alias("place"), "e.institution", "e.degree", "e.end_year")
 
 
@@ -349,21 +380,24 @@ ISLANDS = """SELECT l_suppkey, CAST(sum(hi - lo) AS BIGINT) AS total FROM (
 @query(ISLANDS)
 def interval_union(spark, sf_dir):
     day = F.year("l_shipdate") * 365 + F.dayofyear("l_shipdate")
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", day.alias("s"), (day + F.col("l_quantity").cast("int") % 4 - 1).alias("e"))
-    return M.interval_union(rows, "l_suppkey", "s", "e").select("l_suppkey", F.col("total").cast("long").alias("total"))
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", day.alias("a"), (day + F.col("l_quantity").cast("int") % 4 - 1).alias("b"))
+    longest = rows.groupBy("l_suppkey", "a").agg(F.max("b").alias("b"))  # at most a range for each day
+    return longest.groupBy("l_suppkey").agg(M.covered(F.collect_list(F.struct("a", "b"))).alias("total")).where("total IS NOT NULL")
 
 
 def _profiles(spark, sf_dir):
-    return S.score_profiles(M.merge_clusters(records(spark, sf_dir), F.lit(AS_OF)))
+    """Scored profiles of the recipe's clusters. The records are a table of their own, as in the library's pipeline: two aggregations read it."""
+    return S.score_profiles(M.merge_clusters(materialise(records(spark, sf_dir)), F.lit(AS_OF)))
 
 
 _MONTHS = "CAST(left({0}, 4) AS INTEGER) * 12 + CAST(right({0}, 2) AS INTEGER)"
-YEARS = f"""{WITH_ALL}, {JOBS}, g AS (SELECT grp, {_MONTHS.format('s')} AS a, CASE WHEN e IS NULL OR e = 'present' THEN {AS_OF} ELSE {_MONTHS.format('e')} END AS b FROM x),
+YEARS_TABLE = f"""{WITH_ALL}, {JOBS}, g AS (SELECT grp, {_MONTHS.format('s')} AS a, CASE WHEN e IS NULL OR e = 'present' THEN {AS_OF} ELSE {_MONTHS.format('e')} END AS b FROM x),
 w AS (SELECT *, max(b) OVER (PARTITION BY grp ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g WHERE b >= a),
 i AS (SELECT *, sum(CASE WHEN a <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY grp ORDER BY a, b) AS k FROM w),
 t AS (SELECT grp, round_even(sum(hi - lo) / 12.0, 1) AS y FROM (SELECT grp, k, min(a) AS lo, max(b) AS hi FROM i GROUP BY ALL) GROUP BY grp),
-given AS (SELECT grp, arg_min(years, ord) FILTER (WHERE years >= 0) AS y FROM n GROUP BY grp)
-SELECT given.grp AS cluster_id, CAST(coalesce(given.y, t.y) AS DOUBLE) AS years FROM given LEFT JOIN t USING (grp)"""
+given AS (SELECT grp, arg_min(years, ord) FILTER (WHERE years >= 0) AS y, arg_min(source, ord) FILTER (WHERE years >= 0) AS given_source FROM n GROUP BY grp),
+years AS (SELECT given.grp, given_source, coalesce(given.y, t.y) AS y FROM given LEFT JOIN t USING (grp))"""
+YEARS = f"{YEARS_TABLE} SELECT grp AS cluster_id, CAST(y AS DOUBLE) AS years FROM years"
 
 
 @query(YEARS)
@@ -406,21 +440,25 @@ def candidate_id(spark, sf_dir):
     return _profiles(spark, sf_dir).select("cluster_id", "candidate_id")
 
 
-@query(f"""{PROFILE}, l AS (
+@query(f"""{YEARS_TABLE.replace(WITH_ALL, PROFILE, 1)}, l AS (
   SELECT cluster_id, 'full_name' AS field, name_source AS source, full_name AS value FROM p WHERE full_name <> '' UNION ALL SELECT cluster_id, 'headline', headline_source, headline FROM p WHERE headline <> ''
   UNION ALL SELECT grp, 'emails', arg_min(source, ord), email FROM n WHERE email <> '' GROUP BY grp, email UNION ALL SELECT grp, 'phones', arg_min(source, ord), phone FROM n WHERE phone <> '' GROUP BY grp, phone
   UNION ALL SELECT cluster_id, 'links', linkedin_source, linkedin FROM p WHERE linkedin <> '' UNION ALL SELECT cluster_id, 'links', portfolio_source, portfolio FROM p WHERE portfolio <> ''
+  UNION ALL SELECT cluster_id, 'location', location_source, '{{''city'': ''' || trim(city) || ''', ''region'': '''', ''country'': ''' || country || '''}}' FROM p WHERE location_source IS NOT NULL
+  UNION ALL SELECT x.grp, 'experience', any_value(top), '[' || string_agg('''' || company || '''', ', ' ORDER BY s DESC, key) || ']' FROM x JOIN p ON p.cluster_id = x.grp GROUP BY x.grp
+  UNION ALL SELECT q.grp, 'education', any_value(top), '[' || string_agg('''' || school || '''', ', ' ORDER BY end_year DESC, key) || ']' FROM (SELECT DISTINCT grp, school, end_year, md5(lower(school) || '|' || lower(degree) || '|' || end_year) AS key FROM n WHERE school <> '') q JOIN p ON p.cluster_id = q.grp GROUP BY q.grp
+  UNION ALL SELECT grp, 'years_experience', coalesce(given_source, 'ats_json'), CAST(CAST(y AS DOUBLE) AS VARCHAR) FROM years WHERE y IS NOT NULL
   UNION ALL SELECT cluster_id, 'skills', top, '[' || array_to_string(list_transform(skills, lambda s: '''' || s || ''''), ', ') || ']' FROM p WHERE len(skills) > 0
 ) SELECT * FROM l""")
 def provenance_long(spark, sf_dir):
     each = _profiles(spark, sf_dir).select("cluster_id", F.inline("provenance"))
-    return each.where("field IN ('full_name', 'headline', 'emails', 'phones', 'links', 'skills')").select("cluster_id", "field", "source", F.col("normalized_value").alias("value"))
+    return each.select("cluster_id", "field", "source", F.col("normalized_value").alias("value"))
 
 
 @query(f"{PROFILE}, o AS (SELECT grp, count(DISTINCT s) AS n, arg_max(s, CASE s WHEN 'recruiter_csv' THEN 6 WHEN 'ats_json' THEN 5 WHEN 'linkedin' THEN 3 ELSE 2 END) AS best FROM (SELECT grp, email, arg_min(source, ord) AS s FROM n WHERE email <> '' GROUP BY ALL) GROUP BY grp) SELECT grp AS cluster_id, best, n FROM o")
 def corroboration(spark, sf_dir):
-    long = _profiles(spark, sf_dir).select("cluster_id", F.inline("provenance")).where("field = 'emails'")
-    return S.corroboration(long, "cluster_id").select("cluster_id", "best", "n")
+    by = _profiles(spark, sf_dir).select("cluster_id", S.corroboration(F.col("provenance"), "emails").alias("x"))
+    return by.where("x.n > 0").select("cluster_id", "x.best", F.col("x.n").cast("long").alias("n"))
 
 
 @query(f"""{PROFILE}, y AS (SELECT grp, arg_min(source, ord) FILTER (WHERE years >= 0) AS s FROM n GROUP BY grp), l AS (
@@ -458,6 +496,15 @@ def default_projection(spark, sf_dir):
     return out.select("cluster_id", "full_name", F.array_join("emails", "|").alias("emails"), F.array_join("phones", "|").alias("phones"), "location.city", "location.country", "links.linkedin", "links.github", "links.portfolio", "headline", F.size("skills").cast("long").alias("n_skills"))
 
 
+@query(f"""{FIELDS}, m AS (SELECT grp, count(DISTINCT email) FILTER (WHERE email <> '') + count(DISTINCT phone) FILTER (WHERE phone <> '') AS k FROM n GROUP BY grp)
+SELECT cluster_id, nullif(full_name, '') AS full_name, round(CAST(0.20 * c_name + 0.15 * least(1, c_emails) + 0.10 * c_phones + 0.10 * c_location + 0.15 * c_skills + 0.15 * c_experience + 0.10 * c_education + 0.05 * c_headline AS DOUBLE), 4) AS overall, k AS n_contacts FROM f JOIN m ON m.grp = cluster_id""")
+def project_toggles(spark, sf_dir):
+    """Chosen fields with confidence and lineage switched on."""
+    out = _projected(spark, sf_dir, fields=["full_name"], include_confidence=True, include_provenance=True)
+    contacts = F.filter("provenance", lambda p: p["field"].isin("emails", "phones"))
+    return out.select("cluster_id", "full_name", F.col("overall_confidence").cast("double").alias("overall"), F.size(contacts).cast("long").alias("n_contacts"))
+
+
 @query(f"{PROFILE} SELECT cluster_id, '{{' || array_to_string(list_filter(['\"name\":\"' || nullif(full_name, '') || '\"', '\"tel\":\"' || phones[1] || '\"'], lambda x: x IS NOT NULL), ',') || '}}' AS document FROM p")
 def project_omit(spark, sf_dir):
     config = P.ProjectionConfig.from_dict({"fields": [{"path": "name", "from": "full_name"}, {"path": "tel", "from": "phones[0]"}], "on_missing": "omit", "include_confidence": False, "include_provenance": False})
@@ -473,10 +520,19 @@ def validate_profiles(spark, sf_dir):
     return broken.select("cluster_id", P.validation_errors(broken).alias("e")).select("cluster_id", F.array_join("e", "; ").alias("errors"), F.size("e").cast("long").alias("n"))
 
 
-@query()
+#: PROFILE, FIELDS and YEARS over the clusters that resolution finds, not over the recipe's own groups.
+RESOLVED = f"{CLUSTERS}, m AS (SELECT n.* REPLACE (clusters.cluster_id AS grp) FROM n JOIN clusters USING (rec_idx))" + (FIELDS.removeprefix(WITH_ALL) + YEARS_TABLE.removeprefix(WITH_ALL)).replace("FROM n ", "FROM m ")
+
+
+@query(f"""{RESOLVED} SELECT f.cluster_id, left(sha256(array_to_string(list_append(emails, lower(full_name)), '|')), 16) AS candidate_id, full_name, array_to_string(emails, '|') AS emails, array_to_string(phones, '|') AS phones,
+  CAST(y AS DOUBLE) AS years_experience, len(skills) AS n_skills, coalesce(n_jobs, 0) AS n_experience,
+  CASE WHEN full_name <> '' THEN 1 ELSE 0 END + len(emails) + len(phones) + CASE WHEN location_source IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN linkedin IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN portfolio IS NOT NULL THEN 1 ELSE 0 END
+    + CASE WHEN headline <> '' THEN 1 ELSE 0 END + CASE WHEN n_jobs > 0 THEN 1 ELSE 0 END + CASE WHEN studies > 0 THEN 1 ELSE 0 END + CASE WHEN len(skills) > 0 THEN 1 ELSE 0 END + CASE WHEN y IS NOT NULL THEN 1 ELSE 0 END AS n_provenance,
+  round(CAST(0.20 * c_name + 0.15 * least(1, c_emails) + 0.10 * c_phones + 0.10 * c_location + 0.15 * c_skills + 0.15 * c_experience + 0.10 * c_education + 0.05 * c_headline AS DOUBLE), 4) AS overall_confidence
+FROM f LEFT JOIN (SELECT grp, count(*) AS n_jobs FROM x GROUP BY grp) j ON j.grp = f.cluster_id LEFT JOIN years ON years.grp = f.cluster_id""")
 def full_pipeline(spark, sf_dir):
     """Resolve, merge, score and project the person records; the flagship."""
     clustered = materialise(R.assign_clusters(records(spark, sf_dir).drop("cluster_id")))
     scored = S.score_profiles(M.merge_clusters(clustered, F.lit(AS_OF)))
     out = P.project(scored, P.ProjectionConfig(), "cluster_id")
-    return out.select("cluster_id", "candidate_id", "full_name", F.array_join("emails", "|").alias("emails"), F.array_join("phones", "|").alias("phones"), "years_experience", F.size("skills").alias("n_skills"), F.size("experience").alias("n_experience"), F.size("provenance").alias("n_provenance"), F.col("overall_confidence").cast("double").alias("overall_confidence"))
+    return out.select("cluster_id", "candidate_id", "full_name", F.array_join("emails", "|").alias("emails"), F.array_join("phones", "|").alias("phones"), "years_experience", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("skills", "experience", "provenance")], F.col("overall_confidence").cast("double").alias("overall_confidence"))

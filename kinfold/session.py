@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import re
 import shutil
@@ -40,6 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+_own: set[str] = set()
+
+
+def tables_dir(spark: SparkSession) -> str:
+    """This application's folder for tables. What `release` has left of it goes when the driver's Python ends."""
+    folder = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+    if folder not in _own:
+        _own.add(folder)
+        atexit.register(_remove, spark._jvm, spark._jsc.hadoopConfiguration(), folder)
+    return folder
+
+
+def _remove(jvm, conf, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone by then
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per application, so that no node needs it installed."""
     sc = spark.sparkContext
@@ -67,7 +87,7 @@ def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:

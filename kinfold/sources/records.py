@@ -6,6 +6,8 @@ Files are read by Spark's readers only, so any store that Spark reaches will do.
 from __future__ import annotations
 
 import csv
+import logging
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from io import BytesIO, StringIO
@@ -19,6 +21,8 @@ from kinfold.functions import extract as X
 from kinfold.functions import normal as N
 from kinfold.functions import values as V
 
+log = logging.getLogger(__name__)
+
 PLACE = "struct<city:string,region:string,country:string>"
 LINKS = "struct<linkedin:string,github:string,portfolio:string,other:array<string>>"
 FIELDS = {
@@ -49,12 +53,37 @@ def identified(df: DataFrame, phones: bool = True) -> DataFrame:
     return df.where(ok | (F.size("phones") > 0) if phones else ok)
 
 
+def files_of(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files that paths, folders and globs name, in order, as the file system writes them. A path that names nothing raises."""
+    out = []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = list(fs.globStatus(path) or [])
+        if not found:
+            raise FileNotFoundError(p)
+        for status in found:
+            inner = [x for x in fs.listStatus(status.getPath()) if x.isFile()] if status.isDirectory() else [status]
+            out += sorted(n for x in inner if (n := x.getPath().toString()) and (status.isFile() or x.getPath().getName()[0] not in "._"))
+    return out
+
+
+def _head(spark: SparkSession, file: str, n: int) -> bytes:
+    """The first n bytes of a file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
 def whole_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(source_file, body): each file's text, UTF-8 or else Latin-1, without a byte order mark."""
     raw = spark.read.format("binaryFile").load(paths)
     utf8 = F.try_validate_utf8(F.col("content").cast("string"))
     body = F.coalesce(utf8, F.decode("content", "ISO-8859-1"))
-    return raw.select(F.col("path").alias("source_file"), F.regexp_replace(F.regexp_replace(body, "^﻿", ""), "\r\n?", "\n").alias("body"))
+    return raw.select(F.col("path").alias("source_file"), F.regexp_replace(F.regexp_replace(body, "^\ufeff", ""), "\r\n?", "\n").alias("body"))
 
 
 def _one(x: Column) -> Column:
@@ -79,27 +108,45 @@ def header_columns(header: list[str]) -> dict[str, str]:
     return {f: plain[a] for f, aliases in V.CSV_HEADERS.items() for a in [next((a for a in aliases if a in plain), None)] if a}
 
 
+#: Characters of a file that its delimiter is told from. Fixed value.
+SAMPLE = 8192
+
+
+def _latin(spark: SparkSession, files: list[str]) -> set[str]:
+    """The files that are no UTF-8 throughout, by one scan of their lines."""
+    lines = spark.read.text(files).where(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias("f")).distinct()
+    return {r.f for r in lines.select(F.url_decode(F.regexp_replace("f", "[+]", "%2B")).alias("f")).collect()}
+
+
 def read_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Recruiter spreadsheets: any of four delimiters, headers by alias, rows without identity left out."""
-    out = None
-    for k, path in enumerate(paths):
-        sample = whole_files(spark, [path]).select(F.substring("body", 1, 8192)).first()  # what the delimiter is told from
-        if sample is None or not sample[0].strip():
-            continue
-        head = sample[0]
-        sep = delimiter(head)
-        header = next(csv.reader(StringIO(head), delimiter=sep))
-        rows = spark.read.csv(path, sep=sep, header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", schema=", ".join(f"c{i} string" for i in range(len(header))))
-        rows = rows.withColumn("line", F.monotonically_increasing_id()).where("line > 0").withColumns({"source_file": F.lit(path), "path": F.lit(k)})
-        named = {f: F.col(f"c{header.index(c)}") for f, c in header_columns(header).items()}
+    """Recruiter spreadsheets: any of four delimiters, headers by alias, UTF-8 or else Latin-1, rows without identity left out.
+
+    Files of one delimiter, header and encoding are one scan; each file's first row is its header.
+    """
+    files = files_of(spark, paths)
+    latin = {_plain(f) for f in _latin(spark, files)} if files else set()
+    alike: dict[tuple, list[str]] = {}
+    for f in files:
+        encoding = "ISO-8859-1" if _plain(f) in latin else "UTF-8"
+        raw = _head(spark, f, 4 * SAMPLE)
+        head = raw.decode(encoding, "ignore").removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")[:SAMPLE]
+        if head.strip():
+            sep = delimiter(head)
+            alike.setdefault((encoding, sep, tuple(next(csv.reader(StringIO(head), delimiter=sep)))), []).append(f)
+    out = nothing(spark)
+    for (encoding, sep, header), group in alike.items():
+        schema = ", ".join(f"c{i} string" for i in range(len(header)))
+        rows = spark.read.csv(group, sep=sep, header=True, enforceSchema=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", encoding=encoding, schema=schema)
+        rows = rows.withColumns({"line": F.monotonically_increasing_id(), "source_file": F.url_decode(F.regexp_replace("_metadata.file_path", "[+]", "%2B"))})
+        named = {f: F.col(f"c{header.index(c)}") for f, c in header_columns(list(header)).items()}
         get = lambda f: N.strip(named.get(f, F.lit("")))  # noqa: E731, B023
         links = F.when((get("linkedin") != "") | (get("github") != ""), F.struct(get("linkedin").alias("linkedin"), get("github").alias("github"), F.lit("").alias("portfolio"), F.array().cast("array<string>").alias("other")))
         part = as_records(
-            rows, "recruiter_csv", ["path", "line"], full_name=get("full_name"), emails=_one(get("email")), phones=_one(get("phone")), location=N.place(get("location")), links=links,
+            _placed(rows, files), "recruiter_csv", ["path", "line"], full_name=get("full_name"), emails=_one(get("email")), phones=_one(get("phone")), location=N.place(get("location")), links=links,
             headline=get("title"), years_experience=N.number(get("years_experience"), plus=True), current_company=get("current_company"), skills=N.listed(get("skills"), ("|", ";", ",")),
         )
-        out = part if out is None else out.unionByName(part)
-    return identified(out) if out is not None else nothing(spark)
+        out = out.unionByName(part)
+    return identified(out)
 
 
 def nothing(spark: SparkSession) -> DataFrame:
@@ -199,12 +246,16 @@ def read_ats(spark: SparkSession, paths: list[str]) -> DataFrame:
     return identified(out)
 
 
+def _plain(file: str) -> str:
+    """A file's name without the ways of writing its scheme."""
+    return re.sub(r"^(\w+):/+", r"\1:/", file)
+
+
 def _placed(rows: DataFrame, paths: list[str]) -> DataFrame:
-    """With column `path`: the place of the file in the list given."""
-    ends = [p.rstrip("/").rsplit("/", 1)[-1] for p in paths]
-    name = F.url_decode(F.substring_index("source_file", "/", -1))
-    place = F.array_position(F.array(*[F.lit(e) for e in ends]), name)
-    return rows.withColumn("path", place)
+    """With column `path`: the place of the row's source_file among the files that `paths` name."""
+    files = [_plain(f) for f in files_of(rows.sparkSession, paths)]
+    name = F.regexp_replace("source_file", r"^(\w+):/+", "$1:/")
+    return rows.withColumn("path", F.array_position(F.array(*[F.lit(f) for f in files]), name))
 
 
 def read_linkedin(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -248,6 +299,11 @@ def languages(repos: Column) -> Column:
     return F.transform(F.array_sort(counted), lambda c: c["x"])
 
 
+def repository_names(repos: Column) -> Column:
+    """Names of repositories that have one, in order."""
+    return F.filter(F.transform(repos, lambda r: F.coalesce(r["name"], F.lit(""))), lambda x: x != "")
+
+
 def read_github(spark: SparkSession, paths: list[str]) -> DataFrame:
     """User profiles with their repositories: cached files with one object each (invalid ones give no record), or user names, read from the live API."""
     files = [p for p in paths if "/" in p or "\\" in p or p.startswith(".") or p.lower().endswith(".json")]
@@ -255,7 +311,7 @@ def read_github(spark: SparkSession, paths: list[str]) -> DataFrame:
     out = nothing(spark)
     if files:
         rows = whole_files(spark, files).where(F.try_parse_json(F.col("body")).isNotNull() & N.strip(F.col("body")).startswith("{"))
-        rows = _placed(rows, paths).withColumn("m", F.from_json("body", MAP))
+        rows = _placed(rows, files).withColumn("m", F.from_json("body", MAP))
         out = out.unionByName(_github_records(rows, F.try_element_at("m", F.lit("repos"))))
     if logins:
         from kinfold.sources.profile_api import read_profiles
@@ -293,23 +349,39 @@ def resume_records(rows: DataFrame, source: str, paths: list[str]) -> DataFrame:
 
 
 def docx_text(content: bytes) -> str | None:
-    """Paragraphs of a DOCX file that are not blank, one per line; None if it is none."""
+    """The body's own paragraphs (not those of tables) of a DOCX file that are not blank, one per line, tabs and line breaks kept; None if it is none."""
     space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    marks = {f"{space}tab": "\t", f"{space}ptab": "\t", f"{space}cr": "\n", f"{space}noBreakHyphen": "-"}
     try:
         with zipfile.ZipFile(BytesIO(content)) as z:
-            root = ElementTree.fromstring(z.read("word/document.xml"))
+            body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{space}body")
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
         return None
-    texts = ("".join(t.text or "" for t in p.iter(f"{space}t")).strip() for p in root.iter(f"{space}p"))
+
+    def piece(x: ElementTree.Element) -> str:
+        if x.tag == f"{space}t":
+            return x.text or ""
+        if x.tag == f"{space}br":  # breaks of pages and columns are no text
+            return "\n" if x.get(f"{space}type", "textWrapping") == "textWrapping" else ""
+        return marks.get(x.tag, "")
+
+    def runs(p: ElementTree.Element) -> Iterator[ElementTree.Element]:
+        for x in p:
+            if x.tag == f"{space}r":
+                yield x
+            elif x.tag == f"{space}hyperlink":
+                yield from x.iter(f"{space}r")
+
+    texts = ("".join(piece(x) for r in runs(p) for x in r).strip() for p in (body if body is not None else ()) if p.tag == f"{space}p")
     return "\n".join(t for t in texts if t)
 
 
 def pdf_text(content: bytes) -> str | None:
-    """Text of a PDF's pages, if a PDF library is installed; None if there is none or the file is broken."""
+    """Text of a PDF's pages; None if the file is broken. Without a PDF library it raises: a record must not be lost unseen."""
     try:
         import pdfplumber
-    except ImportError:
-        return None
+    except ImportError as e:
+        raise RuntimeError("reading PDF files needs the library pdfplumber on every worker") from e
     try:
         with pdfplumber.open(BytesIO(content)) as pdf:
             return "\n".join(p.extract_text() or "" for p in pdf.pages)
@@ -358,7 +430,7 @@ READERS: dict[str, Callable[[SparkSession, list[str]], DataFrame]] = {
 
 
 def load(spark: SparkSession, sources: dict[str, str | list[str]]) -> DataFrame:
-    """All records of all sources. Unknown names are skipped.
+    """All records of all sources. Unknown names are skipped with a warning.
 
     rec_idx identifies a record; (source, at) orders them: by source name, place of the file, place in the file.
     """
@@ -367,4 +439,6 @@ def load(spark: SparkSession, sources: dict[str, str | list[str]]) -> DataFrame:
         kind = name.strip().lower()
         if kind in READERS and isinstance(paths, (str, list, tuple)) and paths:
             out = out.unionByName(READERS[kind](spark, [paths] if isinstance(paths, str) else list(paths)))
+        elif kind not in READERS:
+            log.warning("unknown source %r is skipped; known: %s", name, ", ".join(READERS))
     return out.withColumn("rec_idx", F.xxhash64("source", "at", "source_file"))

@@ -4,7 +4,7 @@ import pytest
 from people import frame, job, links, row
 from pyspark.sql import functions as F
 
-from kinfold.operators.merge import candidate_id, interval_union, merge_clusters, years_from_entries
+from kinfold.operators.merge import candidate_id, covered, merge_clusters, years_from_entries
 from kinfold.operators.score import field_confidence, score_profiles
 
 NOW = 2026 * 12 + 1
@@ -55,10 +55,17 @@ def test_years_of_intervals(spark, entries, want):
     assert df.select(years_from_entries(F.col("e"), F.lit(NOW))).first()[0] == want
 
 
-def test_interval_union(spark):
-    rows = [(1, 1, 5), (1, 4, 8), (1, 8, 9), (1, 20, 21), (1, 30, 29), (1, 40, None), (2, 3, 3)]
-    got = {r.k: r.total for r in interval_union(spark.createDataFrame(rows, "k int, s int, e int"), "k", "s", "e").collect()}
-    assert got == {1: 9, 2: 0}
+def test_covered(spark):
+    rows = [(1, [(1, 5), (4, 8), (8, 9), (20, 21), (30, 29), (40, None)]), (2, [(3, 3)]), (3, []), (4, [(9, 1)]), (5, [(1, 10), (2, 3), (12, 13)])]
+    df = spark.createDataFrame(rows, "k int, r array<struct<a:int,b:int>>")
+    assert {r.k: r.n for r in df.select("k", covered(F.col("r")).alias("n")).collect()} == {1: 9, 2: 0, 3: None, 4: None, 5: 10}
+
+
+def test_two_scans_and_few_exchanges(spark, tmp_path):
+    df = frame(spark, [row(1), row(2)]).withColumn("cluster_id", F.lit(1))
+    df.write.parquet(str(tmp_path / "r"))
+    plan = merge_clusters(spark.read.parquet(str(tmp_path / "r")), F.lit(NOW))._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Scan parquet") == 2 and plan.count("Exchange hashpartitioning") <= 4
 
 
 def test_confidence(spark):

@@ -30,6 +30,29 @@ def test_csv(spark, tmp_path):
         S.read_csv(spark, [str(tmp_path / "none.csv")]).collect()
 
 
+def test_csv_encodings_and_folders(spark, tmp_path):
+    latin = tmp_path / "l.csv"
+    latin.write_bytes("name;email\nJosé Núñez;j@x.org\n".encode("latin-1") + b"Zo\xeb;\n")
+    assert [r.full_name for r in rows(S.read_csv(spark, [str(latin)]))] == ["José Núñez", "Zoë"]
+    folder = tmp_path / "many +x"
+    folder.mkdir()
+    for name, text in (("b.csv", "name,email\nBo,\n"), ("a.csv", "name,email\nAl,\nÆ,\n"), ("c.csv", "Full Name|Phone\nCy|1\n"), ("_x.csv", "name\nno\n")):
+        (folder / name).write_text(text)
+    for paths in ([str(folder)], [str(folder / "*.csv").replace("*", "[abc]")]):
+        got = rows(S.read_csv(spark, paths))
+        assert [r.full_name for r in got] == ["Al", "Æ", "Bo", "Cy"]  # no header among them
+    (tmp_path / "b.csv").write_text("name\nOther\n")
+    both = rows(S.read_csv(spark, [str(tmp_path / "b.csv"), str(folder / "b.csv")]))
+    assert [(r.full_name, r["at"][0]) for r in both] == [("Other", 1), ("Bo", 2)]  # files of one name keep their order
+    long = put(tmp_path, "long.csv", "name,email\n" + "".join(f"P{i},p{i}@x.org\n" for i in range(5000)))
+    assert S.read_csv(spark, [long]).count() == 5000
+
+
+def test_unknown_sources_warn(spark, caplog):
+    assert S.load(spark, {"nonsense": ["x"]}).count() == 0
+    assert "nonsense" in caplog.text
+
+
 @pytest.mark.parametrize("sample,want", [("a,b\n1,2\n", ","), ("a;b\n1;2\n", ";"), ("a\tb\n1\t2\n", "\t"), ("a|b\n1|2\n", "|"), ("abc", ",")])
 def test_delimiter(sample, want):
     assert S.delimiter(sample) == want
@@ -91,6 +114,33 @@ def test_resumes(spark, tmp_path):
     assert S.READERS["resume_docx"](spark, [str(tmp_path / "broken.docx")]).collect() == []
 
 
+def test_docx_text(tmp_path):
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    run = "<w:r><w:t>Engineer</w:t><w:tab/><w:t>Acme</w:t><w:br/><w:t>Jan 2020</w:t><w:br w:type='page'/></w:r>"
+    body = f"<w:p>{run}<w:hyperlink><w:r><w:t> a@x.org</w:t></w:r></w:hyperlink></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p><w:r><w:t>end</w:t></w:r></w:p>"
+    with zipfile.ZipFile(tmp_path / "t.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body>{body}</w:body></w:document>')
+    assert S.docx_text((tmp_path / "t.docx").read_bytes()) == "Engineer\tAcme\nJan 2020 a@x.org\nend"
+
+
+def test_pdf_needs_its_library(spark, tmp_path):
+    try:
+        import pdfplumber  # noqa: F401
+    except ImportError:
+        (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4")
+        with pytest.raises(Exception, match="pdfplumber"):
+            S.READERS["resume_pdf"](spark, [str(tmp_path / "a.pdf")]).collect()
+
+
+def test_run_with_a_callers_schema(spark, tmp_path):
+    from kinfold.plans.project import ProjectionConfig
+
+    notes = put(tmp_path, "n.txt", NOTES)
+    config = ProjectionConfig.from_dict({"fields": [{"path": "who", "from": "full_name"}, {"path": "mail", "from": "emails[0]"}], "include_confidence": False, "include_provenance": False})
+    got = run(spark, {"recruiter_notes": notes}, config, schema={"properties": {"mail": {"type": "string"}}})
+    assert {r.who: r._validation_errors for r in got.collect()} == {"Ann Lee": None, "Bob Ray": ["Type error at 'mail': expected string, got NoneType"]}
+
+
 def test_run_and_command_line(spark, tmp_path, capsys):
     notes, sheet = put(tmp_path, "n.txt", NOTES), put(tmp_path, "a.csv", "name,email\nAnn LEE,A@x.org\n")
     doc = public(to_document(run(spark, {" Recruiter_CSV ": sheet, "recruiter_notes": [notes], "unknown": "x"})))
@@ -98,8 +148,12 @@ def test_run_and_command_line(spark, tmp_path, capsys):
     assert main(["--csv", sheet, "--notes", notes, "--output", str(tmp_path / "out.json")]) == 0
     written = json.loads((tmp_path / "out.json").read_text())
     assert [c["candidate_id"] for c in written["candidates"]] == [c["candidate_id"] for c in doc["candidates"]]
+    capsys.readouterr()
+    assert main(["--csv", sheet, "--verbose"]) == 0 and "recruiter_csv: 1 record(s)" in capsys.readouterr().err
     assert main([]) == 1 and main(["--csv", str(tmp_path / "none.csv")]) == 1
-    assert capsys.readouterr().err
+    assert "none.csv" in capsys.readouterr().err
+    with pytest.raises(SystemExit):
+        main(["--version"])
 
 
 def test_canonical_layout(spark, tmp_path):
