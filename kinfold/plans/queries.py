@@ -162,7 +162,7 @@ def first_name_line(spark, sf_dir):
 
 
 #: A start as written in a résumé and as read; these and other parts vary by customer.
-STARTS = {"Jan 2019": "2019-01", "February 2019": "2019-02", "03/2019": "2019-03", "April 2019": "2019-04", "Sept 2019": "2019-09", "2019": "2019"}
+STARTS = {"Jan 2019": "2019-01", "February 2019": "2019-02", "03/2019": "2019-03", "April 2019": "2019-04", "Sep 2019": "2019-09", "2019": "2019"}
 
 
 def _by_customer(values) -> str:
