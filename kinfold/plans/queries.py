@@ -15,6 +15,7 @@ from kinfold.operators import resolve as R
 from kinfold.operators import score as S
 from kinfold.plans import project as P
 from kinfold.plans.person_view import PERSON, person, records
+from kinfold.plans.schema import validate_documents
 from kinfold.session import materialise, table, tables_dir
 from kinfold.sources import records as SRC
 
@@ -520,6 +521,23 @@ def validate_profiles(spark, sf_dir):
     return broken.select("cluster_id", P.validation_errors(broken).alias("e")).select("cluster_id", F.array_join("e", "; ").alias("errors"), F.size("e").cast("long").alias("n"))
 
 
+#: A caller's schema for chosen fields; some profiles break it.
+CALLERS_SCHEMA = {"type": "object", "required": ["who", "mail"], "properties": {"who": {"type": "string"}, "tel": {"type": "string", "pattern": "^[+]15550000[01]"}, "mail": {"type": "string", "format": "email", "maxLength": 20}}, "additionalProperties": False}
+
+
+@query(f"""{PROFILE}, v AS (SELECT cluster_id, list_filter([CASE WHEN full_name = '' THEN 'Missing required field at ''$'': ''who'' is a required property' END, CASE WHEN len(emails) = 0 THEN 'Missing required field at ''$'': ''mail'' is a required property' END,
+  CASE WHEN headline <> '' THEN 'Validation error at ''$'': Additional properties are not allowed (''more'' was unexpected)' END, CASE WHEN length(emails[1]) > 20 THEN 'Validation error at ''mail'': ''' || emails[1] || ''' is too long' END,
+  CASE WHEN NOT regexp_matches(phones[1], '^[+]15550000[01]') THEN 'Validation error at ''tel'': ''' || phones[1] || ''' does not match ''^[+]15550000[01]''' END], lambda x: x IS NOT NULL) AS e FROM p)
+SELECT cluster_id, array_to_string(list_sort(e), '; ') AS errors, len(e) AS n FROM v""")
+def validate_schema(spark, sf_dir):
+    """JSON documents of chosen fields against a caller's JSON Schema."""
+    fields = [{"path": "who", "from": "full_name"}, {"path": "mail", "from": "emails[0]"}, {"path": "tel", "from": "phones[0]"}, {"path": "more", "from": "headline"}]
+    config = P.ProjectionConfig.from_dict({"fields": fields, "on_missing": "omit", "include_confidence": False, "include_provenance": False})
+    checked = validate_documents(P.documents(P.project(_profiles(spark, sf_dir), config, "cluster_id"), config, "cluster_id"), CALLERS_SCHEMA)
+    errors = F.array_sort(F.coalesce("_validation_errors", F.array().cast("array<string>")))
+    return checked.select("cluster_id", F.array_join(errors, "; ").alias("errors"), F.size(errors).cast("long").alias("n"))
+
+
 #: PROFILE, FIELDS and YEARS over the clusters that resolution finds, not over the recipe's own groups.
 RESOLVED = f"{CLUSTERS}, m AS (SELECT n.* REPLACE (clusters.cluster_id AS grp) FROM n JOIN clusters USING (rec_idx))" + (FIELDS.removeprefix(WITH_ALL) + YEARS_TABLE.removeprefix(WITH_ALL)).replace("FROM n ", "FROM m ")
 
