@@ -5,15 +5,17 @@
    have a hash in common within their prefixes, so no pair is missed. The order puts shingles that are
    frequent in a sample last; the sample decides speed only.
 2. Equal texts become one class. Prefix hashes of one class only go at once.
-3. Candidates are classes that share a prefix hash and whose fingerprints are within `radius(similarity)` bits: a bit of two such sets
+3. Candidates are classes that share a prefix hash early enough in both prefixes (from the first hash that two sets share on, the
+   rest of either must still hold as many as the similarity asks for), of sizes that allow it, and whose fingerprints are within `radius(similarity)` bits: a bit of two such sets
    differs with probability acos(2s / (1 + s)) / pi, and the radius is six standard deviations above that mean. At
    0.8 that is 26 of 64 bits: eleven of twelve unrelated pairs go. No pivot discards anything at such a radius.
 4. In each of ROUNDS rounds each class is compared with the two ends of its groups in an order of that round,
    the ones of them that it shares most hashes with; what is linked is contracted, so a large group of near copies
-   never meets all its pairs.
+   never meets all its pairs. In the first round one end is the class with the fewest rarer hashes: in a group of edited copies the least edited.
 5. Then all pairs of classes of different components that share a hash are made in bounded groups (`simhash.in_groups`), where
-   fingerprints, sizes and components discard pairs before anything is emitted. Pairs whose number of common hashes rules
-   the similarity out go; the others are verified.
+   places, sizes, components and fingerprints discard pairs. Classes that have any left meet once more with a histogram of
+   their hashes over BUCKETS buckets: two sets differ in at least as many hashes as their histograms do, so what this discards is
+   beyond the similarity for certain. Only then are pairs emitted, and verified.
 6. Components by large-star/small-star.
 
 Verification compares the shingles' words, not hashes. Words are A-Z-lowered runs between white space; a text of
@@ -34,11 +36,12 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.simhash import CHUNK, in_groups, shingle_hashes, simhashes, within
 from kinfold.operators.components import connected_components
-from kinfold.session import materialise, release
+from kinfold.session import materialise, release, ship
 
 #: Rows sampled for frequent shingles (or SHARE of all, if that is more), and how many of these are kept.
 SAMPLE, SHARE, FREQUENT = 5000, 0.02, 1 << 18
-ROUNDS = 3
+ROUNDS = 2
+BUCKETS = 128
 #: Pairs that one copy of a text is compared with; a text asked for more often is dealt out in copies.
 ASKED = 64
 
@@ -75,19 +78,20 @@ def frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.nda
 
 
 def prefixes(docs: DataFrame, id: str, text: str, width: int, ratio: Fraction) -> DataFrame:
-    """(d, t, n, fp, p): id, text key, size of the set, its fingerprint and its prefix."""
+    """(d, t, n, fp, b, p): id, text key, size of the set, its fingerprint, histogram and prefix."""
     seen = docs.sparkSession.sparkContext.broadcast(frequent(docs, text, width))
     p, q = ratio.numerator, ratio.denominator
-    names = ["d", "t", "n", "fp", "p"]
+    names = ["d", "t", "n", "fp", "b", "p"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = seen.value
         for b in batches:
-            sizes, heads, prints = [], [], []
+            sizes, heads, prints, counts_ = [], [], [], []
             for t in pc.cast(b.column(2), pa.binary()):
                 h = _sets(t.as_py() or b"", width)
                 n = len(h)
                 prints.append(simhashes(h, np.array([n])))
+                counts_.append(_histogram(h))
                 if n and len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.lexsort((h, np.where(common[at] == h, counts[at], 0)))]
@@ -96,11 +100,11 @@ def prefixes(docs: DataFrame, id: str, text: str, width: int, ratio: Fraction) -
             ends = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
             flat = np.concatenate(heads) if heads else np.zeros(0, np.int64)
             fps = np.concatenate(prints).view(np.int64) if prints else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(fps), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(fps), pa.array(counts_, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=names)
 
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("d"), text_key(text).alias("t"), F.col(text).cast("string").alias("x"))
-    return rows.mapInArrow(run, f"d {kind}, t binary, n int, fp long, p array<long>")
+    return rows.mapInArrow(run, f"d {kind}, t binary, n int, fp long, b binary, p array<long>")
 
 
 def _shingles(raw: bytes, width: int) -> set[bytes]:
@@ -139,49 +143,73 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, w
 
 
 def _apart(x: str, y: str, most_bits: int, ratio: Fraction) -> Column:
-    """Whether what two structs (n, fp, g) of classes tell leaves a link of different components possible."""
+    """Whether what two structs (n, i, fp, g) of classes with a hash in common tell leaves a link of different components possible."""
     p, q = ratio.numerator, ratio.denominator
-    small, large = F.least(f"{x}.n", f"{y}.n").cast("long"), F.greatest(f"{x}.n", f"{y}.n").cast("long")
-    return (F.col(f"{x}.g") != F.col(f"{y}.g")) & (small * q >= large * p) & (F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp"))) <= most_bits)
+    left = F.least(F.col(f"{x}.n") - F.col(f"{x}.i"), F.col(f"{y}.n") - F.col(f"{y}.i")).cast("long")
+    enough = left * (p + q) >= (F.col(f"{x}.n") + F.col(f"{y}.n")).cast("long") * p
+    return (F.col(f"{x}.g") != F.col(f"{y}.g")) & enough & (F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp"))) <= most_bits)
 
 
-def _candidates(placed: DataFrame, most_bits: int, ratio: Fraction, chunk: int) -> DataFrame:
-    """(a, b) of all pairs of different components that may have the similarity; placed: h, c, n, fp, g."""
-    p, q = ratio.numerator, ratio.denominator
-    mixed = placed.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n_")).where("lo < hi").select("h", "n_")
+def _histogram(h: np.ndarray) -> bytes:
+    """How many hashes fall into each bucket, at most 255."""
+    return np.minimum(np.bincount((h.view(np.uint64) >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
 
-    def work(group, side, c, n, fp, g) -> Iterator[pa.RecordBatch]:
-        for i, j in within(fp.view(np.uint64), group, side, most_bits):
-            keep = (g[i] != g[j]) & (np.minimum(n[i], n[j]).astype(np.int64) * q >= np.maximum(n[i], n[j]).astype(np.int64) * p)
-            i, j = i[keep], j[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(c[i], c[j])), pa.array(np.maximum(c[i], c[j])), pa.array((n[i] + n[j]).astype(np.int64)), pa.array(np.maximum(n[i], n[j]).astype(np.int64))], names=["a", "b", "s", "large"]
-            )
+def _candidates(placed: DataFrame, histograms: DataFrame, most_bits: int, ratio: Fraction, chunk: int) -> DataFrame:
+    """(a, b) of all pairs of different components that may have the similarity; placed: h, c, n, i, fp, g; histograms: c, b."""
+    p, q = ratio.numerator, ratio.denominator
 
-    met = in_groups(placed.join(mixed, "h"), ["h"], ["c", "n", "fp", "g"], work, "a long, b long, s long, large long", chunk)
-    counted = met.groupBy("a", "b", "s", "large").count()
-    # common shingles: those of the prefixes, and at most all that a prefix leaves out
-    most = F.col("count") + F.floor((F.col("large") * p + (q - 1)) / q) - 1
-    return counted.where(most * (p + q) >= F.col("s") * p).select("a", "b")
+    def pairs(group, side, c, n, i, fp, g) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left = (n - i).astype(np.int64) * (p + q)
+        for x, y in within(fp.view(np.uint64), group, side, most_bits):
+            keep = (g[x] != g[y]) & (np.minimum(left[x], left[y]) >= (n[x].astype(np.int64) + n[y]) * p)
+            yield x[keep], y[keep]
+
+    def concerned(group, side, c, *rest) -> Iterator[pa.RecordBatch]:
+        for x, y in pairs(group, side, c, *rest):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([c[x], c[y]])))], names=["c"])
+
+    def work(group, side, c, n, i, fp, g, b) -> Iterator[pa.RecordBatch]:
+        counts = np.frombuffer(b"".join(b), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+        for xs, ys in pairs(group, side, c, n, i, fp, g):
+            for at in range(0, len(xs), 1 << 16):
+                x, y = xs[at : at + (1 << 16)], ys[at : at + (1 << 16)]
+                apart = np.abs(counts[x] - counts[y]).sum(axis=1, dtype=np.int64)
+                both = n[x].astype(np.int64) + n[y]
+                keep = (both - apart) * (p + q) >= 2 * p * both  # common hashes are at most (both - apart) / 2
+                found = np.unique(np.sort(np.stack([c[x[keep]], c[y[keep]]]), axis=0), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    def met(rows: DataFrame, more: list[str], job, schema: str) -> DataFrame:
+        mixed = rows.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n_")).where("lo < hi").select("h", "n_")
+        return in_groups(rows.join(mixed, "h"), ["h"], ["c", "n", "i", "fp", "g", *more], job, schema, chunk).distinct()
+
+    some = materialise(met(placed, [], concerned, "c long"))
+    rows = materialise(placed.join(some, "c", "left_semi").join(histograms, "c"))
+    out = materialise(met(rows, ["b"], work, "a long, b long"))
+    release(some, rows)
+    return out
 
 
 def near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, chunk: int = CHUNK) -> DataFrame:
     """id, text_key, fingerprint, component_id and root for each row: the smallest id of its group of near copies, and a number for the group."""
+    ship(docs.sparkSession)
     ratio = Fraction(str(similarity))
     bits = radius(similarity)
     prints = materialise(prefixes(docs, id, text, width, ratio).withColumn("r", F.monotonically_increasing_id()))
     key = F.when(F.col("n") == 0, F.lit(b"")).otherwise(F.col("t"))
     classes = materialise(prints.groupBy(key.alias("k")).agg(F.min("r").alias("c"), F.min("d").alias("first")))
     own = prints.join(classes.select("c"), F.col("r") == F.col("c"), "left_semi")
-    single = own.select(F.col("r").alias("c"), "n", "fp", F.explode("p").alias("h"))
+    single = own.select(F.col("r").alias("c"), "n", "fp", F.posexplode("p").alias("i", "h"))
     shared = single.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
     member = materialise(single.join(shared.hint("shuffle_hash"), "h"))
 
     links, known = None, None
     for turn in range(ROUNDS):
         placed = member.withColumn("g", F.col("c")) if known is None else member.join(known, "c", "left").withColumn("g", F.coalesce("component", "c")).drop("component")
-        placed = placed.select("h", "c", F.struct("c", "n", "fp", "g").alias("x"))
-        by = F.struct(F.xxhash64(F.lit(turn), "x.g", "c"), "x")  # another order in each round
+        placed = placed.select("h", "c", F.struct("c", "n", "i", "fp", "g").alias("x"))
+        # first by the number of rarer hashes, so that the text most like all others is at one end; then at random
+        by = F.struct(F.col("x.i") if turn == 0 else F.lit(0), F.xxhash64(F.lit(turn), "x.g", "c"), "x")
         ends = placed.groupBy("h").agg(F.min(by).getField("x").alias("lo"), F.max(by).getField("x").alias("hi")).where("lo.c <> hi.c")
         star = placed.join(ends, "h").select("c", "x", F.explode(F.array(F.struct(F.lit(True).alias("low"), F.col("lo").alias("o")), F.struct(F.lit(False).alias("low"), F.col("hi").alias("o")))).alias("e"))
         star = star.select("c", "x", F.col("e.low").alias("low"), F.col("e.o").alias("o")).where(_apart("x", "o", bits, ratio))
@@ -196,7 +224,7 @@ def near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", widt
         release(*(x for x in (before, was) if x is not None))
 
     placed = member.withColumn("g", F.col("c")) if known is None else member.join(known, "c", "left").withColumn("g", F.coalesce("component", "c")).drop("component")
-    pairs = materialise(_candidates(placed, bits, ratio, chunk))
+    pairs = _candidates(placed, own.select(F.col("r").alias("c"), "b"), bits, ratio, chunk)
     last = verified(pairs, classes, docs, text, width, ratio)
     ends = materialise(connected_components(links.unionByName(last)).select(F.col("node").alias("c"), "component"))
     rooted = classes.join(ends, "c", "left").select("k", "first", F.coalesce("component", "c").alias("root"))
