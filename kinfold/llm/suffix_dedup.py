@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from kinfold.llm import anchors
-from kinfold.session import materialise, release
+from kinfold.session import materialise, release, ship
 
 LEAD = 16
 
@@ -257,6 +257,7 @@ def remove_repeats(
     """
     if not LEAD <= gram <= width:
         raise ValueError(f"gram must lie between {LEAD} and width")
+    ship(docs.sparkSession)
     kind = docs.schema[id].dataType.simpleString()
     keyed = anchors.keyed(docs, id, text)
     runs = materialise(anchors.candidates(anchors.occurrences(keyed, width, gram, anchors.byte_symbols)))
@@ -265,7 +266,8 @@ def remove_repeats(
         classes = runs.groupBy("a", "c").agg(F.sum(anchors.times()).alias("k"), first).select("a", "c", "k", *[F.col(f"x.{x}").alias(x) for x in ("d", "g", "p", "n", "off")])
     else:  # any may; these aggregates all take the first row
         classes = runs.groupBy("a", "c").agg(F.sum(anchors.times()).alias("k"), *[F.first(x).alias(x) for x in ("d", "g", "p", "n", "off")])
-    hottest = runs.groupBy("a").agg(F.count("*").alias("n_")).where(F.col("n_") > hot).select("a", F.lit(True).alias("hot"))
+    # a table of its own, hardly ever of any rows: the join on the anchor then shuffles nothing
+    hottest = materialise(runs.groupBy("a").agg(F.count("*").alias("n_")).where(F.col("n_") > hot).select("a", F.lit(True).alias("hot")))
     chosen = classes.join(hottest, "a", "left").select("d", "g", "p", "a", "c", "n", "off", "k", F.coalesce("hot", F.lit(False)).alias("hot"))
     suffixes = anchors.with_runs(keyed, chosen, "inner").select("t", "runs", "d", "g").mapInArrow(
         _suffixes(width), f"lead binary, salt long, rest binary, back binary, a long, c long, first int, n int, k long, p int, d {kind}, g int"
@@ -280,7 +282,7 @@ def remove_repeats(
     else:
         found = places.join(repeated.withColumn("own", F.lit(None).cast("binary")), ["a", "c"]).withColumn("keep", F.lit(None).cast("int"))
     spans = materialise(found.select("d", "g", "at", "first", "bits", "own", "keep"))
-    release(runs, repeated)
+    release(runs, repeated, hottest)
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (id, text)] or [F.lit(True).alias("_")])
     texts = anchors.keyed(docs, id, text, others.alias("o"))
     # no DDL: names of other columns may be anything
