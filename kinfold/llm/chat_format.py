@@ -10,7 +10,7 @@ prefix sum of +1 at the start and -1 at the end of each learned segment.
 Results: one row per conversation. Turns go by (turn, role, text), nulls first; equal rows
 each count. A null text or role is the empty string. Rows with a null conversation id form
 one conversation of their own. An empty table gives an empty result. Only the id, turn,
-role and text columns are read.
+role and text columns are read. A text of any length is one segment; a conversation must fit a worker.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.session import ship
+
 
 @dataclass(frozen=True)
 class Template:
@@ -115,6 +117,7 @@ def format_chats(
     id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
 ) -> DataFrame:
     """One row per conversation: id, n_turns, ids, loss_mask, formatted."""
+    ship(turns.sparkSession)
     kind = turns.schema[id].dataType.simpleString()
     whole = (
         turns.select(F.col(id).alias("c"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).alias("x"))

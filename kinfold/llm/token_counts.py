@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.session import ship
+
 #: The byte-level pre-tokenizer's published split pattern, with the white-space property spelt out
 #: (`\s` of the regex module also has U+001C..1F). Fixed value.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -139,6 +141,7 @@ def count_tokens(
 ) -> DataFrame:
     """Return id, n_bytes, n_tokens, over_limit for each row of `docs`. See the module's docstring for odd inputs."""
     spark = docs.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast(frequent_table(docs, tokenizer, text, table_size, sample_share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

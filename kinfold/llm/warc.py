@@ -36,6 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.session import ship
+
 #: Elements whose content is no markup, other elements whose content is no text, and elements that end a line. Fixed values.
 RAW = {"script", "style", "iframe"}
 NO_TEXT = {"noscript", "template", "svg", "object"}
@@ -270,6 +272,7 @@ _SCHEMA = "record_type string, record_id string, refers_to string, target_uri st
 
 def build_derivatives(pages: DataFrame, *, id: str = "page_id", url: str = "url", page: str = "html", date: str | None = None) -> DataFrame:
     """id, record_type, record_id, refers_to, target_uri, source_digest, block_digest, record (binary): two rows per page."""
+    ship(pages.sparkSession)
     kind = pages.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,6 +336,7 @@ def pack(records: DataFrame, per_file: int = 5000, file_bytes: int = 256 << 20)
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(record_type, record_id, refers_to, target_uri, fields, block): the records of WARC files, gzipped or not, one after the other."""
+    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []

@@ -84,3 +84,19 @@ def brute_bytes(rows, width, keep_first=False):
         spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
         out.append((i, len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g)))
     return sorted(out, key=repr)
+
+
+def targets(rows, cap=3):
+    """For op6: (target, size) of each source of (source, size) rows, reshared round by round."""
+    total = {}
+    for s, n in rows:
+        total[s] = total.get(s, 0) + n
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    weight, fixed = {s: i % 3 + 1 for i, s in enumerate(order)}, {}
+    while True:
+        free = [s for s in order if s not in fixed]
+        left = sum(total.values()) - sum(fixed.values())
+        over = [s for s in free if left * weight[s] / sum(weight[x] for x in free) > cap * total[s]]
+        if not over:
+            return {s: fixed.get(s, left * weight[s] / sum(weight[x] for x in free) if free else 0) for s in order}, total
+        fixed |= {s: float(cap * total[s]) for s in over}

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -94,3 +95,57 @@ def test_mixing_makes_the_copies(spark, tables):
     taken = pipeline.take(plan)
     assert taken.columns == plan.columns
     assert sorted(r.doc_id for r in taken.collect()) == sorted(i for i, n in copies.items() for _ in range(n))
+
+
+def test_run_matches_brute_force(spark, tmp_path):
+    """All five stages over a corpus with near copies, passages, leaks and bad labels."""
+    from kinfold.llm.quality_rules import learn
+
+    from .helpers import brute_bytes, targets, words
+    from .test_near_copies import brute_near_dedup, edited
+    from .test_rows import _counts, _shingles
+
+    rng = random.Random(21)
+    item, passage = prose(rng, 30, 3000), prose(rng, 70, 3000)
+    texts = [prose(rng, rng.randrange(60, 200), 3000) for _ in range(60)]
+    texts += [" ".join(w + rng.choice(["##", "$$", ""]) for w in prose(rng, 90, 3000).split()) for _ in range(30)]  # bad ones
+    texts += [edited(rng, texts[i], 1) for i in range(0, 30, 3)] + [texts[5], texts[7]]
+    texts += [prose(rng, 60, 3000) + " " + passage + " " + prose(rng, 20, 3000) for _ in range(5)]
+    texts += [prose(rng, 60, 3000) + " " + item + " " + prose(rng, 60, 3000) for _ in range(3)] + [None, "", "short one", "so it goes " * 40]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    rows = [(i, t, "en", f"s{i % 3}" if i % 7 else None, None) for i, t in zip(order, texts, strict=True)]
+    spark.createDataFrame(rows, SCHEMA).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels = [(order[k], int(not 60 <= k < 90), 0) for k in range(90)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    rules = learn(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert rules
+
+    def good(t):
+        n, chars, symbols, dup, again = _counts(t)
+        if n < 50 or 100 * again > 50 * n:
+            return False
+        lines = [x for x in t.split("\n") if words(x)]
+        x = {"words": n, "word_length": chars / n, "symbol_share": symbols / n, "dup_line_share": dup / len(lines), "repeat_share": again / n, "vocabulary_growth": math.log(len(set(words(t)))) / math.log(n)}
+        return not any(all((x[c.feature] > c.cut) == c.above for c in rule) for rule in rules)
+
+    left = [r for r in rows if good(r[1])]
+    assert len(left) < len(rows) - 30
+    stays = set(brute_near_dedup(left))
+    left = [r for r in left if r[0] in stays]
+    cut = {i: kept.decode() for i, _, _, _, kept in brute_bytes([(r[0], r[1]) for r in left], 200, keep_first=True)}
+    left = [(r[0], cut[r[0]], *r[2:]) for r in left]
+    shingles, _ = _shingles(item)
+    leaks = {r[0] for r in left if len(shingles & {tuple(w[k : k + 5]) for w in [_shingles(r[1])[1]] for k in range(len(w) - 4)}) >= 0.8 * len(shingles)}
+    assert leaks  # where the item repeats it has been cut, but for its first place
+    left = [r for r in left if r[0] not in leaks]
+    want, total = targets([(r[3], len(words(r[1]))) for r in left])
+
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted((r[0], r[1]) for r in left)
+    for r in got:
+        assert r["size"] == len(words(r.text)) and abs(r.target - want[r.source]) < 1e-6 * max(1, r.target) and r.taken == r.copies * r["size"] and 0 <= r.copies <= 3
+    for s, t in want.items():
+        assert abs(sum(r.taken for r in got if r.source == s) - t) <= 0.02 * t + 2

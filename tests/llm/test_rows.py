@@ -1,4 +1,5 @@
 import gzip
+import math
 import random
 import time
 from html.parser import HTMLParser
@@ -9,12 +10,12 @@ from pyspark.sql import functions as F
 from kinfold.llm.chat_format import Formatter, Template, digest, format_chats
 from kinfold.llm.decontaminate import find_leaks
 from kinfold.llm.licenses import TEMPLATES, scan_licenses
-from kinfold.llm.mixing import mix
-from kinfold.llm.quality_rules import COUNTS, base_failed, cover, judge, keep_good, learn
+from kinfold.llm.mixing import make_plan, mix, solve, with_copies
+from kinfold.llm.quality_rules import COUNTS, cover, judge, keep_good, learn
 from kinfold.llm.token_counts import count_tokens
 from kinfold.llm.warc import LINES, NO_TEXT, RAW, build_derivatives, derive_records, pack, parse, plain_text, read, record, scan
 
-from .helpers import corpus, frame, prose, words
+from .helpers import corpus, frame, prose, targets, words
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -45,7 +46,7 @@ def test_token_counts_are_the_librarys(spark, name):
 
 # --- chat ------------------------------------------------------------------------------------
 
-TURNS = [(1, 0, "user", "hi"), (1, 1, "assistant", "</s>[INST] \\[INST] \\\\</s> x\\"), (1, 2, "odd</s>", None), (1, 3, "assistant", ""), (2, None, None, "only"), (2, 5, "assistant", "<s>\\"), (2, 5, "assistant", "<s>\\"), (None, 0, "assistant", "é" * 9)]
+TURNS = [(1, 0, "user", "hi"), (1, 1, "assistant", "</s>[INST] \\[INST] \\\\</s> x\\"), (1, 2, "odd</s>", None), (1, 3, "assistant", ""), (2, None, None, "only"), (2, 5, "assistant", "<s>\\"), (2, 5, "assistant", "<s>\\"), (None, 0, "assistant", "é" * 9), (3, 0, "assistant", "very long </s> " * 20_000)]
 
 
 def test_chat_round_trip(spark):
@@ -53,7 +54,7 @@ def test_chat_round_trip(spark):
     ranks = P.path("byte_bpe_50k.tiktoken")
     f = Formatter(ranks, P.PATTERN, Template())
     rows = {r.conv_id: r for r in format_chats(turns, ranks, P.PATTERN).collect()}
-    for c in (1, 2, None):
+    for c in (1, 2, 3, None):
         mine = sorted((t for t in TURNS if t[0] == c), key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or ""))
         import numpy as np
 
@@ -61,7 +62,7 @@ def test_chat_round_trip(spark):
         assert f.turns_of(ids) == [(r or "", t or "") for _, _, r, t in mine]
         assert "".join(f.learned_of(ids, mask)) == "".join(t or "" for _, _, r, t in mine if r == "assistant")
         assert rows[c].formatted.count("\n</s>") == len(mine)
-    assert digest(format_chats(turns, ranks, P.PATTERN), ranks, P.PATTERN).count() == 3
+    assert digest(format_chats(turns, ranks, P.PATTERN), ranks, P.PATTERN).count() == 4
     assert format_chats(turns.where("false"), ranks, P.PATTERN).collect() == []
 
 
@@ -230,7 +231,12 @@ def test_rules_are_learned_and_hold_out(spark):
     good = keep_good(docs, rules)
     assert good.columns == docs.columns and {r.doc_id for r in good.collect()} == {r.doc_id for r in judge(docs, rules).where("kept").collect()}
     assert learn(docs, known.where("false")) == [] and learn(docs.where("false"), known) == []
-    assert base_failed() is not None
+    for r in judge(docs, rules).collect():  # the list, read by hand on counts made by hand
+        n, chars, symbols, dup, again = _counts(rows[r.doc_id][1])
+        w, lines = words(rows[r.doc_id][1]), [x for x in rows[r.doc_id][1].split("\n") if words(x)]
+        x = {"words": n, "word_length": chars / n, "symbol_share": symbols / n, "dup_line_share": dup / len(lines), "repeat_share": again / n, "vocabulary_growth": math.log(len(set(w))) / math.log(n)}
+        bad = any(all((x[t.feature] > t.cut) == t.above for t in rule) for rule in rules)
+        assert r.base_failed == (n < 50 or 100 * again > 50 * n) and r.kept == (not r.base_failed and not bad)
 
 
 def test_cover_prunes_noise():
@@ -241,41 +247,44 @@ def test_cover_prunes_noise():
 # --- mixing ----------------------------------------------------------------------------------
 
 
-def _targets(rows, cap=3):
-    total = {}
-    for s, n in rows:
-        total[s] = total.get(s, 0) + n
-    order = sorted(total, key=lambda s: (s is None, s or ""))
-    weight, fixed = {s: i % 3 + 1 for i, s in enumerate(order)}, {}
-    while True:
-        free = [s for s in order if s not in fixed]
-        left = sum(total.values()) - sum(fixed.values())
-        over = [s for s in free if left * weight[s] / sum(weight[x] for x in free) > cap * total[s]]
-        if not over:
-            return {s: fixed.get(s, left * weight[s] / sum(weight[x] for x in free) if free else 0) for s in order}, total
-        fixed |= {s: float(cap * total[s]) for s in over}
-
-
 def test_mixing_meets_targets(spark):
     rng = random.Random(9)
     rows = [(i, "w " * rng.randrange(1, 60), "en", rng.choice(["b", "b", "b", "b", "é", None, "a"]), 0) for i in range(3000)] + [(5000 + i, "w " * 4, "en", "tiny", 0) for i in range(5)] + [(6000, None, "en", "zero", None), (6001, "", "en", "a", 0), (1, "w w", "en", "a", 0), (1, "w w", "en", "a", 0), (None, "w", "en", "b", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("clash") for c in ("d", "s", "size", "k", "bin", "rate")})
-    targets, total = _targets([(r[3], len(words(r[1]))) for r in rows])
+    wanted, total = targets([(r[3], len(words(r[1]))) for r in rows])
     got = mix(df).collect()
     assert len(got) == len(rows)
     taken = {}
     for r in got:
-        assert r.source_size == total[r.source] and abs(r.target - targets[r.source]) < 1e-6 * max(1, r.target)
+        assert r.source_size == total[r.source] and abs(r.target - wanted[r.source]) < 1e-6 * max(1, r.target)
         assert 0 <= r.copies <= 3 and r.taken == r.copies * r["size"]
         taken[r.source] = taken.get(r.source, 0) + r.taken
-    for s, t in targets.items():
-        assert abs(taken[s] - t) <= 60, s
+    for s, t in wanted.items():
+        assert abs(taken[s] - t) <= max(2, 0.01 * t) or s == "tiny", (s, taken[s], t)
+        # the entropy-balanced rates: exponentially tilted by size with one multiplier, and meeting the target
+        mine = [r for r in got if r.source == s and r["size"] > 0]
+        tilts = [math.log(r.rate) / r["size"] for r in mine if 0 < r.rate < 3]
+        assert not tilts or max(tilts) - min(tilts) < 1e-9 * max(1, abs(tilts[0]))
+        assert abs(sum(r.rate * r["size"] for r in mine) - t) <= 1e-5 * max(1, t)
     key = lambda rs: sorted([(r.doc_id, r.source, r.taken) for r in rs], key=repr)
     assert key(mix(df.repartition(7)).collect()) == key(got)
+    salted = with_copies(df, make_plan(df, broadcast_bytes=0), broadcast_bytes=0)
+    assert key(salted.select("row.doc_id", "row.source", "taken").collect()) == key(got)
     assert mix(df.where("false")).collect() == []
     assert {r.taken for r in mix(df.where("source = 'zero'")).collect()} == {0}
 
 
+def test_solver_raises_if_it_does_not_settle(spark):
+    histogram = spark.createDataFrame([(1, 10, 5), (1, 20, 5)], "k long, size long, n long")
+    goals = spark.createDataFrame([(1, 15.0, 100.0)], "k long, mean double, target double")
+    assert solve(histogram, goals, 3).count() == 1
+    with pytest.raises(RuntimeError):
+        solve(histogram, goals, 3, rounds=1)
+    huge = spark.createDataFrame([(1, 1, 10), (1, 1_000_000, 1)], "k long, size long, n long")  # a giant among single words
+    (x,) = solve(huge, spark.createDataFrame([(1, 1_000_010 / 11, 5.0)], "k long, mean double, target double"), 3).collect()
+    assert abs(10 * math.exp(x.multiplier * 11 / 1_000_010) - 5) < 1e-3
+
+
 # --- WARC ------------------------------------------------------------------------------------
 
 PAGE = '<html><head><title>T &amp; x</title><style>p{}</style></head><body><p>a <b>b</b>&eacute;</p><script>no()</script><!-- no --><a href="/u?a=1&amp;b=2">l</a><br>end < 3</body></html>'
