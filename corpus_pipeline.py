@@ -53,6 +53,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = near_duplicates(docs, width=5, similarity=0.8).select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "root")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d", "t")).alias("x")).select(F.col("root").alias("r"), "x.d", "x.t")
+    first = materialise(first)  # joined as a plain table, so that a large group's rows can be split
     same = F.col("o.d").eqNullSafe(F.col("f.d")) & (F.col("o.t") == F.col("f.t"))
     each = rows.groupBy("d", "t", "root").count()
     told = materialise(each.alias("o").join(first.alias("f"), F.col("o.root") == F.col("f.r")).select("o.d", "o.t", "count", same.alias("stays")).where("not stays or count > 1"))
