@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import json
 from datetime import datetime, timezone
 
@@ -41,13 +42,21 @@ def run(spark: SparkSession, sources: dict[str, str | list[str]], config: Projec
     return out.withColumn("_validation_errors", F.when(F.size(errors) > 0, errors))
 
 
+#: The document without records, and what it says. Fixed values.
+EMPTY = {
+    "candidate_id": "", "full_name": "", "emails": [], "phones": [], "location": {"city": "", "region": "", "country": ""},
+    "links": {"linkedin": "", "github": "", "portfolio": "", "other": []}, "headline": "", "years_experience": None, "skills": [], "experience": [], "education": [],
+}
+EMPTY_ERRORS = ["No records loaded — empty result."]
+
+
 def empty_document(config: ProjectionConfig) -> dict:
-    out: dict = {"candidate_id": "", "full_name": "", "emails": [], "phones": [], "location": dict.fromkeys(("city", "region", "country"), ""), "links": {"linkedin": "", "github": "", "portfolio": "", "other": []}, "headline": "", "years_experience": None, "skills": [], "experience": [], "education": []}
+    out = copy.deepcopy(EMPTY)
     if config.include_provenance:
         out["provenance"] = []
     if config.include_confidence:
         out["overall_confidence"] = 0.0
-    return out | {"_validation_errors": ["No records loaded — empty result."]}
+    return out | {"_validation_errors": list(EMPTY_ERRORS)}
 
 
 def to_document(df: DataFrame, config: ProjectionConfig | None = None) -> dict:

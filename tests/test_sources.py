@@ -2,9 +2,11 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinfold.plans.cli import main
 from kinfold.plans.pipeline import public, run, to_document
+from kinfold.plans.project import record_documents
 from kinfold.sources import records as S
 
 
@@ -84,6 +86,10 @@ def test_github(spark, tmp_path):
     r = rows(S.read_github(spark, [put(tmp_path, "a.json", json.dumps(one))]))[0]
     assert (r.full_name, r.headline, r.skills, r.links.github, r.links.portfolio, r.emails) == ("ann", "hi", ["Go", "C"], "https://github.com/ann", "a.org", [])
     assert S.read_github(spark, [put(tmp_path, "b.json", "nope")]).collect() == []
+    repos = spark.createDataFrame([([("x", "Go"), (None, "C"), ("", "C"), ("y", None)],)], "repos array<struct<name:string,language:string>>")
+    assert repos.select(S.repository_names(F.col("repos"))).first()[0] == ["x", "y"]
+    (text,) = [json.loads(d.document) for d in record_documents(S.read_github(spark, [put(tmp_path, "a.json", json.dumps(one))])).collect()]
+    assert text["full_name"] == "ann" and text["skills"] == ["Go", "C"] and text["location"]["city"] == "Paris" and text["years_experience"] is None
 
 
 NOTES = "Candidate: Ann Lee\nWorks at Acme Corp, Paris. Knows js and Go.\nEmail: a@x.org\n---\nno identity here\n---\nSpoke with Bob Ray. Call 555-123-4567. 4 yrs exp. GitHub: github.com/bob\n"
