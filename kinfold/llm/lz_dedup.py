@@ -13,8 +13,8 @@ names another. Then the parse is greedy: a factor starts at the first hit not ye
 longest. Where it ends, the windows that straddle its end are looked up in the index: what they cover goes too. As any
 hit lies inside a factor or straddles the end of one, the words removed are exactly those that a hit covers.
 
-With more than LOOK candidates in one stretch each is fetched for its own part and a share of the rest only, so that no
-document brings more than about LOOK times its own words together; factors may be shorter then, the words removed are the same.
+Of more than LOOK candidates in one stretch the ones with most hits are followed beyond them, so that no
+document brings more than LOOK times its own words together; factors may be shorter then, the words removed are the same.
 
 Results: one row per input row, with its factors. Null texts have no words. Repeats within one id
 (also of equal rows) do not count. A null id is larger than any other and is never a reference.
@@ -78,65 +78,66 @@ def _windows(width: int):
 
 
 class Hits:
-    """The windows of one document that the index has: where they start, and where the document it names has them, by start."""
-
-    def __init__(self, found: pa.StructArray):
-        p, m, rg, rp = (found.field(n).to_numpy().astype(np.int64) for n in ("p", "m", "rg", "rp"))
+    """The hits of a batch of documents, looked at document by document: where they start, and where the document that the index names has them."""
+
+    def __init__(self, found: pa.ListArray):
+        flat = found.flatten()
+        size = np.array(found.value_lengths().fill_null(0))
+        self.ends = np.concatenate([[0], np.cumsum(size)])
+        self.p, self.m, self.rg, self.rp = (flat.field(n).to_numpy().astype(np.int64) for n in ("p", "m", "rg", "rp"))
+        coded = pc.dictionary_encode(flat.field("rd"))
+        self.code, self.names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+    def of(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of document k's hits, and its pieces: (begin, end, code of the document, tag, begin there) of each run of starts that follows one diagonal."""
+        own = slice(self.ends[k], self.ends[k + 1])
+        m = self.m[own]
         which = np.repeat(np.arange(len(m)), m)
         i = np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m)
-        self.start, first = np.unique(p[which] + i, return_index=True)  # a window is known once, whatever block told it
-        which, i = which[first], i[first]
-        self.rd, self.pos, self.tag = found.field("rd"), rp[which] + i, rg[which]
-        self.block = which  # its document is rd[block]
-        self.ref = pc.dictionary_encode(self.rd).indices.to_numpy()[which] if len(m) else which
-
-    def pieces(self) -> tuple[np.ndarray, np.ndarray]:
-        """(first hit, number of hits) of each run of hits that follow one diagonal."""
-        new = np.ones(len(self.start), bool)
-        new[1:] = (np.diff(self.start) != 1) | (np.diff(self.ref) != 0) | (np.diff(self.tag) != 0) | (np.diff(self.pos) != 1)
+        start, first = np.unique(self.p[own][which] + i, return_index=True)  # a window is known once, whatever block told it
+        which = which[first]
+        code, tag, pos = self.code[own][which], self.rg[own][which], self.rp[own][which] + i[first]
+        new = np.ones(len(start), bool)
+        new[1:] = (np.diff(start) != 1) | (np.diff(code) != 0) | (np.diff(tag) != 0) | (np.diff(pos) != 1)
         head = np.flatnonzero(new)
-        return head, np.diff(np.append(head, len(new)))
+        size = np.diff(np.append(head, len(start)))
+        return start, np.stack([start[head], start[head] + size, code[head], tag[head], pos[head]])
 
 
 def _requests(width: int):
     """For each stretch with several candidates: which words (from x, n of them) of which document, shift places on, to fetch."""
     names = ["d", "g", "x", "n", "shift", "rd", "rg"]
 
+    def asked(pieces: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(x, n, shift, code, tag) of a document."""
+        begin, end, code, tag, pos = pieces
+        stretch = np.cumsum(np.concatenate([[0], begin[1:] != end[:-1]]))
+        for first, last in _runs(stretch):
+            if last - first < 2:
+                continue
+            low, high = int(begin[first]), int(end[last - 1])
+            hits: dict[tuple, int] = {}
+            for c, t, by, n in zip(code[first:last].tolist(), tag[first:last].tolist(), (pos - begin)[first:last].tolist(), (end - begin)[first:last].tolist(), strict=True):
+                hits[c, t, by] = hits.get((c, t, by), 0) + n
+            if len(hits) > 1:
+                for c, t, by in sorted(hits, key=lambda x: (-hits[x], x[2]))[:LOOK]:
+                    x = max(low, -by)
+                    yield x, high + width - 1 - x, by, c, t
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x for big in batches for x in _slices(big)):
-            rows, refs = [], []
-            for k in range(b.num_rows):
-                h = Hits(b.column(2)[k].values)
-                head, size = h.pieces()
-                begin, end = h.start[head], h.start[head] + size  # window starts
-                stretch = np.cumsum(np.concatenate([[0], begin[1:] != end[:-1]]))
-                shift = h.pos[head] - begin
-                for first, last in _runs(stretch):
-                    if last - first < 2:
-                        continue
-                    spans: dict[tuple, list[int]] = {}
-                    for j in range(first, last):
-                        x = spans.setdefault((int(h.ref[head[j]]), int(h.tag[head[j]]), int(shift[j])), [j, int(begin[j]), int(end[j])])
-                        x[2] = int(end[j])
-                    if len(spans) < 2:
-                        continue
-                    low, high = int(begin[first]), int(end[last - 1])
-                    pad = high - low if len(spans) <= LOOK else LOOK * (high - low) // (2 * len(spans))
-                    for (_, tag, by), (j, x, y) in spans.items():
-                        x, y = max(low, x - pad, -by), min(high, y + pad)
-                        rows.append((k, x, y + width - 1 - x, by, tag))
-                        refs.append(h.rd.take(pa.array([h.block[head[j]]])))
+        for b in (x for big in batches for x in _slices(big, 1024)):
+            h = Hits(b.column(2))
+            rows = [(k, *x) for k in range(b.num_rows) for x in asked(h.of(k)[1])]
             if rows:
-                who, x, n, by, tag = zip(*rows, strict=True)
+                who, x, n, by, code, tag = zip(*rows, strict=True)
                 owner = pa.array(who, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(owner), b.column(1).take(owner), pa.array(x, pa.int32()), pa.array(n, pa.int32()), pa.array(by, pa.int32()), pa.concat_arrays(refs), pa.array(tag, pa.int32())], names=names
+                    [b.column(0).take(owner), b.column(1).take(owner), *(pa.array(v, pa.int32()) for v in (x, n, by)), h.names.take(pa.array(code, pa.int64())), pa.array(tag, pa.int32())], names=names
                 )
 
     return run
 
 
-
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
     """(first, end) of each run of equal values."""
     edge = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if len(values) else np.zeros(1, int)
@@ -184,31 +185,33 @@ def _parse(width: int, id: str, kind: pa.DataType):
     """Greedy factors of each document, and the words that they leave."""
     factor = pa.struct([("begin", pa.int64()), ("length", pa.int64()), ("ref", kind), ("ref_begin", pa.int64())])
 
-    def factored(text: bytes, hits: pa.Scalar, fetched: pa.Scalar) -> tuple[list[tuple], list[tuple[int, int]]]:
-        h = Hits(hits.values)
-        head, size = h.pieces()
-        refs = h.rd.take(pa.array(h.block[head])).to_pylist()
-        begin = h.start[head].tolist()
-        intervals = list(zip(begin, (h.start[head] + size + width - 1).tolist(), refs, h.tag[head].tolist(), h.pos[head].tolist(), strict=True))
-        if fetched.is_valid and len(fetched):
-            codes = anchors.word_symbols(np.frombuffer(text, np.uint8))[0].view(np.int64)
-            v = fetched.values
-            for x, by, ref, tag, words in zip(v.field("x").to_pylist(), v.field("shift").to_pylist(), v.field("rd").to_pylist(), v.field("rg").to_pylist(), v.field("words"), strict=True):
-                theirs = words.values.to_numpy()
-                for a, e in _runs(codes[x : x + len(theirs)] == theirs):
-                    if e - a >= width and codes[x + a] == theirs[a]:
-                        intervals.append((x + a, x + e, ref, tag, x + a + by))
-        return greedy(h.start, intervals, width)
+    def followed(text: bytes, fetched: pa.StructArray) -> Iterator[tuple]:
+        """Matches along the diagonals whose words were fetched."""
+        codes = anchors.word_symbols(np.frombuffer(text, np.uint8))[0].view(np.int64)
+        flat, ends = fetched.field("words").flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.array(fetched.field("words").value_lengths()))])
+        for j, (x, by, ref, tag) in enumerate(zip(*(fetched.field(n).to_pylist() for n in ("x", "shift", "rd", "rg")), strict=True)):
+            theirs = flat[ends[j] : ends[j + 1]]
+            same = codes[x : x + len(theirs)] == theirs
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
+            for a, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                if e - a >= width:
+                    yield x + a, x + e, ref, tag, x + a + by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for big in batches for x in _slices(big)):
             n_words, n_removed, texts, lists = [], [], [], []
+            h = Hits(b.column(2))
+            names = h.names.to_pylist()
             for k in range(b.num_rows):
                 text = b.column(1)[k].as_py()
                 words = kept = text.split()  # at ASCII white space, as the contract's words
                 factors: list[tuple] = []
-                if b.column(2)[k].is_valid and len(b.column(2)[k]):
-                    factors, spans = factored(text, b.column(2)[k], b.column(3)[k])
+                if h.ends[k] < h.ends[k + 1]:
+                    start, (begin, end, code, tag, pos) = h.of(k)
+                    intervals = list(zip(begin.tolist(), (end + (width - 1)).tolist(), [names[c] for c in code.tolist()], tag.tolist(), pos.tolist(), strict=True))
+                    if (fetched := b.column(3)[k]).is_valid and len(fetched):
+                        intervals += followed(text, fetched.values)
+                    factors, spans = greedy(start, intervals, width)
                     kept, last = [], 0
                     for x, y in spans:
                         kept += words[last : max(x, last)]
@@ -217,8 +220,12 @@ def _parse(width: int, id: str, kind: pa.DataType):
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(kept))
                 texts.append(b" ".join(kept))
-                lists.append([dict(zip(("begin", "length", "ref", "ref_begin"), f, strict=True)) for f in factors])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(lists, pa.list_(factor)), pa.array(texts, pa.binary())], names=[id, "n_words", "n_removed", "factors", "kept"])
+                lists.append(factors)
+            flat = [f for x in lists for f in x]
+            begin, length, ref, at = zip(*flat, strict=True) if flat else [()] * 4
+            parts = pa.StructArray.from_arrays([pa.array(begin, pa.int64()), pa.array(length, pa.int64()), pa.array(ref, kind), pa.array(at, pa.int64())], fields=list(factor))
+            found = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)), parts)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), found, pa.array(texts, pa.binary())], names=[id, "n_words", "n_removed", "factors", "kept"])
 
     return run
 
@@ -249,7 +256,8 @@ def factor_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     release(runs, index)
 
     asked = materialise(hits.mapInArrow(_requests(width), f"d {name}, g int, x int, n int, shift int, rd {name}, rg int"))
-    copies = asked.groupBy("rd", "rg").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
+    # a table of its own, so that the joins with it can split a document that very many ask for
+    copies = materialise(asked.groupBy("rd", "rg").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts")))
     salted = asked.join(copies, ["rd", "rg"]).withColumn("z", F.pmod(F.xxhash64("d", "g", "x", "shift"), "parts").cast("int"))
     lists = salted.groupBy("rd", "rg", "z").agg(F.collect_list(F.struct("d", "g", "x", "n", "shift")).alias("asked"))
     # of texts with one id and tag any will do: they are equal
@@ -260,7 +268,7 @@ def factor_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     own = hits.select(F.col("d").alias("d1"), F.col("g").alias("g1"), "hits")
     known = keyed.join(own, keyed.d.eqNullSafe(F.col("d1")) & (keyed.g == F.col("g1")), "left")
     known = known.join(beside, keyed.d.eqNullSafe(F.col("d_")) & (keyed.g == F.col("g_")), "left")
-    release(asked)
+    release(asked, copies)
     return known.select("d", "t", "hits", "fetched").mapInArrow(
         _parse(width, id, to_arrow_type(kind)),
         f"`{id}` {name}, n_words long, n_removed long, factors array<struct<begin:long,length:long,ref:{name},ref_begin:long>>, kept binary",
