@@ -135,6 +135,51 @@ def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "source_digest", "block_digest", F.length("record").cast("long").alias("n_bytes"), F.sha2("record", 256).alias("record_sha256"))
 
 
+@query
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's counts and base rules by themselves: the part that SQL can express."""
+    from kinfold.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"), []).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+ORACLE_SQL["quality_counts"] = """
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents
+), windows AS (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS k FROM (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d))
+), again AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM windows WHERE k > 1) GROUP BY doc_id
+), c AS (
+    SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN again USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""
+
+
+@query
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6's sizes and targets by themselves: the part that SQL can express."""
+    from kinfold.llm.mixing import source_targets, words_in
+
+    sized = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("s"), words_in("text").alias("size"))
+    return source_targets(sized, (1, 2, 3), 3).select(F.col("s").alias("source"), "source_size", F.col("docs").alias("n_docs"), "target")
+
+
+#: Of the sources by cap over weight the first that its share does not exceed sets the level of all that follow.
+ORACLE_SQL["mixing_targets"] = """
+WITH t AS (
+    SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))) AS BIGINT) AS source_size, count(*) AS n_docs FROM documents GROUP BY source
+), r AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, 3.0 * source_size AS most FROM t
+), l AS (
+    SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(w) OVER (ORDER BY most / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r
+), theta AS (SELECT min_by(level, most / w) AS x FROM l WHERE level <= most / w)
+SELECT source, source_size, n_docs, CAST(least(x * w, most) AS DOUBLE) AS target FROM l, theta
+"""
+
+
 _CONTROLS = r"<<SYS>>|<</SYS>>|<s>|</s>|\[INST\]|\[/INST\]"
 
 #: Lengths of the template's three marks: 9, 9 and 5 code points.
