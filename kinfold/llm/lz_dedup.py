@@ -37,7 +37,7 @@ from kinfold.llm import anchors
 from kinfold.session import materialise, release, ship
 
 #: Candidates of a stretch that are fetched for all of it, and requests that one copy of a reference document serves.
-LOOK, ASKED = 8, 64
+LOOK, ASKED = 4, 2048
 
 
 def _slices(b: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -77,6 +77,11 @@ def _windows(width: int):
     return run
 
 
+def _short(raw: memoryview | bytes | pa.Buffer) -> np.ndarray:
+    """32-bit hashes of a text's words. They only steer which factor goes on longest: what is followed lies in a stretch of hits, which goes in any case."""
+    return (anchors.word_symbols(np.frombuffer(raw, np.uint8))[0] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 class Hits:
     """The hits of a batch of documents, looked at document by document: where they start, and where the document that the index names has them."""
 
@@ -145,19 +150,23 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, g, x, shift, rd, rg, words): the hashes of the words asked for."""
-    for b in (x for big in batches for x in _slices(big, 64)):
+    """(d, g, x, shift, rd, rg, words): hashes of the words asked for, a few at a time."""
+    names = ["d", "g", "x", "shift", "rd", "rg", "words"]
+    for b in batches:
         for k in range(b.num_rows):
             asked = b.column(3)[k].values
-            codes = anchors.word_symbols(np.frombuffer(b.column(2)[k].as_buffer(), np.uint8))[0].view(np.int64)
+            codes = _short(b.column(2)[k].as_buffer())
             x, n, by = (asked.field(f).to_numpy().astype(np.int64) for f in ("x", "n", "shift"))
-            cut = [codes[i + s : i + s + m] for i, m, s in zip(x.tolist(), n.tolist(), by.tolist(), strict=True)]
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int32))
-            same = pa.array(np.full(len(cut), k))
-            yield pa.RecordBatch.from_arrays(
-                [asked.field("d"), asked.field("g"), asked.field("x"), asked.field("shift"), b.column(0).take(same), b.column(1).take(same), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(cut)))],
-                names=["d", "g", "x", "shift", "rd", "rg", "words"],
-            )
+            begin, end = np.minimum(x + by, len(codes)), np.minimum(x + by + n, len(codes))
+            upto, at = np.cumsum(end - begin), 0
+            while at < len(x):
+                last = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 18), "right")))
+                cut = [codes[i:j] for i, j in zip(begin[at:last].tolist(), end[at:last].tolist(), strict=True)]
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int32))
+                same = pa.array(np.full(len(cut), k))
+                own = [asked.field(f).slice(at, len(cut)) for f in ("d", "g", "x", "shift")]
+                yield pa.RecordBatch.from_arrays([*own, b.column(0).take(same), b.column(1).take(same), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(cut)))], names=names)
+                at = last
 
 
 def greedy(start: np.ndarray, intervals: list[tuple], width: int) -> tuple[list[tuple], list[tuple[int, int]]]:
@@ -187,7 +196,7 @@ def _parse(width: int, id: str, kind: pa.DataType):
 
     def followed(text: bytes, fetched: pa.StructArray) -> Iterator[tuple]:
         """Matches along the diagonals whose words were fetched."""
-        codes = anchors.word_symbols(np.frombuffer(text, np.uint8))[0].view(np.int64)
+        codes = _short(text)
         flat, ends = fetched.field("words").flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.array(fetched.field("words").value_lengths()))])
         for j, (x, by, ref, tag) in enumerate(zip(*(fetched.field(n).to_pylist() for n in ("x", "shift", "rd", "rg")), strict=True)):
             theirs = flat[ends[j] : ends[j + 1]]
@@ -262,7 +271,7 @@ def factor_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     lists = salted.groupBy("rd", "rg", "z").agg(F.collect_list(F.struct("d", "g", "x", "n", "shift")).alias("asked"))
     # of texts with one id and tag any will do: they are equal
     theirs = keyed.join(copies, keyed.d.eqNullSafe(F.col("rd")) & (keyed.g == F.col("rg"))).select("rd", "rg", "t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("z"))
-    fetched = theirs.join(lists, ["rd", "rg", "z"]).select("rd", "rg", "t", "asked").mapInArrow(_fetch, f"d {name}, g int, x int, shift int, rd {name}, rg int, words array<long>")
+    fetched = theirs.join(lists, ["rd", "rg", "z"]).select("rd", "rg", "t", "asked").mapInArrow(_fetch, f"d {name}, g int, x int, shift int, rd {name}, rg int, words array<int>")
     fetched = materialise(fetched)
     beside = fetched.groupBy(F.col("d").alias("d_"), F.col("g").alias("g_")).agg(F.collect_list(F.struct("x", "shift", "rd", "rg", "words")).alias("fetched"))
     own = hits.select(F.col("d").alias("d1"), F.col("g").alias("g1"), "hits")
